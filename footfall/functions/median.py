@@ -1,4 +1,4 @@
-"""Exact median of a large column without gathering it in one task."""
+"""Exact mean and median of a large column without gathering it in one task."""
 
 from __future__ import annotations
 
@@ -11,61 +11,65 @@ from pyspark.sql import functions as F
 LOW_BITS = 22
 
 
-def median_of_counts(counts: DataFrame, value: str, weight: str, alias: str) -> DataFrame:
-    """One row with the interpolated median of non-negative integers, as DOUBLE.
+def total_and_median(counts: DataFrame, value: str, weight: str) -> DataFrame:
+    """One row: ``total`` (DECIMAL), ``n`` and the interpolated ``median`` (DOUBLE).
 
-    ``counts`` holds values with the number of times each occurs; a value may be
-    listed more than once. The built-in exact percentile keeps every distinct value
-    of a group in one task. Here a coarse histogram first finds the one or two slots
-    holding the middle ranks, then only the values of those slots are ranked.
+    ``counts`` holds non-negative integers with the number of times each occurs; a value
+    may be listed more than once. Without any value all three are NULL.
+
+    The built-in exact percentile keeps every distinct value of a group in one task.
+    Here a histogram of slots first finds the one or two slots with the middle ranks,
+    then only the values in those are ranked. Both steps read the same aggregate, which
+    Spark shuffles once.
     """
     slot = F.shiftright(F.col(value), LOW_BITS)
-    coarse = counts.groupBy(slot.alias("slot")).agg(F.sum(weight).alias("n"))
-    in_order = Window.orderBy("slot")
-    coarse = coarse.select(
+    histogram = counts.groupBy(slot.alias("slot")).agg(
+        F.sum(weight).alias("slot_n"),
+        F.sum(F.col(value).cast("decimal(20,0)") * F.col(weight)).alias("slot_total"),
+    )
+    upward = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    everywhere = Window.orderBy("slot").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    ranked = histogram.select(
         "slot",
-        F.coalesce(
-            F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("before"),
-        F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("through"),
-        F.sum("n")
-        .over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        .alias("total"),
+        F.sum("slot_n").over(upward).alias("through"),
+        (F.sum("slot_n").over(upward) - F.col("slot_n")).alias("before"),
+        F.sum("slot_n").over(everywhere).alias("n"),
+        F.sum("slot_total").over(everywhere).cast("decimal(38,0)").alias("total"),
+    ).select(
+        "*", F.shiftright(F.col("n") - 1, 1).alias("low"), F.shiftright("n", 1).alias("high")
     )
     # at most two rows: the slots of the lower and of the upper middle value
-    middle = coarse.select(
+    middle = ranked.filter(_within("low") | _within("high")).select(
         "slot",
-        "before",
-        F.explode(F.array(_half(F.col("total") - 1), _half(F.col("total")))).alias("rank"),
-        "through",
-    ).filter("rank >= before AND rank < through")
-    middle = middle.groupBy("slot").agg(
-        (F.min("rank") - F.first("before")).alias("low_rank"),
-        (F.max("rank") - F.first("before")).alias("high_rank"),
-        F.count("*").alias("ranks"),
+        "total",
+        "n",
+        F.when(_within("low"), F.col("low") - F.col("before")).alias("low"),
+        F.when(_within("high"), F.col("high") - F.col("before")).alias("high"),
     )
-    fine = (
+    # the slot's own columns ride along as keys
+    values = (
         counts.join(F.broadcast(middle), slot == F.col("slot"))
-        .groupBy("slot", "low_rank", "high_rank", "ranks", F.col(value).alias("v"))
-        .agg(F.sum(weight).alias("n"))
+        .groupBy(*middle.columns, F.col(value).alias("value"))
+        .agg(F.sum(weight).alias("value_n"))
     )
-    in_slot = Window.partitionBy("slot").orderBy("v")
-    fine = fine.withColumn(
-        "through", F.sum("n").over(in_slot.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("before", F.col("through") - F.col("n"))
-
-    def holds(rank: str) -> Column:
-        return (F.col(rank) >= F.col("before")) & (F.col(rank) < F.col("through"))
-
-    # a slot with both ranks contributes two values, otherwise two slots one each
-    picked = fine.select(
-        F.when(holds("low_rank"), F.col("v")).alias("low"),
-        F.when(holds("high_rank") & (F.col("ranks") == 2), F.col("v")).alias("high"),
+    upward = Window.partitionBy("slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    candidates = values.withColumn("through", F.sum("value_n").over(upward)).withColumn(
+        "before", F.col("through") - F.col("value_n")
     )
-    return picked.agg(
-        ((F.sum("low") + F.coalesce(F.sum("high"), F.lit(0))) / 2.0).alias(alias)
+    return candidates.agg(
+        F.first("total").alias("total"),
+        F.first("n").alias("n"),
+        (
+            (
+                F.max(F.when(_within("low"), F.col("value")))
+                + F.max(F.when(_within("high"), F.col("value")))
+            )
+            / 2.0
+        ).alias("median"),
     )
 
 
-def _half(n: Column) -> Column:
-    return F.shiftright(n, 1)
+def _within(rank: str) -> Column:
+    return (F.col(rank) >= F.col("before")) & (F.col(rank) < F.col("through"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.calendar import day
 from footfall.functions.distinct import by_user_and_session, of_session, of_user
-from footfall.functions.median import median_of_counts
+from footfall.functions.median import total_and_median
 from footfall.functions.rates import pct, step_rates
 from footfall.schema import CART, PURCHASE, VIEW, is_event
 
@@ -71,34 +71,23 @@ def _time_to_buy(steps: DataFrame) -> DataFrame:
         .select(_ttb_micros().alias("ttb"), "reached_cart")
         .filter(F.col("ttb").isNotNull())
         .groupBy("ttb", "reached_cart")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("sessions"))
     )
-    total = counts.agg(
-        F.sum(F.col("ttb").cast("decimal(20,0)") * F.col("n")).alias("ttb_total"),
-        F.sum("n").alias("ttb_n"),
-    )
-    median = median_of_counts(counts, "ttb", "n", "ttb_median")
-    return _one_row(total, median)
-
-
-def _one_row(*parts: DataFrame) -> DataFrame:
-    """Put one-row frames with different columns side by side."""
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    return stacked.agg(*(F.max(c).alias(c) for c in stacked.columns))
+    return total_and_median(counts, "ttb", "sessions")
 
 
 def _with_ttb(counted: DataFrame, steps: DataFrame) -> DataFrame:
-    mean = F.col("ttb_total").cast("double") / F.nullif(F.col("ttb_n"), F.lit(0)) / MICROS
-    median = F.col("ttb_median") / MICROS
+    """Put the one row of step counts and the one row of times side by side."""
+    both = counted.unionByName(_time_to_buy(steps), allowMissingColumns=True)
+    mean = F.col("total").cast("double") / F.col("n") / MICROS
+    median = F.col("median") / MICROS
     return (
-        _one_row(counted, _time_to_buy(steps))
+        both.agg(*(F.max(c).alias(c) for c in both.columns))
         .withColumn("avg_ttb_seconds", F.round(mean, 2))
         .withColumn("avg_ttb_minutes", F.round(mean / 60, 2))
         .withColumn("median_ttb_seconds", median)
         .withColumn("median_ttb_minutes", F.round(median / 60, 2))
-        .drop("ttb_total", "ttb_n", "ttb_median")
+        .drop("total", "n", "median")
     )
 
 

@@ -16,15 +16,13 @@ def weekly_cohort_chart(events: DataFrame, max_index: int | None = None) -> Data
 
 def funnel_stages(users: DataFrame) -> DataFrame:
     """The all-time funnel as three rows of stage label and users."""
-    return users.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("1. Product Views").alias("stage"), F.col("view_users").alias("users")),
-                F.struct(F.lit("2. Cart Additions"), F.col("cart_users")),
-                F.struct(F.lit("3. Completed Purchases"), F.col("purchase_users")),
-            )
-        )
-    )
+    stages = {
+        "1. Product Views": "view_users",
+        "2. Cart Additions": "cart_users",
+        "3. Completed Purchases": "purchase_users",
+    }
+    cells = (c for label, users in stages.items() for c in (F.lit(label), F.col(users)))
+    return users.select(F.stack(F.lit(len(stages)), *cells).alias("stage", "users"))
 
 
 def heatmap_feed(
@@ -45,7 +43,9 @@ def heatmap_feed(
         "cohort_group",
         F.coalesce("size", F.lit(0)).alias("size"),
         "rates",
-        F.explode(F.sequence(F.lit(0), F.lit(last))).cast("long").alias("cohort_index"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias(
+            "cohort_index"
+        ),
     ).withColumn("retention_rate", F.try_element_at("rates", F.col("cohort_index")))
     return cells.select(
         "cohort_group",

@@ -37,19 +37,19 @@ def kpi_cards(kpi_daily: DataFrame) -> DataFrame:
 def funnel_totals(summary: DataFrame) -> DataFrame:
     """Three rows: step label, summed users, and their share of the first and last step."""
     totals = summary.agg(*(F.sum(f"{s}_users").alias(s) for s in ("view", "cart", "purchase")))
+    # step label, its users, users of the step before
+    rows = [
+        ("1. View Product", "view", "view"),
+        ("2. Add to Cart", "cart", "view"),
+        ("3. Purchase", "purchase", "cart"),
+    ]
+    cells = (
+        c
+        for label, users, previous in rows
+        for c in (F.lit(label), F.col(users), F.col(previous), F.col("view"))
+    )
     steps = totals.select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("1. View Product").alias("step"),
-                    F.col("view").alias("users"),
-                    F.col("view").alias("previous"),
-                    F.col("view").alias("first"),
-                ),
-                F.struct(F.lit("2. Add to Cart"), F.col("cart"), F.col("view"), F.col("view")),
-                F.struct(F.lit("3. Purchase"), F.col("purchase"), F.col("cart"), F.col("view")),
-            )
-        )
+        F.stack(F.lit(len(rows)), *cells).alias("step", "users", "previous", "first")
     )
     return steps.select(
         "step",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,24 +48,27 @@ def read_events(
 def _month_range(start: datetime | None, end: datetime | None) -> Column:
     month, kept = F.col(MONTH), F.lit(True)
     if start is not None:
-        kept = kept & (month >= start.strftime("%Y-%m"))
+        kept = kept & (month >= _utc(start).strftime("%Y-%m"))
     if end is not None:
-        kept = kept & (month <= end.strftime("%Y-%m"))
+        last = _utc(end) - timedelta(microseconds=1)
+        kept = kept & (month <= last.strftime("%Y-%m"))
     return kept
 
 
 def _time_range(start: datetime | None, end: datetime | None) -> Column:
     time, kept = F.col("event_time"), F.lit(True)
     if start is not None:
-        kept = kept & (time >= _utc(start))
+        kept = kept & (time >= F.lit(_utc(start).isoformat(sep=" ")).cast("timestamp"))
     if end is not None:
-        kept = kept & (time < _utc(end))
+        kept = kept & (time < F.lit(_utc(end).isoformat(sep=" ")).cast("timestamp"))
     return kept
 
 
-def _utc(moment: datetime) -> Column:
-    """A naive datetime is a wall-clock time of the session zone (UTC by contract)."""
-    return F.lit(moment.isoformat(sep=" ")).cast("timestamp")
+def _utc(moment: datetime) -> datetime:
+    """Wall-clock time in UTC, the session zone by contract; naive times are taken as UTC."""
+    if moment.tzinfo is None:
+        return moment
+    return moment.astimezone(timezone.utc).replace(tzinfo=None)
 
 
 def write_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -87,5 +90,7 @@ def write_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_sample(events: DataFrame, csv_path: str, parquet_path: str) -> None:
     """Write the same events as CSV with a header and as Parquet."""
-    events.write.mode("overwrite").option("header", True).csv(csv_path)
+    to_csv = events.write.mode("overwrite").option("header", True)
+    # the default text format stops at milliseconds
+    to_csv.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(csv_path)
     events.write.mode("overwrite").parquet(parquet_path)
