@@ -100,13 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return run
 
     def steps(df, **kw):
-        return sessions.session_steps(sessions.sessionize(df), **kw)
+        return sessions.session_steps(df, **kw)
 
-    def daily(df):
-        return kpi.kpi_daily(sessions.sessionize(df))
-
-    def summary(df):
-        return funnel.funnel_summary(sessions.sessionize(df))
+    daily, summary = kpi.kpi_daily, funnel.funnel_summary
 
     def monthly(df):
         return cohort.cohort_retention(df, "M")

@@ -14,6 +14,7 @@ from footfall.functions.calendar import day
 from footfall.functions.distinct import by_user_and_session, of_session, of_user
 from footfall.functions.median import total_and_median
 from footfall.functions.rates import pct, step_rates
+from footfall.operators.sessions import per_session
 from footfall.schema import CART, PURCHASE, VIEW, is_event
 
 MICROS = 1_000_000
@@ -150,20 +151,22 @@ def brand_or_unknown() -> Column:
     return F.coalesce("brand", F.lit("unknown"))
 
 
-def funnel_summary(sessionized: DataFrame) -> DataFrame:
+def funnel_summary(events: DataFrame) -> DataFrame:
     """Users and sessions per step for every day, top category and brand.
 
+    ``events`` may be raw or sessionized.
     A step counts only together with the earlier ones inside one (day, category, brand,
     user, session), in any order.
     """
-    keys = ["event_date", "top_category", "brand"]
-    seen = sessionized.groupBy(
-        day("event_time").alias("event_date"),
-        top_category().alias("top_category"),
-        brand_or_unknown().alias("brand"),
-        "user_id",
-        "effective_session_id",
-    ).agg(*(F.max(flag(is_event(t))).alias(f"has_{t}") for t in (VIEW, CART, PURCHASE)))
+    by = {
+        "event_date": day("event_time"),
+        "top_category": top_category(),
+        "brand": brand_or_unknown(),
+    }
+    keys = list(by)
+    seen = per_session(
+        events, by, {f"has_{t}": (F.max, flag(is_event(t))) for t in (VIEW, CART, PURCHASE)}
+    )
     together = seen.select(
         *keys,
         "user_id",

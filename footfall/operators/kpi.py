@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.calendar import day
-from footfall.functions.distinct import by_user_and_session, of_session, of_user
 from footfall.functions.rates import money_per, pct
+from footfall.operators.sessions import per_session
 from footfall.schema import PURCHASE, is_event
 
 
@@ -23,28 +23,47 @@ def _money(amount: Column) -> Column:
     return F.coalesce(amount, F.lit(0)).cast("decimal(30,2)")
 
 
-def kpi_daily(sessionized: DataFrame) -> DataFrame:
+def _per_user_day(events: DataFrame) -> DataFrame:
+    return events.groupBy(day("event_time").alias("event_date"), "user_id").agg(
+        purchase_rows().alias("orders"), purchase_amount().alias("revenue")
+    )
+
+
+def kpi_daily(events: DataFrame) -> DataFrame:
     """One row per day: users, sessions, buyers, orders, revenue and their ratios.
 
-    An order is a purchase row. A session over midnight counts on both days.
+    ``events`` may be raw or sessionized. An order is a purchase row. A session over midnight counts on both days.
+
+    Users and sessions are counted on two branches that meet as partial sums per day.
+    The user branch needs no session id; on sessionized events Catalyst drops the join.
     """
-    active = by_user_and_session(
-        sessionized.select(
-            day("event_time").alias("event_date"),
-            "user_id",
-            "effective_session_id",
-            "event_type",
-            "price",
-        ),
-        ["event_date"],
-        {"orders": purchase_rows(), "revenue": purchase_amount()},
+    of_users = (
+        _per_user_day(events)
+        .groupBy("event_date")
+        .agg(
+            F.count("*").alias("dau"),
+            F.count(F.when(F.col("orders") > 0, 1)).alias("purchasing_users"),
+            F.sum("orders").alias("total_orders"),
+            F.sum("revenue").alias("total_revenue"),
+        )
+    )
+    of_sessions = (
+        per_session(events, {"event_date": day("event_time")}, {})
+        .select("event_date", "effective_session_id")
+        .distinct()
+        .groupBy("event_date")
+        .agg(F.count("*").alias("total_sessions"))
     )
-    daily = active.groupBy("event_date").agg(
-        F.count(F.when(of_user(), 1)).alias("dau"),
-        F.count(F.when(of_session(), 1)).alias("total_sessions"),
-        F.count(F.when(of_user() & (F.col("orders") > 0), 1)).alias("purchasing_users"),
-        F.coalesce(F.sum(F.when(of_user(), F.col("orders"))), F.lit(0)).alias("total_orders"),
-        _money(F.sum(F.when(of_user(), F.col("revenue")))).alias("total_revenue"),
+    daily = (
+        of_users.unionByName(of_sessions, allowMissingColumns=True)
+        .groupBy("event_date")
+        .agg(
+            F.sum("dau").alias("dau"),
+            F.sum("total_sessions").alias("total_sessions"),
+            F.sum("purchasing_users").alias("purchasing_users"),
+            F.sum("total_orders").alias("total_orders"),
+            _money(F.sum("total_revenue")).alias("total_revenue"),
+        )
     )
     return daily.select(
         "*",
@@ -56,10 +75,7 @@ def kpi_daily(sessionized: DataFrame) -> DataFrame:
 
 def kpi_trends(events: DataFrame) -> DataFrame:
     """Daily trend lines: active users, revenue, orders and the unrounded order value."""
-    per_user = events.groupBy(day("event_time").alias("event_date"), "user_id").agg(
-        purchase_amount().alias("revenue"), purchase_rows().alias("orders")
-    )
-    daily = per_user.groupBy("event_date").agg(
+    daily = _per_user_day(events).groupBy("event_date").agg(
         F.count("*").alias("dau"),
         _money(F.sum("revenue")).alias("revenue"),
         F.sum("orders").alias("orders"),

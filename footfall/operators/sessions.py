@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.calendar import micros, slot_start
@@ -42,6 +43,22 @@ def session_slots(events: DataFrame, gap: timedelta = GAP) -> DataFrame:
     )
 
 
+def _with_session_ids(slotted: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Look up the session of rows that carry ``user_id``, ``slot`` and ``user_session``.
+
+    An equi-join on (user, slot) spreads one user's rows over many partitions. It is a
+    left join on unique keys, so a result without session ids loses it in optimization.
+    """
+    calculated = F.concat(
+        F.col("user_id").cast("string"), F.lit("_s"), F.col("session_seq").cast("string")
+    )
+    return (
+        slotted.join(numbered, ["user_id", "slot"], "left")
+        .withColumn("calculated_session_id", calculated)
+        .withColumn("effective_session_id", F.coalesce("user_session", "calculated_session_id"))
+    )
+
+
 def sessionize(events: DataFrame, gap: timedelta = GAP) -> DataFrame:
     """Every event with its calculated and its effective session id.
 
@@ -49,48 +66,76 @@ def sessionize(events: DataFrame, gap: timedelta = GAP) -> DataFrame:
     ``gap`` stays inside. The effective id is the frontend's own id where there is one.
     Rows in = rows out. Filter by time afterwards, never before: sessions depend on a
     user's whole history.
-
-    The rows meet their slot by an equi-join on (user, slot), which spreads one user's
-    events over many partitions. The join is a left join on unique keys, so a mart that
-    needs no session id loses it during optimization.
     """
-    numbered = session_slots(events, gap)
-    calculated = F.concat(
-        F.col("user_id").cast("string"), F.lit("_s"), F.col("session_seq").cast("string")
-    )
-    return (
-        events.withColumn("slot", slot_start(F.col("event_time"), micros(gap)))
-        .join(numbered, ["user_id", "slot"], "left")
-        .select(
-            "event_time",
-            "event_type",
-            "product_id",
-            "category_id",
-            "category_code",
-            "brand",
-            "price",
-            "user_id",
-            F.col("user_session").alias("raw_user_session"),
-            calculated.alias("calculated_session_id"),
-            F.coalesce("user_session", calculated).alias("effective_session_id"),
-        )
+    slotted = events.withColumn("slot", slot_start(F.col("event_time"), micros(gap)))
+    return _with_session_ids(slotted, session_slots(events, gap)).select(
+        "event_time",
+        "event_type",
+        "product_id",
+        "category_id",
+        "category_code",
+        "brand",
+        "price",
+        "user_id",
+        F.col("user_session").alias("raw_user_session"),
+        "calculated_session_id",
+        "effective_session_id",
     )
 
 
-def session_steps(sessionized: DataFrame, per_instant: bool = False) -> DataFrame:
-    """First view, cart and purchase plus first and last event of every session.
+Measure = tuple[Callable[[Column], Column], Column]
+
+
+def per_session(
+    df: DataFrame,
+    keys: dict[str, Column],
+    measures: dict[str, Measure],
+    gap: timedelta = GAP,
+) -> DataFrame:
+    """Aggregate per (user, effective session, keys).
 
-    ``per_instant`` also groups by the event time, one row per (user, session, instant).
+    ``measures`` maps a name to (function, input), the function being one that merges its
+    own results: ``F.min``, ``F.max`` or ``F.sum``. ``df`` is either sessionized already,
+    or raw events: those are first aggregated per (user, frontend session, slot, keys), so
+    that groups rather than rows are looked up, and a hot group shrinks before any shuffle.
     """
-    keys = ["user_id", "effective_session_id"] + (["event_time"] if per_instant else [])
 
-    def first(event_type: str):
-        return F.min(F.when(is_event(event_type), F.col("event_time")))
+    def aggregate(frame: DataFrame, by: list, inputs: dict[str, Measure]) -> DataFrame:
+        if not inputs:
+            return frame.select(*by).distinct()
+        return frame.groupBy(*by).agg(*(f(c).alias(n) for n, (f, c) in inputs.items()))
 
-    return sessionized.groupBy(*keys).agg(
-        first(VIEW).alias("min_view_time"),
-        first(CART).alias("min_cart_time"),
-        first(PURCHASE).alias("min_purchase_time"),
-        F.min("event_time").alias("session_start_time"),
-        F.max("event_time").alias("session_end_time"),
+    key_columns = [c.alias(n) for n, c in keys.items()]
+    if "effective_session_id" in df.columns:
+        return aggregate(df, ["user_id", "effective_session_id", *key_columns], measures)
+    slot = slot_start(F.col("event_time"), micros(gap)).alias("slot")
+    compact = aggregate(df, ["user_id", "user_session", slot, *key_columns], measures)
+    merge = {n: (f, F.col(n)) for n, (f, _) in measures.items()}
+    named = _with_session_ids(compact, session_slots(df, gap))
+    return aggregate(named, ["user_id", "effective_session_id", *keys], merge)
+
+
+def session_steps(df: DataFrame, per_instant: bool = False, gap: timedelta = GAP) -> DataFrame:
+    """First view, cart and purchase plus first and last event of every session.
+
+    ``df`` holds raw or sessionized events. ``per_instant`` also groups by the event time,
+    one row per (user, session, instant).
+    """
+    time = F.col("event_time")
+
+    def first(event_type: str) -> Measure:
+        return F.min, F.when(is_event(event_type), time)
+
+    steps = per_session(
+        df,
+        {"event_time": time} if per_instant else {},
+        {
+            "min_view_time": first(VIEW),
+            "min_cart_time": first(CART),
+            "min_purchase_time": first(PURCHASE),
+            "session_start_time": (F.min, time),
+            "session_end_time": (F.max, time),
+        },
+        gap,
     )
+    return steps.drop("event_time")

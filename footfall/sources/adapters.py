@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.schema import RAW_EVENTS, conform
+from footfall.sources.validation import hyphenated
 
 
 def shop_events(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFrame:
@@ -17,9 +18,7 @@ def shop_events(spark: SparkSession, sf_dir: str, products: bool = True) -> Data
     """
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     product = (F.col("user_id") * 31 + F.dayofmonth("ts")) % 100
-    digits = F.md5(F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")))
-    groups = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    uuid = F.concat_ws("-", *(F.substring(digits, s, n) for s, n in groups))
+    user_day = F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd"))
     clicks = source.select(
         F.col("ts").cast("timestamp").alias("event_time"),
         F.when(F.col("event_type") == "click", "cart")
@@ -30,7 +29,7 @@ def shop_events(spark: SparkSession, sf_dir: str, products: bool = True) -> Data
         (product % 6 + 1001).alias("category_id"),
         F.col("value").cast("decimal(10,2)").alias("price"),
         "user_id",
-        F.when(F.col("event_id") % 5 != 0, uuid).alias("user_session"),
+        F.when(F.col("event_id") % 5 != 0, hyphenated(F.md5(user_day))).alias("user_session"),
     )
     if not products:
         return conform(clicks)

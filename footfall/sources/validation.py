@@ -39,12 +39,13 @@ def rules() -> dict[str, Column]:
     return broken
 
 
+def hyphenated(digits: Column) -> Column:
+    """32 hex digits in the 8-4-4-4-12 form of a UUID."""
+    return F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 def _canonical_uuid(name: str) -> Column:
-    digits = F.lower(F.regexp_replace(name, "[{}-]", ""))
-    parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.when(
-        F.col(name).isNotNull(), F.concat_ws("-", *(F.substring(digits, s, n) for s, n in parts))
-    )
+    return hyphenated(F.lower(F.regexp_replace(name, "[{}-]", "")))
 
 
 def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
