@@ -22,10 +22,11 @@ def total_and_median(counts: DataFrame, value: str, weight: str) -> DataFrame:
     then only the values in those are ranked. Both steps read the same aggregate, which
     Spark shuffles once.
     """
-    slot = F.shiftright(F.col(value), LOW_BITS)
+    counts = counts.select(F.col(value).alias("value"), F.col(weight).alias("weight"))
+    slot = F.shiftright(F.col("value"), LOW_BITS)
     histogram = counts.groupBy(slot.alias("slot")).agg(
-        F.sum(weight).alias("slot_n"),
-        F.sum(F.col(value).cast("decimal(20,0)") * F.col(weight)).alias("slot_total"),
+        F.sum("weight").alias("slot_n"),
+        F.sum(F.col("value").cast("decimal(20,0)") * F.col("weight")).alias("slot_total"),
     )
     upward = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     everywhere = Window.orderBy("slot").rowsBetween(
@@ -51,8 +52,8 @@ def total_and_median(counts: DataFrame, value: str, weight: str) -> DataFrame:
     # the slot's own columns ride along as keys
     values = (
         counts.join(F.broadcast(middle), slot == F.col("slot"))
-        .groupBy(*middle.columns, F.col(value).alias("value"))
-        .agg(F.sum(weight).alias("value_n"))
+        .groupBy(*middle.columns, "value")
+        .agg(F.sum("weight").alias("value_n"))
     )
     upward = Window.partitionBy("slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     candidates = values.withColumn("through", F.sum("value_n").over(upward)).withColumn(
