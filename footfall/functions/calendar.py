@@ -38,14 +38,19 @@ def micros(width: timedelta) -> int:
     return width // timedelta(microseconds=1)
 
 
+def epoch_us(ts: Column) -> Column:
+    """Microseconds since the epoch; a time without zone is taken in the session zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def slot_start(ts: Column, width_us: int) -> Column:
     """Start, in epoch microseconds, of the fixed-width slot that holds ``ts``."""
-    us = F.unix_micros(ts)
+    us = epoch_us(ts)
     return us - F.pmod(us, F.lit(width_us).cast("long"))
 
 
 def elapsed_days(ts: Column, since: Column) -> Column:
     """Whole 24-hour blocks from ``since`` to a later ``ts``, to the microsecond."""
     day_us = F.lit(micros(timedelta(days=1))).cast("long")
-    elapsed = F.unix_micros(ts) - F.unix_micros(since)
+    elapsed = epoch_us(ts) - epoch_us(since)
     return ((elapsed - F.pmod(elapsed, day_us)) / day_us).cast("long")

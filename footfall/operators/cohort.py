@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from footfall.functions.calendar import (
     day,
     elapsed_days,
     iso_week_label,
+    micros,
     month,
     months_between_firsts,
+    slot_start,
     week,
 )
 from footfall.functions.rates import pct
@@ -18,6 +22,9 @@ from footfall.schema import is_event, with_event_time
 
 GRANULARITIES = ("D", "W", "M")
 
+# Width of the slots over which ``cohort_events`` spreads a user's events.
+SLOT = timedelta(minutes=30)
+
 
 def _granularity(value: str) -> str:
     if value.upper() not in GRANULARITIES:
@@ -135,10 +142,19 @@ def cohort_retention(
 def cohort_events(
     events: DataFrame, granularity: str = "W", event_filter: str | None = None
 ) -> DataFrame:
-    """Every event with its user's first event time, cohort, own period and index."""
+    """Every event with its user's first event time, cohort, own period and index.
+
+    The first time is looked up per (user, time slot) rather than per user, so that one
+    user's events do not all meet in one task.
+    """
     granularity = _granularity(granularity)
     events = _select_events(events, event_filter)
-    first = events.groupBy("user_id").agg(F.min("event_time").alias("first_event_time"))
+    columns = events.columns
+    slotted = events.withColumn("slot", slot_start(F.col("event_time"), micros(SLOT)))
+    first = slotted.groupBy("user_id", "slot").agg(F.min("event_time").alias("first_event_time"))
+    first = first.withColumn(
+        "first_event_time", F.min("first_event_time").over(Window.partitionBy("user_id"))
+    )
     start = _period_start(granularity, "event_time")
     cohort = _period_start(granularity, "first_event_time")
     index = (
@@ -146,8 +162,8 @@ def cohort_events(
         if granularity == "D"
         else _index(granularity, start, cohort)
     )
-    return events.join(first, "user_id").select(
-        *events.columns,
+    return slotted.join(first, ["user_id", "slot"]).select(
+        *columns,
         "first_event_time",
         _label(granularity, cohort).alias("cohort_group"),
         _label(granularity, start).alias("event_period"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.calendar import day
+from footfall.functions.calendar import day, epoch_us
 from footfall.functions.distinct import by_user_and_session, of_session, of_user
 from footfall.functions.median import total_and_median
 from footfall.functions.rates import pct, step_rates
@@ -51,7 +51,7 @@ def session_funnel(steps: DataFrame) -> DataFrame:
 
 def _ttb_micros() -> Column:
     view, purchase = F.col("min_view_time"), F.col("min_purchase_time")
-    return F.when(purchase >= view, F.unix_micros(purchase) - F.unix_micros(view))
+    return F.when(purchase >= view, epoch_us(purchase) - epoch_us(view))
 
 
 _REACHED = {

@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.functions.calendar import micros, slot_start
+from footfall.functions.calendar import epoch_us, micros, slot_start
 from footfall.schema import CART, PURCHASE, VIEW, is_event
 
 GAP = timedelta(minutes=30)
@@ -32,7 +32,7 @@ def session_slots(events: DataFrame, gap: timedelta = GAP) -> DataFrame:
     in_order = Window.partitionBy("user_id").orderBy("slot")
     previous = F.lag("last_time").over(in_order)
     starts = previous.isNull() | (
-        F.unix_micros("first_time") - F.unix_micros(previous) > F.lit(width)
+        epoch_us(F.col("first_time")) - epoch_us(previous) > F.lit(width)
     )
     return slots.withColumn("starts", F.when(starts, 1).otherwise(0)).select(
         "user_id",

@@ -8,10 +8,11 @@ from footfall.operators.cohort import cohort_retention_weekly
 from footfall.operators.funnel import funnel_summary
 from footfall.operators.kpi import kpi_daily
 from footfall.operators.sessions import sessionize
+from footfall.sources.events import MONTH, by_month
 
 SESSIONIZED = "v_events_sessionized"
 
-# mart -> (function of the sessionized events, description)
+# mart -> (function of raw or sessionized events, description)
 MARTS = {
     "v_kpi_daily": (
         kpi_daily,
@@ -38,10 +39,12 @@ RAW_COMMENTS = {
 
 
 def create_views(events: DataFrame) -> dict[str, DataFrame]:
-    """Register the sessionized events and the marts as temporary views; nothing runs."""
-    sessionized = sessionize(events)
-    frames = {SESSIONIZED: sessionized}
-    frames |= {name: build(sessionized) for name, (build, _) in MARTS.items()}
+    """Register the sessionized events and the marts as temporary views; nothing runs.
+
+    Each view is a plan of its own over the raw events; ``publish_tables`` shares the work.
+    """
+    frames = {SESSIONIZED: sessionize(events)}
+    frames |= {name: build(events) for name, (build, _) in MARTS.items()}
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
     return frames
@@ -53,19 +56,30 @@ def publish_tables(spark: SparkSession, events: DataFrame, database: str = "defa
     The marts read the written session table, so sessions are computed once and a lost
     executor never costs more than one mart's own stages.
     """
-    _save(spark, sessionize(events), f"{database}.{SESSIONIZED}", SESSIONIZED_COMMENT)
+    _save(
+        spark,
+        by_month(sessionize(events)),
+        f"{database}.{SESSIONIZED}",
+        SESSIONIZED_COMMENT,
+        partitioned=True,
+    )
     sessionized = spark.table(f"{database}.{SESSIONIZED}")
     for name, (build, comment) in MARTS.items():
         _save(spark, build(sessionized), f"{database}.{name}", comment)
 
 
 def publish_raw(spark: SparkSession, events: DataFrame, table: str) -> None:
-    """Replace the raw event table and describe it and its columns."""
-    _save(spark, events, table, "Clickstream events of the shop")
+    """Replace the raw event table, one partition per month, and describe its columns."""
+    _save(spark, by_month(events), table, "Clickstream events of the shop", partitioned=True)
     for column, comment in RAW_COMMENTS.items():
         spark.sql(f"ALTER TABLE {table} ALTER COLUMN {column} COMMENT '{comment}'")
 
 
-def _save(spark: SparkSession, frame: DataFrame, table: str, comment: str) -> None:
-    frame.write.mode("overwrite").saveAsTable(table)
+def _save(
+    spark: SparkSession, frame: DataFrame, table: str, comment: str, partitioned: bool = False
+) -> None:
+    writer = frame.write.mode("overwrite")
+    if partitioned:
+        writer = writer.partitionBy(MONTH)
+    writer.saveAsTable(table)
     spark.sql(f"COMMENT ON TABLE {table} IS '{comment}'")

@@ -71,16 +71,25 @@ def _utc(moment: datetime) -> datetime:
     return moment.astimezone(timezone.utc).replace(tzinfo=None)
 
 
+def by_month(events: DataFrame) -> DataFrame:
+    """Events with their month, shuffled for a write partitioned by it.
+
+    The rebalance hint lets AQE split a large month over many writers and merge small
+    ones, instead of one task per month.
+    """
+    return events.withColumn(MONTH, F.date_format("event_time", "yyyy-MM")).hint(
+        "rebalance", MONTH
+    )
+
+
 def write_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write Parquet in one folder per month of ``event_time``.
 
-    The rebalance hint lets AQE split a large month over many writers and merge small
-    ones, instead of one task per month. ``overwrite`` replaces only the months present
-    in ``events``, which makes backfills safe to repeat.
+    ``overwrite`` replaces only the months present in ``events``, which makes backfills
+    safe to repeat.
     """
     (
-        events.withColumn(MONTH, F.date_format("event_time", "yyyy-MM"))
-        .hint("rebalance", MONTH)
+        by_month(events)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH)

@@ -20,7 +20,10 @@ def spark(tmp_path_factory):
         "tests",
         "local[4]",
         partitions=4,
-        conf={"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
+        conf={
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+            "spark.checkpoint.dir": f"file:{tmp_path_factory.mktemp('shared')}/",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

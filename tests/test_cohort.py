@@ -58,6 +58,14 @@ def test_text_times_are_parsed(spark):
     assert flat(df, "D") == [("2024-01-01", 0, 1, 1, 100.0)]
 
 
+@pytest.mark.parametrize("granularity", ["D", "W", "M"])
+def test_times_without_zone(make_events, granularity):
+    df = make_events(dict(event_time="2024-01-01 20:00"), dict(event_time="2024-02-02 20:00"))
+    naive = df.withColumn("event_time", df.event_time.cast("timestamp_ntz"))
+    assert flat(naive, granularity) == flat(df, granularity)
+    assert sessionize(naive).count() == cohort_events(naive, granularity).count() == 2
+
+
 def test_rate_tie_rounds_up(make_events):
     rows = [dict(event_time="2024-01-01", user_id=u) for u in range(32)]
     rows.append(dict(event_time="2024-01-08", user_id=0))
