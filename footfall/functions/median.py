@@ -49,26 +49,18 @@ def total_and_median(counts: DataFrame, value: str, weight: str) -> DataFrame:
         F.when(_within("low"), F.col("low") - F.col("before")).alias("low"),
         F.when(_within("high"), F.col("high") - F.col("before")).alias("high"),
     )
-    # the slot's own columns ride along as keys
-    values = (
-        counts.join(F.broadcast(middle), slot == F.col("slot"))
-        .groupBy(*middle.columns, "value")
-        .agg(F.sum("weight").alias("value_n"))
-    )
     upward = Window.partitionBy("slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    candidates = values.withColumn("through", F.sum("value_n").over(upward)).withColumn(
-        "before", F.col("through") - F.col("value_n")
+    candidates = counts.join(F.broadcast(middle), slot == F.col("slot")).withColumn(
+        "through", F.sum("weight").over(upward)
     )
+
+    def value_at(rank: str) -> Column:
+        return F.min(F.when(F.col("through") > F.col(rank), F.col("value")))
+
     return candidates.agg(
         F.first("total").alias("total"),
         F.first("n").alias("n"),
-        (
-            (
-                F.max(F.when(_within("low"), F.col("value")))
-                + F.max(F.when(_within("high"), F.col("value")))
-            )
-            / 2.0
-        ).alias("median"),
+        ((value_at("low") + value_at("high")) / 2.0).alias("median"),
     )
 
 

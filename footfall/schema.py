@@ -44,13 +44,14 @@ def conform(df: DataFrame) -> DataFrame:
     Values that do not fit their type raise (ANSI casts); use
     ``sources.validation.validate_events`` to set such rows aside instead.
     """
-    missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
+    present = df.columns
+    missing = [c for c in REQUIRED_COLUMNS if c not in present]
     if missing:
         raise ValueError(f"raw events lack required columns: {', '.join(missing)}")
     df = with_event_time(df)
     return df.select(
         *(
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in RAW_EVENTS
         )
     )
