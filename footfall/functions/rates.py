@@ -19,23 +19,26 @@ def pct(part: Column | str, whole: Column | str, scale: int = 2) -> Column:
     return F.round(F.lit(100.0) * _col(part) / F.nullif(_col(whole), F.lit(0)), scale)
 
 
-def step_rates(first: str, second: str, third: str, names: dict[str, str]) -> dict[str, Column]:
-    """Conversion and drop-off percentages of a three-step funnel.
+def step_rates(
+    view: str, cart: str, purchase: str, overall_cr: str, overall_dropoff: str
+) -> list[Column]:
+    """Conversion and drop-off percentages of a three-step funnel, pair by pair.
 
-    ``names`` maps the keys first_second, second_third, first_third to a pair of
-    output names "<conversion>,<drop-off>".
+    The first three arguments name the step counts, the last two the overall rates.
     """
-    a, b, c = F.col(first), F.col(second), F.col(third)
-    out: dict[str, Column] = {}
-    for key, (part, whole) in {
-        "first_second": (b, a),
-        "second_third": (c, b),
-        "first_third": (c, a),
-    }.items():
-        conversion, dropoff = names[key].split(",")
-        out[conversion] = pct(part, whole)
-        out[dropoff] = pct(whole - part, whole)
-    return out
+    pairs = [
+        (view, cart, "cr_view_to_cart_pct", "dropoff_view_to_cart_pct"),
+        (cart, purchase, "cr_cart_to_purchase_pct", "dropoff_cart_to_purchase_pct"),
+        (view, purchase, overall_cr, overall_dropoff),
+    ]
+    return [
+        rate
+        for start, end, conversion, dropoff in pairs
+        for rate in (
+            pct(end, start).alias(conversion),
+            pct(F.col(start) - F.col(end), start).alias(dropoff),
+        )
+    ]
 
 
 def money_per(amount: Column | str, count: Column | str) -> Column:

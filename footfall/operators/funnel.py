@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from footfall.functions.calendar import day, epoch_us
 from footfall.functions.distinct import by_user_and_session, of_session, of_user
 from footfall.functions.median import total_and_median
-from footfall.functions.rates import pct, step_rates
+from footfall.functions.rates import step_rates
 from footfall.operators.sessions import per_session
 from footfall.schema import CART, PURCHASE, VIEW, is_event
 
@@ -24,6 +24,12 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
+def _split_rates(*names: str) -> tuple[list[Column], list[Column]]:
+    """Step rates as (conversion, drop-off) columns."""
+    rates = step_rates(*names)
+    return rates[0::2], rates[1::2]
+
+
 # --- ordered, within a session ----------------------------------------------------
 
 
@@ -124,16 +130,9 @@ def funnel_overall(steps: DataFrame) -> DataFrame:
         )
     )
     users = [f"{step}_users" for step in _REACHED.values()]
-    rates = step_rates(
-        *users,
-        names={
-            "first_second": "cr_view_to_cart_pct,dropoff_view_to_cart_pct",
-            "second_third": "cr_cart_to_purchase_pct,dropoff_cart_to_purchase_pct",
-            "first_third": "overall_conversion_rate_pct,overall_dropoff_rate_pct",
-        },
-    )
-    conversion = [c.alias(name) for name, c in rates.items() if "dropoff" not in name]
-    dropoff = [c.alias(name) for name, c in rates.items() if "dropoff" in name]
+    conversion, dropoff = _split_rates(
+        *users, "overall_conversion_rate_pct", "overall_dropoff_rate_pct"
+    )
     return _with_ttb(counted, steps).select(
         *users, *conversion, *dropoff, "avg_ttb_minutes", "median_ttb_minutes"
     )
@@ -185,16 +184,9 @@ def funnel_summary(events: DataFrame) -> DataFrame:
         )
     )
     rates = step_rates(
-        "view_users",
-        "cart_users",
-        "purchase_users",
-        names={
-            "first_second": "cr_view_to_cart_pct,dropoff_view_to_cart_pct",
-            "second_third": "cr_cart_to_purchase_pct,dropoff_cart_to_purchase_pct",
-            "first_third": "overall_cr_pct,overall_dropoff_pct",
-        },
+        "view_users", "cart_users", "purchase_users", "overall_cr_pct", "overall_dropoff_pct"
     )
-    return counted.select("*", *(c.alias(name) for name, c in rates.items()))
+    return counted.select("*", *rates)
 
 
 # --- unordered, all time ----------------------------------------------------------
@@ -214,19 +206,8 @@ def funnel_users(events: DataFrame) -> DataFrame:
 
 
 def funnel_users_rates(users: DataFrame) -> DataFrame:
-    """The all-time funnel with conversion rates and their complements to 100."""
-    return users.select(
-        "*",
-        pct("cart_users", "view_users").alias("cr_view_to_cart_pct"),
-        pct("purchase_users", "cart_users").alias("cr_cart_to_purchase_pct"),
-        pct("purchase_users", "view_users").alias("overall_cr_pct"),
-        pct(F.col("view_users") - F.col("cart_users"), "view_users").alias(
-            "dropoff_view_to_cart_pct"
-        ),
-        pct(F.col("cart_users") - F.col("purchase_users"), "cart_users").alias(
-            "dropoff_cart_to_purchase_pct"
-        ),
-        pct(F.col("view_users") - F.col("purchase_users"), "view_users").alias(
-            "overall_dropoff_pct"
-        ),
+    """The all-time funnel with conversion and drop-off rates."""
+    conversion, dropoff = _split_rates(
+        "view_users", "cart_users", "purchase_users", "overall_cr_pct", "overall_dropoff_pct"
     )
+    return users.select("*", *conversion, *dropoff)

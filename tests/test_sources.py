@@ -172,3 +172,30 @@ def test_backfill_replaces_only_its_months(spark, make_events, tmp_path):
         .collect()
     }
     assert months == {"2024-01": 1, "2024-02": 3}
+
+
+def test_a_large_month_gets_several_writers(spark, tmp_path):
+    """A month with most of the rows is split over files, not written by one task."""
+    conf = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.shuffle.partitions": "200",
+    }
+    before = {key: spark.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        path = str(tmp_path / "skewed")
+        events = order_events(spark, f"{TESTDATA}/sf0.01").withColumn(
+            "event_time",
+            F.when(F.col("product_id") % 10 > 0, F.lit("2024-01-15").cast("timestamp")).otherwise(
+                F.col("event_time")
+            ),
+        )
+        write_events(events.repartition(8), path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    files = lambda month: [f for f in os.listdir(f"{path}/event_month={month}") if f.endswith("parquet")]
+    assert len(files("2024-01")) > 1
+    assert len(files("1995-02")) == 1
+    assert read_events(spark, path, fmt="parquet").count() == 15000
