@@ -15,7 +15,7 @@ from footfall.functions.distinct import by_user_and_session, of_session, of_user
 from footfall.functions.median import total_and_median
 from footfall.functions.rates import step_rates
 from footfall.operators.sessions import per_session
-from footfall.schema import CART, PURCHASE, VIEW, is_event
+from footfall.schema import CART, NO_BRAND, NO_CATEGORY, PURCHASE, VIEW, is_event
 
 MICROS = 1_000_000
 
@@ -143,11 +143,11 @@ def funnel_overall(steps: DataFrame) -> DataFrame:
 
 def top_category(code: str = "category_code") -> Column:
     """Text before the first dot; 'uncategorized' for NULL only."""
-    return F.coalesce(F.split_part(F.col(code), F.lit("."), F.lit(1)), F.lit("uncategorized"))
+    return F.coalesce(F.split_part(F.col(code), F.lit("."), F.lit(1)), F.lit(NO_CATEGORY))
 
 
 def brand_or_unknown() -> Column:
-    return F.coalesce("brand", F.lit("unknown"))
+    return F.coalesce("brand", F.lit(NO_BRAND))
 
 
 def funnel_summary(events: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ def _per_user_day(events: DataFrame) -> DataFrame:
 def kpi_daily(events: DataFrame) -> DataFrame:
     """One row per day: users, sessions, buyers, orders, revenue and their ratios.
 
-    ``events`` may be raw or sessionized. An order is a purchase row. A session over midnight counts on both days.
+    ``events`` may be raw or sessionized. An order is a purchase row. A session over
+    midnight counts on both days.
 
     Users and sessions are counted on two branches that meet as partial sums per day.
     The user branch needs no session id; on sessionized events Catalyst drops the join.

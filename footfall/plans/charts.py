@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.operators.cohort import cohort_matrix, cohort_retention, last_index
+from footfall.schema import STAGE_LABELS
 
 
 def weekly_cohort_chart(events: DataFrame, max_index: int | None = None) -> DataFrame:
@@ -16,13 +17,11 @@ def weekly_cohort_chart(events: DataFrame, max_index: int | None = None) -> Data
 
 def funnel_stages(users: DataFrame) -> DataFrame:
     """The all-time funnel as three rows of stage label and users."""
-    stages = {
-        "1. Product Views": "view_users",
-        "2. Cart Additions": "cart_users",
-        "3. Completed Purchases": "purchase_users",
-    }
-    cells = (c for label, users in stages.items() for c in (F.lit(label), F.col(users)))
-    return users.select(F.stack(F.lit(len(stages)), *cells).alias("stage", "users"))
+    counts = ("view_users", "cart_users", "purchase_users")
+    cells = (
+        c for label, users in zip(STAGE_LABELS, counts) for c in (F.lit(label), F.col(users))
+    )
+    return users.select(F.stack(F.lit(len(counts)), *cells).alias("stage", "users"))
 
 
 def heatmap_feed(
@@ -37,7 +36,9 @@ def heatmap_feed(
     cohorts = flat.groupBy("cohort_group").agg(
         F.max(F.when(F.col("cohort_index") == 0, F.col("cohort_size"))).alias("size"),
         # at most one entry per elapsed period
-        F.map_from_entries(F.collect_list(F.struct("cohort_index", "retention_rate"))).alias("rates"),
+        F.map_from_entries(
+            F.collect_list(F.struct("cohort_index", "retention_rate"))
+        ).alias("rates"),
     )
     cells = cohorts.select(
         "cohort_group",
@@ -50,9 +51,7 @@ def heatmap_feed(
     return cells.select(
         "cohort_group",
         "cohort_index",
-        F.concat("cohort_group", F.lit(f"{gap}(N="), F.col("size").cast("string"), F.lit(")")).alias(
-            "row_label"
-        ),
+        F.format_string(f"%s{gap}(N=%d)", "cohort_group", "size").alias("row_label"),
         F.concat(F.lit(f"{prefix} "), F.col("cohort_index").cast("string")).alias("column_label"),
         "retention_rate",
         F.when(F.col("retention_rate").isNull(), "")

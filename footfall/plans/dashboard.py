@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from footfall.functions.rates import mean_of_rounded, money_per, pct
 from footfall.operators.funnel import brand_or_unknown, flag, top_category
 from footfall.operators.kpi import purchase_amount
-from footfall.schema import PURCHASE, VIEW, is_event
+from footfall.schema import PURCHASE, STEP_LABELS, VIEW, is_event
 
 
 def kpi_cards(kpi_daily: DataFrame) -> DataFrame:
@@ -37,19 +37,15 @@ def kpi_cards(kpi_daily: DataFrame) -> DataFrame:
 def funnel_totals(summary: DataFrame) -> DataFrame:
     """Three rows: step label, summed users, and their share of the first and last step."""
     totals = summary.agg(*(F.sum(f"{s}_users").alias(s) for s in ("view", "cart", "purchase")))
-    # step label, its users, users of the step before
-    rows = [
-        ("1. View Product", "view", "view"),
-        ("2. Add to Cart", "cart", "view"),
-        ("3. Purchase", "purchase", "cart"),
-    ]
+    # its users and those of the step before
+    pairs = [("view", "view"), ("cart", "view"), ("purchase", "cart")]
     cells = (
         c
-        for label, users, previous in rows
+        for label, (users, previous) in zip(STEP_LABELS, pairs)
         for c in (F.lit(label), F.col(users), F.col(previous), F.col("view"))
     )
     steps = totals.select(
-        F.stack(F.lit(len(rows)), *cells).alias("step", "users", "previous", "first")
+        F.stack(F.lit(len(pairs)), *cells).alias("step", "users", "previous", "first")
     )
     return steps.select(
         "step",
@@ -111,7 +107,7 @@ def category_revenue(events: DataFrame, summary: DataFrame) -> DataFrame:
     return (
         revenue.unionByName(conversion, allowMissingColumns=True)
         .groupBy("top_category")
-        .agg(F.max("revenue").alias("revenue"), F.max("avg_overall_cr_pct").alias("avg_overall_cr_pct"))
+        .agg(*(F.max(c).alias(c) for c in ("revenue", "avg_overall_cr_pct")))
     )
 
 
@@ -136,7 +132,9 @@ def brand_matrix(events: DataFrame) -> DataFrame:
 # --- global filters ---------------------------------------------------------------
 
 
-def in_last_days(df: DataFrame, as_of: date, days: int = 30, column: str = "event_date") -> DataFrame:
+def in_last_days(
+    df: DataFrame, as_of: date, days: int = 30, column: str = "event_date"
+) -> DataFrame:
     """Rows of the ``days`` days ending with ``as_of``, both ends included."""
     return df.filter(F.col(column).between(as_of - timedelta(days=days - 1), as_of))
 

@@ -23,7 +23,11 @@ RAW_EVENTS = T.StructType(
 RAW_COLUMNS = RAW_EVENTS.fieldNames()
 REQUIRED_COLUMNS = [f.name for f in RAW_EVENTS if not f.nullable]
 
+# Event types, names for missing categories and brands, result labels.
 VIEW, CART, PURCHASE = "view", "cart", "purchase"
+NO_CATEGORY, NO_BRAND = "uncategorized", "unknown"
+STAGE_LABELS = ("1. Product Views", "2. Cart Additions", "3. Completed Purchases")
+STEP_LABELS = ("1. View Product", "2. Add to Cart", "3. Purchase")
 
 
 def is_event(event_type: str) -> Column:

@@ -51,6 +51,7 @@ def difference(df, con, sql: str) -> str | None:
         return f"{len(ours[1])} rows != {len(theirs[1])}"
     for a, b in zip(ours[1], theirs[1]):
         if a != b or [type(x) for x in a] != [type(x) for x in b]:
-            cells = [(c, x, y) for c, x, y in zip(ours[0], a, b) if x != y or type(x) is not type(y)]
-            return f"row differs: {cells[:4]}"
+            cells = zip(ours[0], a, b)
+            wrong = [c for c in cells if c[1] != c[2] or type(c[1]) is not type(c[2])]
+            return f"row differs: {wrong[:4]}"
     return None

@@ -19,7 +19,8 @@ def flat(df, *args, **kw):
 
 
 def test_iso_year_edges(make_events):
-    rows = [dict(event_time=d, user_id=i) for i, d in enumerate(["2024-01-01", "2024-12-30", "2021-01-02"])]
+    days = ["2024-01-01", "2024-12-30", "2021-01-02"]
+    rows = [dict(event_time=d, user_id=i) for i, d in enumerate(days)]
     assert [r[0] for r in flat(make_events(*rows), "W")] == ["2020-W53", "2024-W01", "2025-W01"]
 
 
@@ -110,12 +111,14 @@ def test_weekly_mart_from_raw_and_sessionized(make_events):
     df = make_events(dict(event_time="2024-01-03"), dict(event_time="2024-01-08"))
     for source in (df, sessionize(df)):
         rows = cohort_retention_weekly(source).collect()
-        assert [tuple(r)[1:] for r in rows] == [("Week 0", 0, 1, 1, 100.0), ("Week 1", 1, 1, 1, 100.0)]
+        assert [tuple(r)[1:] for r in rows] == [
+            ("Week 0", 0, 1, 1, 100.0), ("Week 1", 1, 1, 1, 100.0),
+        ]
         assert str(rows[0].cohort_week) == "2024-01-01"
 
 
 def test_cohort_events_keep_every_row(make_events):
-    df = make_events(dict(event_time="2024-01-03"), dict(event_time="2024-01-03"), dict(event_time="2024-02-08"))
+    df = make_events(*(dict(event_time=d) for d in ("2024-01-03", "2024-01-03", "2024-02-08")))
     rows = cohort_events(df, "M").orderBy("event_time").collect()
     assert [(r.cohort_group, r.event_period, r.cohort_index) for r in rows] == [
         ("2024-01", "2024-01", 0), ("2024-01", "2024-01", 0), ("2024-01", "2024-02", 1),

@@ -87,7 +87,8 @@ def test_order_cohort_rows(spark, granularity, rows):
 
 
 @pytest.mark.parametrize(
-    "granularity, event_filter, rows", [("D", None, 82), ("W", None, 5), ("M", None, 1), ("D", "purchase", 210)]
+    "granularity, event_filter, rows",
+    [("D", None, 82), ("W", None, 5), ("M", None, 1), ("D", "purchase", 210)],
 )
 def test_shop_cohort_rows(shop, granularity, event_filter, rows):
     assert cohort_retention(shop, granularity, event_filter).count() == rows

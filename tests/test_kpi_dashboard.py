@@ -84,7 +84,8 @@ def test_dropoff_skips_days_without_a_rate(make_events):
 
 def test_treemap_levels(make_events):
     summary = funnel_summary(make_events(*SUMMARY_ROWS))
-    levels = {r.level: (r.top_category, r.brand, r.volume) for r in dashboard.treemap_rollup(summary).collect()}
+    rows = dashboard.treemap_rollup(summary).collect()
+    levels = {r.level: (r.top_category, r.brand, r.volume) for r in rows}
     assert levels == {0: ("a", "b", 0), 1: ("a", None, 0), 3: (None, None, 0)}
     assert dashboard.treemap(summary).count() == 1
 
@@ -92,7 +93,10 @@ def test_treemap_levels(make_events):
 def test_brand_and_category_revenue(make_events):
     rows = [
         *SUMMARY_ROWS,
-        dict(event_time="2024-01-05", user_id=3, category_code="a.x", brand="b", event_type="purchase", price="7"),
+        dict(
+            event_time="2024-01-05", user_id=3, category_code="a.x", brand="b",
+            event_type="purchase", price="7",
+        ),
     ]
     events = make_events(*rows)
     row = dashboard.brand_matrix(events).first()

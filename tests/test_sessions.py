@@ -75,10 +75,11 @@ def test_random_histories_against_brute_force(make_events, gap):
     """Dense, sparse and exactly-one-gap steps, around the epoch and after it."""
     rng = random.Random(str(gap))
     rows = []
-    for user, start in ((1, datetime(1969, 12, 30)), (2, datetime(2024, 2, 28)), (3, datetime(1970, 1, 1))):
-        time = start
+    for user, start in enumerate([(1969, 12, 30), (2024, 2, 28), (1970, 1, 1)]):
+        time = datetime(*start)
         for _ in range(400):
-            step = rng.choice([gap, gap, gap + timedelta(microseconds=1), gap * rng.random(), gap * 3])
+            steps = [gap, gap, gap + timedelta(microseconds=1), gap * rng.random(), gap * 3]
+            step = rng.choice(steps)
             time += rng.choice([step, timedelta(0)])
             rows.append((user, time))
     df = make_events(*(dict(user_id=u, event_time=t) for u, t in rows))
@@ -108,7 +109,9 @@ def test_rows_and_session_starts_are_conserved(spark):
     assert out.count() == events.count()
     per_user = out.groupBy("user_id").agg(
         F.countDistinct("calculated_session_id").alias("n"),
-        F.max(F.split_part("calculated_session_id", F.lit("_s"), F.lit(2)).cast("int")).alias("last"),
+        F.max(F.split_part("calculated_session_id", F.lit("_s"), F.lit(2)).cast("int")).alias(
+            "last"
+        ),
     )
     assert per_user.filter("n <> last").count() == 0
 
