@@ -180,8 +180,9 @@ def last_index(flat: DataFrame) -> int:
 def cohort_matrix(flat: DataFrame, value: str, max_index: int | None = None) -> DataFrame:
     """One row per cohort, one column per index; cells without activity are NULL.
 
-    ``value`` is ``active_users`` or ``retention_rate``. Pass ``max_index`` to keep the
-    call lazy; otherwise one aggregate finds it, since the columns are part of the schema.
+    ``value`` is ``active_users`` or ``retention_rate``. The columns are part of the schema,
+    so one aggregate finds the last index. Pass ``max_index`` to keep the call lazy; the
+    columns then end there.
     """
     columns = range((last_index(flat) if max_index is None else max_index) + 1)
     return (

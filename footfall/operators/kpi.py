@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.calendar import day
 from footfall.functions.rates import money_per, pct
-from footfall.operators.sessions import per_session
+from footfall.operators.sessions import session_groups
 from footfall.schema import PURCHASE, is_event
 
 
@@ -49,7 +49,7 @@ def kpi_daily(events: DataFrame) -> DataFrame:
         )
     )
     of_sessions = (
-        per_session(events, {"event_date": day("event_time")}, {})
+        session_groups(events, {"event_date": day("event_time")}, {})
         .select("event_date", "effective_session_id")
         .distinct()
         .groupBy("event_date")

@@ -86,33 +86,46 @@ def sessionize(events: DataFrame, gap: timedelta = GAP) -> DataFrame:
 Measure = tuple[Callable[[Column], Column], Column]
 
 
-def per_session(
+def _aggregate(frame: DataFrame, by: list, measures: dict[str, Measure]) -> DataFrame:
+    if not measures:
+        return frame.select(*by).distinct()
+    return frame.groupBy(*by).agg(*(f(c).alias(n) for n, (f, c) in measures.items()))
+
+
+def session_groups(
     df: DataFrame,
     keys: dict[str, Column],
     measures: dict[str, Measure],
     gap: timedelta = GAP,
 ) -> DataFrame:
-    """Aggregate per (user, effective session, keys).
+    """``user_id``, ``effective_session_id``, keys and partial measures, any number of rows each.
 
     ``measures`` maps a name to (function, input), the function being one that merges its
     own results: ``F.min``, ``F.max`` or ``F.sum``. ``df`` is either sessionized already,
     or raw events: those are first aggregated per (user, frontend session, slot, keys), so
     that groups rather than rows are looked up, and a hot group shrinks before any shuffle.
     """
-
-    def aggregate(frame: DataFrame, by: list, inputs: dict[str, Measure]) -> DataFrame:
-        if not inputs:
-            return frame.select(*by).distinct()
-        return frame.groupBy(*by).agg(*(f(c).alias(n) for n, (f, c) in inputs.items()))
-
     key_columns = [c.alias(n) for n, c in keys.items()]
     if "effective_session_id" in df.columns:
-        return aggregate(df, ["user_id", "effective_session_id", *key_columns], measures)
+        inputs = [c.alias(n) for n, (_, c) in measures.items()]
+        return df.select("user_id", "effective_session_id", *key_columns, *inputs)
     slot = slot_start(F.col("event_time"), micros(gap)).alias("slot")
-    compact = aggregate(df, ["user_id", "user_session", slot, *key_columns], measures)
+    compact = _aggregate(df, ["user_id", "user_session", slot, *key_columns], measures)
+    return _with_session_ids(compact, session_slots(df, gap)).select(
+        "user_id", "effective_session_id", *keys, *measures
+    )
+
+
+def per_session(
+    df: DataFrame,
+    keys: dict[str, Column],
+    measures: dict[str, Measure],
+    gap: timedelta = GAP,
+) -> DataFrame:
+    """Aggregate raw or sessionized events per (user, effective session, keys)."""
+    groups = session_groups(df, keys, measures, gap)
     merge = {n: (f, F.col(n)) for n, (f, _) in measures.items()}
-    named = _with_session_ids(compact, session_slots(df, gap))
-    return aggregate(named, ["user_id", "effective_session_id", *keys], merge)
+    return _aggregate(groups, ["user_id", "effective_session_id", *keys], merge)
 
 
 def session_steps(df: DataFrame, per_instant: bool = False, gap: timedelta = GAP) -> DataFrame:
