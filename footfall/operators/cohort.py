@@ -185,9 +185,10 @@ def cohort_matrix(flat: DataFrame, value: str, max_index: int | None = None) ->
     columns then end there.
     """
     columns = range((last_index(flat) if max_index is None else max_index) + 1)
+    # one value per cell; max, unlike first, lets Catalyst drop the sort of ``flat``
     return (
         flat.groupBy("cohort_group")
         .pivot("cohort_index", list(columns))
-        .agg(F.first(value))
+        .agg(F.max(value))
         .orderBy("cohort_group")
     )

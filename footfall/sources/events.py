@@ -6,8 +6,9 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from footfall.schema import conform
+from footfall.schema import conform, with_event_time
 
 MONTH = "event_month"
 
@@ -39,10 +40,12 @@ def read_events(
     On a month-partitioned folder the range also becomes a range of months: Spark
     prunes folders by the partition column only, not by the time it derives from.
     """
-    loaded = load_events(spark, path, fmt)
+    loaded = with_event_time(load_events(spark, path, fmt))
     if MONTH in loaded.columns:
         loaded = loaded.filter(_month_range(start, end))
-    return conform(loaded).filter(_time_range(start, end))
+    # compared in the type of the file, so that the filter reaches the scan
+    time_type = loaded.schema["event_time"].dataType
+    return conform(loaded.filter(_time_range(start, end, time_type)))
 
 
 def _month_range(start: datetime | None, end: datetime | None) -> Column:
@@ -55,12 +58,15 @@ def _month_range(start: datetime | None, end: datetime | None) -> Column:
     return kept
 
 
-def _time_range(start: datetime | None, end: datetime | None) -> Column:
+def _time_range(start: datetime | None, end: datetime | None, time_type: DataType) -> Column:
+    def moment(at: datetime) -> Column:
+        return F.lit(_utc(at).isoformat(sep=" ")).cast(time_type)
+
     time, kept = F.col("event_time"), F.lit(True)
     if start is not None:
-        kept = kept & (time >= F.lit(_utc(start).isoformat(sep=" ")).cast("timestamp"))
+        kept = kept & (time >= moment(start))
     if end is not None:
-        kept = kept & (time < F.lit(_utc(end).isoformat(sep=" ")).cast("timestamp"))
+        kept = kept & (time < moment(end))
     return kept
 
 

@@ -2,6 +2,8 @@ import os
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import TESTDATA
 from pyspark.errors import AnalysisException
@@ -117,6 +119,29 @@ def test_formats(spark, make_events, tmp_path):
     assert read_events(spark, csv).count() == 2
 
 
+def test_files_with_zoneless_times_and_float_prices(spark, tmp_path):
+    """Data frame libraries write naive times and float prices."""
+    path = str(tmp_path / "naive.parquet")
+    table = pa.table(
+        {
+            "event_time": pa.array([datetime(2024, 1, d, 12) for d in (1, 2, 3)], pa.timestamp("us")),
+            "event_type": ["view", "cart", "purchase"],
+            "product_id": [1, 1, 1],
+            "price": [1.005, 2.0, None],
+            "user_id": [1, 1, 1],
+            "user_session": [UUID] * 3,
+        }
+    )
+    pq.write_table(table, path)
+    whole = read_events(spark, path)
+    assert [f.dataType for f in whole.schema] == [f.dataType for f in RAW_EVENTS]
+    assert sorted(r.event_time.day for r in whole.collect()) == [1, 2, 3]
+    part = read_events(spark, path, datetime(2024, 1, 2), datetime(2024, 1, 3))
+    assert [r.event_time for r in part.collect()] == [datetime(2024, 1, 2, 12)]
+    scan = part._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(event_time" in scan.split("PushedFilters: [")[1]
+
+
 @pytest.mark.parametrize("path", ["events.json", "events.PARQUET", "events"])
 def test_unsupported_format(spark, path):
     with pytest.raises(ValueError, match="unsupported file format"):
