@@ -43,20 +43,10 @@ def session_slots(events: DataFrame, gap: timedelta = GAP) -> DataFrame:
     )
 
 
-def _with_session_ids(slotted: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Look up the session of rows that carry ``user_id``, ``slot`` and ``user_session``.
-
-    An equi-join on (user, slot) spreads one user's rows over many partitions. It is a
-    left join on unique keys, so a result without session ids loses it in optimization.
-    """
-    calculated = F.concat(
+def _calculated_id() -> Column:
+    return F.concat(
         F.col("user_id").cast("string"), F.lit("_s"), F.col("session_seq").cast("string")
     )
-    return (
-        slotted.join(numbered, ["user_id", "slot"], "left")
-        .withColumn("calculated_session_id", calculated)
-        .withColumn("effective_session_id", F.coalesce("user_session", "calculated_session_id"))
-    )
 
 
 def sessionize(events: DataFrame, gap: timedelta = GAP) -> DataFrame:
@@ -66,20 +56,27 @@ def sessionize(events: DataFrame, gap: timedelta = GAP) -> DataFrame:
     ``gap`` stays inside. The effective id is the frontend's own id where there is one.
     Rows in = rows out. Filter by time afterwards, never before: sessions depend on a
     user's whole history.
+
+    Rows look up their session by an equi-join on (user, slot), which spreads one user's
+    rows over many partitions. It is a left join on unique keys, so a result without
+    session ids loses it in optimization.
     """
-    slotted = events.withColumn("slot", slot_start(F.col("event_time"), micros(gap)))
-    return _with_session_ids(slotted, session_slots(events, gap)).select(
-        "event_time",
-        "event_type",
-        "product_id",
-        "category_id",
-        "category_code",
-        "brand",
-        "price",
-        "user_id",
-        F.col("user_session").alias("raw_user_session"),
-        "calculated_session_id",
-        "effective_session_id",
+    return (
+        events.withColumn("slot", slot_start(F.col("event_time"), micros(gap)))
+        .join(session_slots(events, gap), ["user_id", "slot"], "left")
+        .select(
+            "event_time",
+            "event_type",
+            "product_id",
+            "category_id",
+            "category_code",
+            "brand",
+            "price",
+            "user_id",
+            F.col("user_session").alias("raw_user_session"),
+            _calculated_id().alias("calculated_session_id"),
+            F.coalesce("user_session", _calculated_id()).alias("effective_session_id"),
+        )
     )
 
 
@@ -102,17 +99,26 @@ def session_groups(
 
     ``measures`` maps a name to (function, input), the function being one that merges its
     own results: ``F.min``, ``F.max`` or ``F.sum``. ``df`` is either sessionized already,
-    or raw events: those are first aggregated per (user, frontend session, slot, keys), so
-    that groups rather than rows are looked up, and a hot group shrinks before any shuffle.
+    or raw events. Of those, rows with a frontend session need no lookup; the others are
+    first aggregated per (user, slot, keys), so that groups rather than rows are looked up
+    and a hot group shrinks before any shuffle.
     """
     key_columns = [c.alias(n) for n, c in keys.items()]
+    inputs = [c.alias(n) for n, (_, c) in measures.items()]
     if "effective_session_id" in df.columns:
-        inputs = [c.alias(n) for n, (_, c) in measures.items()]
         return df.select("user_id", "effective_session_id", *key_columns, *inputs)
+    session = F.col("user_session")
+    named = df.filter(session.isNotNull()).select(
+        "user_id", session.alias("effective_session_id"), *key_columns, *inputs
+    )
     slot = slot_start(F.col("event_time"), micros(gap)).alias("slot")
-    compact = _aggregate(df, ["user_id", "user_session", slot, *key_columns], measures)
-    return _with_session_ids(compact, session_slots(df, gap)).select(
-        "user_id", "effective_session_id", *keys, *measures
+    unnamed = _aggregate(
+        df.filter(session.isNull()), ["user_id", slot, *key_columns], measures
+    ).join(session_slots(df, gap), ["user_id", "slot"], "left")
+    return named.unionByName(
+        unnamed.select(
+            "user_id", _calculated_id().alias("effective_session_id"), *keys, *measures
+        )
     )
 
 

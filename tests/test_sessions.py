@@ -123,6 +123,19 @@ def test_steps_from_raw_and_sessionized_events_agree(spark):
     assert raw.count() == sessionized.count()
 
 
+@pytest.mark.parametrize("source", [lambda df: df, sessionize], ids=["raw", "sessionized"])
+def test_frontend_id_that_looks_calculated(make_events, source):
+    """Equal effective ids of a user are one session, wherever they come from."""
+    rows = [
+        dict(event_time="2024-01-01 10:00"),
+        dict(event_time="2024-01-01 18:00", event_type="cart", user_session="1_s1"),
+        dict(event_time="2024-01-01 18:05", user_id=2, user_session="1_s1"),
+    ]
+    steps = session_steps(source(make_events(*rows))).orderBy("user_id").collect()
+    assert [(r.user_id, r.effective_session_id) for r in steps] == [(1, "1_s1"), (2, "1_s1")]
+    assert steps[0].min_cart_time == datetime(2024, 1, 1, 18)
+
+
 def test_session_start_and_end(make_events):
     row = session_steps(
         make_events(
