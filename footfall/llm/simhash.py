@@ -59,22 +59,35 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
 ) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed 64-bit integer."""
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())])
+    """(doc_id, row_hash, fp): the fingerprint of every row as a signed 64-bit integer.
+
+    row_hash: a hash of id and text, which tells rows of equal id apart.
+    """
+    plain = only(docs, doc_id=id_col, text=text_col)
+    plain = plain.withColumn("row_hash", row_hash("doc_id", "text"))
+    kept = plain.drop("text").schema.fields
+    schema = T.StructType([*kept, T.StructField("fp", T.LongType())])
 
     def make():
         def work(batch):
             fps = np.array([fingerprint(t, shingle) for t in texts(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fps.view(np.int64))], schema.fieldNames()
+                [batch.column("doc_id"), batch.column("row_hash"), pa.array(fps.view(np.int64))],
+                schema.fieldNames(),
             )
 
         return work
 
-    return per_batch(only(docs, doc_id=id_col, text=text_col), make, schema)
+    return per_batch(plain, make, schema)
+
+
+def row_hash(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
 def _segment_counts(fp: Column) -> Column:
@@ -130,6 +143,17 @@ def near_links(distinct_fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.union(stars)
 
 
+def _rooted(fps: DataFrame, crowded: int) -> DataFrame:
+    """(fp, root, least_row): the component of every distinct fingerprint, with the least
+    (doc_id, row_hash) of the rows that have the fingerprint; null ids come last."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")
+    nodes = stash(fps.groupBy("fp").agg(F.min(row).alias("least_row")), "nodes")
+    roots = stash(component_roots(near_links(nodes.select("fp"), crowded)), "roots")
+    return nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", "least_row", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED
 ) -> DataFrame:
@@ -141,14 +165,27 @@ def near_duplicates(
     smallest, and a component of null ids alone has a null component_id.
     """
     fps = stash(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    nodes = stash(nodes, "nodes")
-    roots = stash(component_roots(near_links(nodes.select("fp"), crowded)), "roots")
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
+    rooted = _rooted(fps, crowded)
+    least = rooted.groupBy("root").agg(F.min("least_row")["doc_id"].alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED
+) -> DataFrame:
+    """One row of each component, all columns unchanged: the one with the smallest id.
+
+    Of several rows with that id the one with the least hash stays; of rows that are equal in
+    id and text, any one.
+    """
+    fps = stash(fingerprints(docs, id_col, text_col), "fingerprints")
+    least = _rooted(fps, crowded).groupBy("root").agg(F.min("least_row")["row_hash"].alias("kept"))
+    held = docs.select(row_hash(id_col, text_col).alias("row_hash"), F.struct("*").alias("row"))
+    return (
+        held.join(least.select("kept").distinct(), F.col("row_hash") == F.col("kept"))
+        .dropDuplicates(["row_hash"])
+        .select("row.*")
+    )
