@@ -20,6 +20,15 @@ from footfall.plans import charts, dashboard, marts
 from footfall.settings import shared_dir
 from footfall.sources import adapters, events, validation
 
+try:
+    import corpus_pipeline
+    from footfall.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # the training-data operators are optional: only their absence is tolerated
+    if missing.name not in ("corpus_pipeline", "footfall.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -108,7 +117,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return cohort.cohort_retention(df, "M")
 
     last_month, last_week = oracles.ORDER_MONTHS, oracles.ORDER_WEEKS
-    return {
+    corpus = {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
+    return corpus | {
         "sessionize": shop(sessions.sessionize),
         "session_steps": clicks(steps),
         "session_funnel": clicks(lambda df: funnel.session_funnel(steps(df))),
@@ -171,4 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    corpus = llm.oracle_sql() if llm else {}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        corpus["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return corpus | oracles.oracle_sql()
