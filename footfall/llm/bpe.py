@@ -341,7 +341,7 @@ class PieceEncoder:
         """(number of ids, ids joined by spaces, decoded text) of each text."""
         split = [t.encode().split() for t in group]
         self.wanted = set().union(*split)
-        self.learn(self.wanted - self.known.keys())
+        self.learn(self.wanted.difference(self.known))
         results = []
         for pieces in split:
             found = [f for f in map(self.known.__getitem__, pieces) if f[0]]

@@ -78,7 +78,7 @@ class UnigramScores:
         """(words, tokens) of each text."""
         split = [t.encode().split() for t in group]
         wanted = set().union(*split)
-        fresh = wanted - self.counts.keys()
+        fresh = wanted.difference(self.counts)
         if len(self.counts) + len(fresh) > REMEMBERED:
             self.counts.clear()
             fresh = wanted
