@@ -12,7 +12,8 @@ of all blocks are merged. A pair within the window of several curves counts on t
 
 What is fitted, on samples of bounded size: quantiles and positions on about ``SAMPLE``
 vectors, and the width of the window on ``PROBES`` of them, whose true neighbours are found by
-one pass over all vectors: the least width that holds the share ``RECALL`` of these neighbours.
+one pass over all vectors: the least width that holds the share ``RECALL`` of these neighbours,
+and ``LEAST_WINDOW`` times k rows on either side.
 Vectors with structure need narrow windows; where neighbours hardly stand out (independent
 coordinates in many dimensions) the window grows to a fixed share of the data, and the work
 with the number of queries times the number of vectors.
@@ -43,6 +44,7 @@ BITS = 6
 SAMPLE = 16_384
 PROBES = 128
 RECALL = 0.975
+LEAST_WINDOW = 4
 BLOCK = 16_384
 QUERIES_AT_ONCE = 128
 SEED = 11
@@ -288,6 +290,8 @@ def nearest(
     indexed = rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth")
     indexed = stash(indexed, "indexed")
     curves, width, n = fit(indexed, dimension, k)
+    # enough rows on either side that no query finds fewer than k while there are more
+    width = max(width, LEAST_WINDOW * k / n)
     blocks = max(1, -(-n // BLOCK))
 
     on_curve = F.posexplode("p").alias("curve", "at")

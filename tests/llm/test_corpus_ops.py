@@ -1,0 +1,513 @@
+"""The training-data operators: brute force on small tables and odd rows."""
+
+import base64
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+from math import log10
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import TESTDATA
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from footfall.llm import (
+    bpe,
+    hilbert_search,
+    hmm,
+    pareto_mix,
+    quality,
+    simhash,
+    token_files,
+    unigram_counts,
+)
+from footfall.llm.common import fresh_path
+from footfall.llm.queries import BYTE_BPE, PIECES, WORD_BPE, vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size int"
+LONG = " ".join("ba na to ri".split()[i * i % 4] + str(i % 97) for i in range(60000))
+
+
+def rows():
+    """Nulls, empty and long texts, ties, repeats; kept and size clash with results."""
+    plain = [
+        (1, "The Cat sat on the mat. " * 3),
+        (2, "the cat SAT on the mat. " * 3),
+        (3, None),
+        (4, ""),
+        (5, " \t\n"),
+        (6, "one"),
+        (6, "one"),
+        (6, "two words"),
+        (None, "no id here"),
+        (None, None),
+        (7, LONG),
+        (8, "É́ ß ΑΣ <|endoftext|> it's\n\n  x\x1cy z"),
+        (9, "word " * 4000),
+    ]
+    sources = ["a", "b", None, "c"]
+    return [
+        (i, t, None, sources[n % 4], None, "yes", 3) for n, (i, t) in enumerate(plain)
+    ]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").cache()
+
+
+def as_multiset(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+# -- quality -----------------------------------------------------------------
+
+
+def base_counts(text):
+    text = text or ""
+    w = [x.decode() for x in words(text)]
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = Counter(windows)
+    marked = {i + k for i, x in enumerate(windows) if often[x] > 1 for k in range(3)}
+    lines, dups = set(), 0
+    for line in text.split("\n"):
+        if words(line):
+            dups += line in lines
+            lines.add(line)
+    failed = len(w) < 50 or 100 * len(marked) > 50 * len(w)
+    symbols = sum(c in "#*$%&|<>" for c in text)
+    return len(w), sum(map(len, w)), symbols, dups, len(marked), failed
+
+
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_quality_counts(table, request):
+    df = request.getfixturevalue(table)
+    got = quality.quality_report(df).select(*quality.SCHEMA.fieldNames()[:7])
+    want = Counter((r.doc_id, *base_counts(r.text)) for r in df.collect())
+    assert as_multiset(got) == want
+
+
+def test_quality_bands(spark, none):
+    random_ = random.Random(3)
+    syllables = "an er the ing ou st re on".split()
+    prose = " ".join("".join(random_.choices(syllables, k=random_.randint(1, 4))) for _ in range(400))
+    noise = " ".join(
+        base64.b64encode(random.Random(i).randbytes(9)).decode() for i in range(800)
+    )
+    repeats = "\n".join(f"line {i} says the same thing over and over in many words" for i in range(2000))
+    df = spark.createDataFrame([(1, prose), (2, noise), (3, repeats)], "doc_id long, text string")
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality_report(df).collect()}
+    assert kept[1] == (False, True)
+    assert not kept[2][1] and not kept[3][1]
+    assert [r.doc_id for r in quality.keep_good(df).collect()] == [1]
+    assert quality.keep_good(df).columns == df.columns
+    assert quality.quality_report(none).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 4095, 4096, 5119, 5120, 8191, 9215, 9216, 100_000])
+def test_chunks_cover_everything(n):
+    sizes = quality.chunk_sizes(n)
+    assert sum(sizes) == n and all(s >= min(n, quality.LEAST_CHUNK) for s in sizes)
+
+
+# -- simhash -----------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    w = [x.lower() for x in words(text)]
+    if not w:
+        return 0
+    grams = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(table):
+    ids, fps = [r.doc_id for r in table], [plain_fingerprint(r.text) for r in table]
+    parent = list(range(len(ids)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                parent[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, doc in enumerate(ids):
+        least[find(i)] += [] if doc is None else [doc]
+    firsts = {root: min(found, default=None) for root, found in least.items()}
+    rows_ = Counter((ids[i], f"{fps[i]:016x}", firsts[find(i)]) for i in range(len(ids)))
+    return rows_, Counter(firsts.values())
+
+
+@pytest.mark.parametrize("crowded", [4096, 1])
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_simhash(table, crowded, request):
+    df = request.getfixturevalue(table)
+    assert as_multiset(simhash.near_duplicates(df, crowded=crowded)) == plain_components(df.collect())[0]
+
+
+def test_simhash_chains_and_crowds(spark):
+    """Fingerprints that form chains and dense balls give the same components either way."""
+    random_ = random.Random(5)
+    fps = set()
+    for _ in range(6):
+        center = random_.getrandbits(64)
+        for _ in range(40):
+            fp = center
+            for _ in range(random_.randrange(5)):
+                fp ^= 1 << random_.randrange(64)
+            fps.add(fp)
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    df = spark.createDataFrame(signed, "fp long")
+    got = [
+        {
+            r.node: r.root
+            for r in simhash.component_roots(simhash.near_links(df, crowded)).collect()
+        }
+        for crowded in (4096, 1)
+    ]
+    ids = [f for (f,) in signed]
+    linked = [
+        (a, b) for a in ids for b in ids if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2
+    ]
+    parent = {i: i for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in linked:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    want = {i: find(i) for pair in linked for i in pair}
+    assert got[0] == got[1] == want
+
+
+def test_keep_first(odd, none, docs):
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns
+    assert Counter(r.doc_id for r in kept.collect()) == plain_components(odd.collect())[1]
+    assert simhash.keep_first(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
+    firsts = plain_components(docs.collect())[1]
+    assert Counter(r.doc_id for r in simhash.keep_first(docs).collect()) == firsts
+
+
+# -- encoders ----------------------------------------------------------------
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("table", ["odd", "docs", "none"])
+def test_bpe_equals_the_library(table, request):
+    df = request.getfixturevalue(table)
+    library = Tokenizer.from_file(vocabulary(WORD_BPE))
+    want = Counter()
+    for r in df.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        want[(r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(text))] += 1
+    got = bpe.digests(bpe.encode_and_decode(df, vocabulary(WORD_BPE)))
+    assert as_multiset(got) == want
+
+
+def test_bpe_merges_of_many_words_at_once():
+    table = bpe.MergeTable(vocabulary(WORD_BPE))
+    random_ = random.Random(2)
+    made = ["".join(random_.choice("abcdeintr") for _ in range(random_.randint(1, 60))) for _ in range(3000)]
+    assert table.encode_words(made) == [table.merge(w) for w in made]
+
+
+@pytest.mark.parametrize("table", ["odd", "docs", "none"])
+def test_token_files(spark, table, request):
+    df = request.getfixturevalue(table)
+    library = Tokenizer.from_file(vocabulary(BYTE_BPE))
+    path = fresh_path(spark, "tokens")
+    parts = token_files.write_token_files(df, path, vocabulary(BYTE_BPE), 2)
+    got = token_files.read_token_files(spark, path, parts).collect()
+    want = Counter(
+        (r.doc_id, tuple(library.encode(r.text or "", add_special_tokens=False).ids) + (2,))
+        for r in df.collect()
+    )
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at and r.n_tokens == len(r.ids) // 4
+        at += r.n_tokens
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 70_001])
+def test_control_bytes(n):
+    values = np.random.default_rng(n).integers(0, 2**32, n, dtype=np.uint32)
+    values >>= np.random.default_rng(n + 1).integers(0, 32, n).astype(np.uint32)
+    control, data = map(lambda b: np.frombuffer(b, np.uint8), token_files.pack(values))
+    assert np.array_equal(token_files.unpack(control, data, n), values)
+
+
+def test_unigram_counts(odd, none, docs):
+    scores = unigram_counts.UnigramScores(vocabulary(PIECES))
+
+    def count(word):
+        best = [(0.0, 0)]
+        word = unigram_counts.WORD_MARK + word.decode()
+        for end in range(1, len(word) + 1):
+            size = len(word[end - 1].encode())
+            found = [(best[-1][0] + scores.unknown * size, best[-1][1] - size)]
+            for begin in range(end):
+                if word[begin:end] in scores.scores:
+                    s, n = best[begin]
+                    found.append((s + scores.scores[word[begin:end]], n - 1))
+            best.append(max(found))
+        return -best[-1][1]
+
+    for df in (odd, docs.limit(40)):
+        seen = {}
+        want = Counter()
+        for r in df.collect():
+            w = words(r.text)
+            seen.update((x, count(x)) for x in set(w) - seen.keys())
+            want[(r.doc_id, len(w), sum(seen[x] for x in w))] += 1
+        assert as_multiset(unigram_counts.token_counts(df, vocabulary(PIECES))) == want
+    assert unigram_counts.token_counts(none, vocabulary(PIECES)).count() == 0
+
+
+# -- mixing ------------------------------------------------------------------
+
+
+def plain_targets(sizes):
+    """Targets by repeated resharing."""
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    total, full = sum(sizes.values()), {}
+    while True:
+        rest = [s for s in order if s not in full]
+        left = total - sum(full.values())
+        shares = {s: left * weight[s] / sum(weight[r] for r in rest) for s in rest}
+        over = [s for s in rest if shares[s] > 3 * sizes[s]]
+        if not over:
+            return full | shares
+        full |= {s: 3 * sizes[s] for s in over}
+
+
+@pytest.mark.parametrize(
+    "sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 1, "c": 1, None: 97}, {"x": 0, "y": 5}, {"z": 4}]
+)
+def test_targets(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in pareto_mix.source_targets(df).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+
+
+def test_mix(docs, odd, none):
+    plan = pareto_mix.mix_plan(docs)
+    got = plan.collect()
+    assert as_multiset(plan) == as_multiset(pareto_mix.mix_plan(docs.repartition(5)))
+    sizes = Counter()
+    text = {r.doc_id: r for r in docs.collect()}
+    taken, target = Counter(), {}
+    for r in got:
+        assert r["size"] == len(words(text[r.doc_id].text))
+        assert r.taken % max(r["size"], 1) == 0 and r.taken <= 3 * r["size"]
+        sizes[r.source] += r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert target == pytest.approx(plain_targets(sizes))
+    longest = max(r["size"] for r in got)
+    assert all(abs(taken[s] - target[s]) <= longest / 2 for s in target)
+    mixed = pareto_mix.mix(docs)
+    assert mixed.columns == docs.columns
+    copies = Counter(r.doc_id for r in mixed.collect())
+    assert copies == Counter({r.doc_id: r.copies for r in got if r.copies})
+
+    got = pareto_mix.mix_plan(odd).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows())
+    # rows of equal id and text stand for each other
+    assert pareto_mix.mix(odd).columns == odd.columns
+    assert pareto_mix.mix(odd).count() == sum(r.copies for r in got)
+    assert pareto_mix.mix_plan(none).count() == pareto_mix.mix(none).count() == 0
+
+
+def test_inclusion_follows_size(spark):
+    """Longer documents are taken more often, and expected words are met."""
+    df = spark.createDataFrame(
+        [(i, "s" if i % 4 else "t", " ".join(["w"] * (1 + i % 40))) for i in range(4000)],
+        "doc_id long, source string, text string",
+    )
+    got = pareto_mix.mix_plan(df, weights=(1.0, 3.0)).toPandas()
+    part = got[got.source == "s"]
+    short, long_ = part[part["size"] <= 10], part[part["size"] > 30]
+    assert long_.copies.mean() > short.copies.mean() + 0.2
+    assert abs(part.taken.sum() - part.target.iloc[0]) <= 20
+
+
+# -- language model ----------------------------------------------------------
+
+
+def test_base_scores_and_model(docs, odd, none):
+    for df in (docs, odd):
+        table = df.collect()
+        learned = Counter()
+        held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+        tokens = lambda t: [w.lower() for w in words(t)] + [b"\n"]
+        for r in table:
+            if not held(r.doc_id):
+                learned.update(tokens(r.text))
+        n, v = sum(learned.values()), len(learned)
+        want = sorted(
+            (
+                r.doc_id or -1,
+                held(r.doc_id),
+                len(tokens(r.text)),
+                sum(t in learned for t in tokens(r.text)),
+                n,
+                sum(log10((learned[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens(r.text)),
+            )
+            for r in table
+        )
+        result = hmm.score_texts(df, rounds=(1, 1)).collect()
+        got = sorted((r.doc_id or -1, *tuple(r)[1:6]) for r in result)
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
+        assert all(r.score < 0 for r in result)
+    assert hmm.score_texts(none, rounds=(1,)).count() == 0
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
+    got = hmm.score_texts(docs).filter("held_out").toPandas()
+    assert len(got) > 50
+    assert got.score.sum() > got.base_score.sum()
+    assert (got.score > got.base_score).mean() > 0.9
+
+
+def test_forward_and_expected_counts():
+    """Against enumeration of all state paths of short sequences."""
+    from itertools import product
+
+    random_ = np.random.default_rng(0)
+    model = hmm.first_model(5)
+    move = random_.dirichlet(np.ones(hmm.STATES), hmm.STATES)
+    model = hmm.Model(random_.dirichlet(np.ones(hmm.STATES)), move, model.emit)
+    sequences = [np.array(s, np.uint16) for s in ([1], [0, 4, 2], [3, 3])]
+    batch = hmm.Batch(sequences)
+    total_emit, total_move, total_start = np.zeros((5, 8)), np.zeros((8, 8)), np.zeros(8)
+    logs = []
+    for s in sequences:
+        paths = list(product(range(8), repeat=len(s)))
+        p = []
+        for path in paths:
+            x = model.start[path[0]] * model.emit[s[0], path[0]]
+            for i in range(1, len(s)):
+                x *= model.move[path[i - 1], path[i]] * model.emit[s[i], path[i]]
+            p.append(x)
+        logs.append(np.log(sum(p)))
+        for path, x in zip(paths, np.array(p) / sum(p)):
+            total_start[path[0]] += x
+            for i, state in enumerate(path):
+                total_emit[s[i], state] += x
+                if i:
+                    total_move[path[i - 1], state] += x
+    assert batch.forward(model, keep=False)[0] == pytest.approx(logs)
+    start, moves, emit = batch.expected(model)
+    assert np.allclose(start, total_start) and np.allclose(moves, total_move)
+    assert np.allclose(emit, total_emit)
+
+
+def test_classes_form_a_distribution(docs):
+    """p(word | class) of all learned words and one unseen word of a class add up to one."""
+    counts = hmm.word_counts(docs.select("doc_id", "text"))
+    lexicon = hmm.lexicon_of(counts)
+    mass = defaultdict(float)
+    for r in counts.collect():
+        if bytes(r.word) not in lexicon.classes:
+            at = lexicon.ending(bytes(r.word)) - len(lexicon.classes)
+            mass[at] += (r.c + hmm.SMOOTHING) / 10 ** lexicon.spread[at]
+    for at, total in mass.items():
+        assert total + hmm.SMOOTHING / 10 ** lexicon.spread[at] == pytest.approx(1)
+
+
+# -- search ------------------------------------------------------------------
+
+
+def test_hilbert_index_is_a_curve():
+    cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+    order = np.argsort(hilbert_search.hilbert_index(cells, 3))
+    assert (np.abs(np.diff(cells[order], axis=0)).sum(axis=1) == 1).all()
+
+
+def plain_neighbours(table, k=20):
+    fine = [
+        (r.vec_id, np.array(r.embedding, float))
+        for r in table
+        if r.vec_id is not None
+        and r.embedding
+        and all(x is not None and np.isfinite(x) for x in r.embedding)
+        and any(r.embedding)
+    ]
+    sizes = Counter(len(v) for _, v in fine)
+    size = max(sizes, key=lambda s: (sizes[s], s))
+    fine = [f for f in fine if len(f[1]) == size]
+    ids, x = np.array([f[0] for f in fine]), np.array([f[1] for f in fine])
+    return {
+        q: [i for _, i in sorted((-(v @ y), i) for i, y in fine if i != q)[:k]]
+        for q, v in fine
+        if q % 20 == 0
+    }
+
+
+def test_search_recall(spark):
+    df = spark.read.parquet(f"{TESTDATA}/sf0.01/embeddings.parquet")
+    got = defaultdict(list)
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
+    for r in hilbert_search.nearest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+        assert r["rank"] == len(got[r.query_id])
+        assert r.score == pytest.approx(vectors[r.query_id] @ vectors[r.vec_id], abs=1e-12)
+    want = plain_neighbours(df.collect())
+    hits = sum(len(set(got[q]) & set(w)) for q, w in want.items())
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_search_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    table = [(i, [1.0, 0.0, 0.5]) for i in range(0, 60)]  # ties beyond k
+    table += [(100, None), (120, []), (140, [0.0, 0.0, 0.0]), (160, [nan, 1.0, 1.0])]
+    table += [(180, [inf, 1.0, 1.0]), (200, [None, 1.0, 1.0]), (220, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
+    table += [(240, [-1.0, 3.0, 0.0]), (241, [0.0, 3.0, 0.0])]
+    df = spark.createDataFrame(
+        [(i, v, 0.0) for i, v in table], "vec_id long, embedding array<float>, score double"
+    )
+    got = defaultdict(list)
+    for r in hilbert_search.nearest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = plain_neighbours(df.collect())
+    assert set(got) == set(want) == {0, 20, 40, 240}
+    assert got == want
+    assert hilbert_search.nearest(df.filter("vec_id in (240, 241)")).collect()[0].vec_id == 241
+    assert hilbert_search.nearest(df.limit(0)).count() == 0
