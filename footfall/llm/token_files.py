@@ -41,13 +41,20 @@ from footfall.llm.common import only, per_batch, stash, texts
 MAGIC = b"FFTOK\x00\x00\x01"
 IDS_PER_FILE = 4 << 20
 DECODED_AT_ONCE = 1 << 18  # control bytes
-REMEMBERED = 700_000
+# Words remembered per Python worker, and characters of text worked on at once.
+REMEMBERED = 1_000_000
+AT_ONCE = 1 << 22
 # Pieces given to the library in one string, between special tokens.
 JOINED = 500
 
-# A space before anything but white space always begins a new pre-token, so the text can be
-# cut there and the pieces encoded on their own.
+# Where the text may be cut, so that pieces are encoded on their own: before a space that
+# precedes anything but white space a pre-token always begins. A line break between two
+# characters other than white space is a pre-token itself.
 CUT = re.compile(r" (?=\S)")
+OTHER_SPACE = re.compile(r"[^\S \n]")
+SPACES = ("  ", "\n\n", " \n", "\n ")
+# Letters, then ASCII marks: two pre-tokens, the second without a space of its own.
+MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 
 ENCODED = T.StructType(
     [
@@ -64,7 +71,9 @@ class PieceIds:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.width = id_width(path)
-        self.known: dict[str, bytes] = {}
+        # after a space, and at the start of a line or text
+        self.known: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.line_break = self._plain("\n")
         # a special token that splits the raw text before anything else is done to it
         added = self.library.get_added_tokens_decoder()
         self.border = next(
@@ -76,6 +85,9 @@ class PieceIds:
             None,
         )
 
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+
     def _each(self, pieces: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, self.width).tobytes() for e in found]
@@ -100,20 +112,48 @@ class PieceIds:
                 encoded.append(raw[(a + 1) * size : b * size])
         return encoded
 
+    def _resolve(self, wanted: set[str], lead: str) -> dict[str, bytes]:
+        """Ids of pieces that follow ``lead``; words with marks are put together."""
+        known = self.known[lead]
+        if len(known) > REMEMBERED:
+            known.clear()
+        plain = self.known[""]
+        missing, marks, joined = [], set(), []
+        for piece in wanted.difference(known):
+            found = MARKED.fullmatch(piece)
+            if found:
+                joined.append((piece, *found.groups()))
+            else:
+                missing.append(piece)
+        missing += {word for _, word, _ in joined}.difference(known, missing)
+        known.update(zip(missing, self._encode([lead + p for p in missing])))
+        marks = list({m for _, _, m in joined}.difference(plain))
+        plain.update(zip(marks, self._encode(marks)))
+        local = {p: known[p] for p in wanted if p in known}
+        local.update((piece, known[word] + plain[m]) for piece, word, m in joined)
+        return local
+
     def encode(self, group: list[str]) -> list[bytes]:
-        heads, tails = [], []
-        for text in group:
-            head, *tail = CUT.split(text)
-            heads.append(head)
-            tails.append(tail)
-        wanted = set().union(*tails)
-        fresh = list(wanted - self.known.keys())
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = list(wanted)
-        self.known.update(zip(fresh, self._encode([" " + p for p in fresh])))
-        get = self.known.__getitem__
-        return [h + b"".join(map(get, tail)) for h, tail in zip(self._each(heads), tails)]
+        """Ids of each text as bytes."""
+        lines = [self._lines(text) for text in group]
+        heads = self._resolve({line[0] for text in lines for line in text}, "")
+        tails = self._resolve({p for text in lines for line in text for p in line[1:]}, " ")
+        get = tails.__getitem__
+        return [
+            self.line_break.join([heads[line[0]] + b"".join(map(get, line[1:])) for line in text])
+            for text in lines
+        ]
+
+    @staticmethod
+    def _lines(text: str) -> list[list[str]]:
+        """Pieces by line; one line where white space is not single spaces and breaks."""
+        plain = not (
+            OTHER_SPACE.search(text)
+            or any(s in text for s in SPACES)
+            or text[:1].isspace()
+            or text[-1:].isspace()
+        )
+        return [line.split(" ") for line in text.split("\n")] if plain else [CUT.split(text)]
 
 
 @lru_cache(maxsize=2)
@@ -139,7 +179,7 @@ def encode_ids(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_
 
         def work(batch):
             all_texts, doc_ids = texts(batch), batch.column("doc_id")
-            for rows in groups_of(all_texts):
+            for rows in groups_of(all_texts, AT_ONCE):
                 found = [e + end for e in encoder.encode(all_texts[rows])]
                 counts = [len(e) // len(end) for e in found]
                 yield pa.RecordBatch.from_arrays(
