@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from footfall.llm.common import only, per_batch, texts
 
 # Words remembered per Python worker, and characters of text worked on at once.
-REMEMBERED = 400_000
+REMEMBERED = 220_000
 AT_ONCE = 1 << 20
 NEVER = np.iinfo(np.int64).max
 # Longer words are merged with a heap.

@@ -221,17 +221,14 @@ def rank_table(encoded: DataFrame, width: str, size: int) -> np.ndarray:
     return np.argsort(-counts, kind="stable")
 
 
-def _length_tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each control byte the bytes it takes, and where its sixteen output bytes come from
-    (-1: zero)."""
+def _length_table() -> np.ndarray:
+    """For each control byte which of its sixteen output bytes are in the data."""
     lengths = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1
-    begin = np.cumsum(lengths, axis=1) - lengths
-    byte = np.arange(4)
-    source = np.where(byte < lengths[:, :, None], begin[:, :, None] + byte, -1)
-    return lengths.sum(axis=1), source.reshape(256, 16)
+    return (np.arange(4) < lengths[:, :, None]).reshape(256, 16)
 
 
-CONSUMED, SOURCE = _length_tables()
+PRESENT = _length_table()
+CONSUMED = PRESENT.sum(axis=1)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -247,18 +244,17 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` values behind control and data bytes (uint8 arrays)."""
-    values = np.empty(len(control) * 4, "<u4")
+    values = np.zeros(len(control) * 16, np.uint8)
     # absent values of the last group take a byte each that is not there
     data = np.concatenate([data, np.zeros(4, np.uint8)])
     at = 0
     for start in range(0, len(control), DECODED_AT_ONCE):
         part = control[start : start + DECODED_AT_ONCE]
-        used = CONSUMED[part]
-        begin = at + np.cumsum(used) - used
-        source = SOURCE[part]
-        taken = np.where(source < 0, 0, data[begin[:, None] + np.maximum(source, 0)])
-        values[4 * start : 4 * (start + len(part))] = taken.astype(np.uint8).view("<u4").ravel()
-        at += int(used.sum())
+        used = int(CONSUMED[part].sum())
+        out = values[16 * start : 16 * (start + len(part))]
+        out[PRESENT[part].ravel()] = data[at : at + used]
+        at += used
+    values = values.view("<u4")
     return values[:n]
 
 
