@@ -60,17 +60,25 @@ def _read_events_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _fresh_dir(spark, "sample")
-    events.write_sample(
-        adapters.shop_events(spark, sf_dir), f"{path}/events.csv", f"{path}/events.parquet"
-    )
-    return events.read_events(spark, f"{path}/events.csv")
+def _sample(kind: str):
+    """The sample files, read back in one of their formats."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _fresh_dir(spark, "sample")
+        events.write_sample(
+            adapters.shop_events(spark, sf_dir), f"{path}/events.csv", f"{path}/events.parquet"
+        )
+        return events.read_events(spark, f"{path}/events.{kind}")
+
+    return run
 
 
-def _mart_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marts.create_views(adapters.shop_events(spark, sf_dir))
-    return spark.table("v_kpi_daily")
+def _mart(view: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        marts.create_views(adapters.shop_events(spark, sf_dir))
+        return spark.table(view)
+
+    return run
 
 
 def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +124,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def monthly(df):
         return cohort.cohort_retention(df, "M")
 
-    last_month, last_week = oracles.ORDER_MONTHS, oracles.ORDER_WEEKS
+    def written(build, name):
+        """The flat table is written once; its matrix reads it twice."""
+
+        def run(df):
+            path = _fresh_dir(df.sparkSession, name)
+            build(df).write.parquet(path)
+            return df.sparkSession.read.parquet(path)
+
+        return run
+
+    flat_month = written(monthly, "flat_month")
+    flat_week = written(charts.weekly_cohort_rates, "flat_week")
+    weekly = written(lambda df: cohort.cohort_retention_weekly(sessions.sessionize(df)), "weekly")
+
+    def gaps(build, **kw):
+        return of(adapters.shop_events, build, gaps=True, **kw)
+
     corpus = {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
     return corpus | {
         "sessionize": shop(sessions.sessionize),
@@ -142,14 +166,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cohort_buyers": clicks(lambda df: cohort.cohort_retention(df, "D", "purchase")),
         "cohort_events": shop(lambda df: cohort.cohort_events(df, "D")),
         "cohort_counts_matrix": orders(
-            lambda df: cohort.cohort_matrix(monthly(df), "active_users", last_month)
+            lambda df: cohort.cohort_matrix(flat_month(df), "active_users")
         ),
         "cohort_rate_matrix": orders(
-            lambda df: cohort.cohort_matrix(monthly(df), "retention_rate", last_month)
+            lambda df: cohort.cohort_matrix(flat_month(df), "retention_rate")
         ),
-        "cohort_chart": orders(lambda df: charts.weekly_cohort_chart(df, last_week)),
+        "cohort_chart": orders(lambda df: charts.weekly_cohort_chart(flat_week(df))),
         "cohort_heatmap_feed": orders(
-            lambda df: charts.heatmap_feed(monthly(df), max_index=last_month)
+            lambda df: charts.heatmap_feed(monthly(df))
         ),
         "funnel_users": clicks(funnel.funnel_users),
         "funnel_users_rates": clicks(
@@ -160,11 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kpi_cards": clicks(lambda df: dashboard.kpi_cards(daily(df))),
         "funnel_totals": shop(lambda df: dashboard.funnel_totals(summary(df))),
         "dropoff_by_category": shop(lambda df: dashboard.dropoff_by_category(summary(df))),
-        "cohort_pivot": orders(
-            lambda df: dashboard.cohort_pivot(
-                cohort.cohort_retention_weekly(sessions.sessionize(df))
-            )
-        ),
+        "cohort_pivot": orders(lambda df: dashboard.cohort_pivot(weekly(df))),
         "treemap": shop(lambda df: dashboard.treemap(summary(df))),
         "treemap_rollup": shop(lambda df: dashboard.treemap_rollup(summary(df))),
         "category_revenue": shop(lambda df: dashboard.category_revenue(df, summary(df))),
@@ -174,9 +194,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             adapters.unchecked_events, lambda df: validation.validate_events(df)[0]
         ),
         "rejected_events": job(_rejected),
+        "kpi_daily_gaps": gaps(daily, products=False),
+        "funnel_summary_gaps": gaps(summary),
+        "funnel_step_counts_gaps": gaps(
+            lambda df: funnel.funnel_step_counts(steps(df)), products=False
+        ),
+        "funnel_users_gaps": gaps(funnel.funnel_users, products=False),
+        "brand_matrix_gaps": gaps(dashboard.brand_matrix),
+        "cohort_buyers_week": clicks(lambda df: cohort.cohort_retention(df, "W", "purchase")),
+        "cohort_buyers_month": clicks(lambda df: cohort.cohort_retention(df, "M", "purchase")),
+        "mart_funnel_summary": job(_mart("v_funnel_summary")),
+        "mart_cohort_retention": job(_mart("v_cohort_retention")),
+        "mart_sessionized": job(_mart("v_events_sessionized")),
+        "sample_parquet": job(_sample("parquet")),
         "read_events_range": job(_read_events_range),
-        "csv_roundtrip": job(_csv_roundtrip),
-        "mart_views": job(_mart_views),
+        "csv_roundtrip": job(_sample("csv")),
+        "mart_views": job(_mart("v_kpi_daily")),
     }
 
 

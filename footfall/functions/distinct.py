@@ -39,8 +39,15 @@ def by_user_and_session(
 
 
 def of_user() -> Column:
-    return F.col("of_user")
+    """Rows that stand for a known user; NULL is no user, as in COUNT(DISTINCT user_id)."""
+    return F.col("of_user") & F.col(USER).isNotNull()
 
 
 def of_session() -> Column:
-    return ~F.col("of_user")
+    """Rows that stand for a known session."""
+    return ~F.col("of_user") & F.col(SESSION).isNotNull()
+
+
+def of_known_user(value: str) -> Column:
+    """A value of a group per user, NULL for the group without one."""
+    return F.when(F.col("user_id").isNotNull(), F.col(value))

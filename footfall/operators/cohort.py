@@ -171,24 +171,19 @@ def cohort_events(
     )
 
 
-def last_index(flat: DataFrame) -> int:
-    """Largest cohort index, read by one small aggregate; -1 when there are no rows."""
-    found = flat.agg(F.max("cohort_index")).first()[0]
-    return -1 if found is None else found
-
-
-def cohort_matrix(flat: DataFrame, value: str, max_index: int | None = None) -> DataFrame:
-    """One row per cohort, one column per index; cells without activity are NULL.
+def cohort_matrix(flat: DataFrame, value: str, prefix: str = "") -> DataFrame:
+    """One row per cohort, one column per index that occurs; other cells are NULL.
 
     ``value`` is ``active_users`` or ``retention_rate``. The columns are part of the schema,
-    so one aggregate finds the last index. Pass ``max_index`` to keep the call lazy; the
-    columns then end there.
+    so the indexes are read from ``flat`` first: write the flat table and pass what is read
+    back where it is costly to compute twice.
     """
-    columns = range((last_index(flat) if max_index is None else max_index) + 1)
+    found = sorted(r[0] for r in flat.select("cohort_index").distinct().collect())
     # one value per cell; max, unlike first, lets Catalyst drop the sort of ``flat``
     return (
         flat.groupBy("cohort_group")
-        .pivot("cohort_index", list(columns))
+        .pivot("cohort_index", found)
         .agg(F.max(value))
+        .withColumnsRenamed({str(i): f"{prefix}{i}" for i in found})
         .orderBy("cohort_group")
     )

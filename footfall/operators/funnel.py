@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.calendar import day, epoch_us
-from footfall.functions.distinct import by_user_and_session, of_session, of_user
+from footfall.functions.distinct import by_user_and_session, of_known_user, of_session, of_user
 from footfall.functions.median import total_and_median
 from footfall.functions.rates import step_rates
 from footfall.operators.sessions import per_session
@@ -125,7 +125,7 @@ def funnel_overall(steps: DataFrame) -> DataFrame:
     per_user = session_funnel(steps).groupBy("user_id").agg(*(F.max(r).alias(r) for r in _REACHED))
     counted = per_user.agg(
         *(
-            F.coalesce(F.sum(r), F.lit(0)).cast("long").alias(f"{step}_users")
+            F.coalesce(F.sum(of_known_user(r)), F.lit(0)).cast("long").alias(f"{step}_users")
             for r, step in _REACHED.items()
         )
     )
@@ -179,8 +179,11 @@ def funnel_summary(events: DataFrame) -> DataFrame:
         by_user_and_session(together, keys, {s: F.max(s) for s in steps})
         .groupBy(*keys)
         .agg(
-            *(F.sum(F.when(of_user(), F.col(s))).alias(f"{s}_users") for s in steps),
-            *(F.sum(F.when(of_session(), F.col(s))).alias(f"{s}_sessions") for s in steps),
+            *(
+                F.coalesce(F.sum(F.when(which(), F.col(s))), F.lit(0)).alias(f"{s}_{noun}")
+                for noun, which in (("users", of_user), ("sessions", of_session))
+                for s in steps
+            ),
         )
     )
     rates = step_rates(
@@ -201,7 +204,10 @@ def funnel_users(events: DataFrame) -> DataFrame:
         .agg(*(F.max(flag(is_event(t))).alias(t) for t in steps))
     )
     return per_user.agg(
-        *(F.coalesce(F.sum(t), F.lit(0)).cast("long").alias(f"{t}_users") for t in steps)
+        *(
+            F.coalesce(F.sum(of_known_user(t)), F.lit(0)).cast("long").alias(f"{t}_users")
+            for t in steps
+        )
     )
 
 

@@ -42,8 +42,8 @@ def kpi_daily(events: DataFrame) -> DataFrame:
         _per_user_day(events)
         .groupBy("event_date")
         .agg(
-            F.count("*").alias("dau"),
-            F.count(F.when(F.col("orders") > 0, 1)).alias("purchasing_users"),
+            F.count("user_id").alias("dau"),
+            F.count(F.when(F.col("orders") > 0, F.col("user_id"))).alias("purchasing_users"),
             F.sum("orders").alias("total_orders"),
             F.sum("revenue").alias("total_revenue"),
         )
@@ -53,7 +53,7 @@ def kpi_daily(events: DataFrame) -> DataFrame:
         .select("event_date", "effective_session_id")
         .distinct()
         .groupBy("event_date")
-        .agg(F.count("*").alias("total_sessions"))
+        .agg(F.count("effective_session_id").alias("total_sessions"))
     )
     daily = (
         of_users.unionByName(of_sessions, allowMissingColumns=True)
@@ -77,7 +77,7 @@ def kpi_daily(events: DataFrame) -> DataFrame:
 def kpi_trends(events: DataFrame) -> DataFrame:
     """Daily trend lines: active users, revenue, orders and the unrounded order value."""
     daily = _per_user_day(events).groupBy("event_date").agg(
-        F.count("*").alias("dau"),
+        F.count("user_id").alias("dau"),
         _money(F.sum("revenue")).alias("revenue"),
         F.sum("orders").alias("orders"),
     )

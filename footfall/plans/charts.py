@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.operators.cohort import cohort_matrix, cohort_retention, last_index
+from footfall.operators.cohort import cohort_matrix, cohort_retention
 from footfall.schema import STAGE_LABELS
 
 
-def weekly_cohort_chart(events: DataFrame, max_index: int | None = None) -> DataFrame:
-    """Weekly retention matrix with rates to one decimal."""
-    flat = cohort_retention(events, "W", scale=1)
-    return cohort_matrix(flat, "retention_rate", max_index)
+def weekly_cohort_rates(events: DataFrame) -> DataFrame:
+    """Flat weekly retention with rates to one decimal."""
+    return cohort_retention(events, "W", scale=1)
+
+
+def weekly_cohort_chart(weekly_rates: DataFrame) -> DataFrame:
+    """The matrix of ``weekly_cohort_rates``."""
+    return cohort_matrix(weekly_rates, "retention_rate")
 
 
 def funnel_stages(users: DataFrame) -> DataFrame:
@@ -25,26 +29,28 @@ def funnel_stages(users: DataFrame) -> DataFrame:
 
 
 def heatmap_feed(
-    flat: DataFrame, prefix: str = "Period", gap: str = " ", max_index: int | None = None
+    flat: DataFrame, prefix: str = "Period", gap: str = " "
 ) -> DataFrame:
     """Every cell of the retention heat map with its row label, column label and text.
 
     Cells without activity are present with a NULL rate and empty text. ``gap`` is put
     between cohort and size in the row label.
     """
-    last = last_index(flat) if max_index is None else max_index
     cohorts = flat.groupBy("cohort_group").agg(
         F.max(F.when(F.col("cohort_index") == 0, F.col("cohort_size"))).alias("size"),
         # at most one entry per elapsed period
         F.map_from_entries(
             F.collect_list(F.struct("cohort_index", "retention_rate"))
         ).alias("rates"),
+        F.max("cohort_index").alias("last"),
     )
+    # one row per cohort: the last index of all of them
+    cohorts = cohorts.withColumn("last", F.max("last").over(Window.partitionBy()))
     cells = cohorts.select(
         "cohort_group",
         F.coalesce("size", F.lit(0)).alias("size"),
         "rates",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias(
             "cohort_index"
         ),
     ).withColumn("retention_rate", F.try_element_at("rates", F.col("cohort_index")))

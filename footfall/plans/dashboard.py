@@ -12,6 +12,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.functions.distinct import of_known_user
 from footfall.functions.rates import mean_of_rounded, money_per, pct
 from footfall.operators.funnel import brand_or_unknown, flag, top_category
 from footfall.operators.kpi import purchase_amount
@@ -63,13 +64,17 @@ def dropoff_by_category(summary: DataFrame) -> DataFrame:
     )
 
 
-def cohort_pivot(retention: DataFrame, weeks: int = 8) -> DataFrame:
-    """Cohort weeks against elapsed weeks 0..``weeks``, mean retention rate per cell."""
+def cohort_pivot(retention: DataFrame) -> DataFrame:
+    """Cohort weeks against all elapsed weeks that occur, mean retention rate per cell.
+
+    The weeks are read from ``retention`` first, see ``cohort_matrix``.
+    """
+    weeks = sorted(r[0] for r in retention.select("cohort_index").distinct().collect())
     return (
         retention.groupBy("cohort_week")
-        .pivot("cohort_index", list(range(weeks + 1)))
+        .pivot("cohort_index", weeks)
         .agg(mean_of_rounded("retention_rate_pct"))
-        .withColumnsRenamed({str(i): f"week_{i}" for i in range(weeks + 1)})
+        .withColumnsRenamed({str(i): f"week_{i}" for i in weeks})
         .orderBy("cohort_week")
     )
 
@@ -120,9 +125,9 @@ def brand_matrix(events: DataFrame) -> DataFrame:
     )
     brands = per_user.groupBy("brand").agg(
         F.coalesce(F.sum("revenue"), F.lit(0)).cast("decimal(30,2)").alias("revenue"),
-        F.sum("viewed").alias("viewers"),
-        F.sum("bought").alias("buyers"),
-        F.count("*").alias("active_users"),
+        F.sum(of_known_user("viewed")).alias("viewers"),
+        F.sum(of_known_user("bought")).alias("buyers"),
+        F.count("user_id").alias("active_users"),
     )
     return brands.select(
         "brand", "revenue", pct("buyers", "viewers").alias("cr_pct"), "active_users"

@@ -6,8 +6,6 @@ benchmark, the tests and jobs that start their own.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Skew is left to AQE where it works at run time (joins, rebalanced writes); the
@@ -57,12 +55,10 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """The folder for tables a job writes and reads back.
 
-    ``spark.checkpoint.dir`` names storage every executor sees. Only a local-mode
-    session may go without it and fall back to a fresh temporary folder.
+    ``spark.checkpoint.dir`` names storage every executor sees; without it a folder of the
+    warehouse serves, which every executor sees as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="footfall-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"

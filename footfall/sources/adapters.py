@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.schema import RAW_EVENTS, conform
 from footfall.sources.validation import hyphenated
 
 
-def shop_events(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFrame:
+def shop_events(
+    spark: SparkSession, sf_dir: str, products: bool = True, gaps: bool = False
+) -> DataFrame:
     """The ``events`` stream as shop clicks, with product names from ``part``.
 
     click -> cart, error -> remove_from_cart, other types unchanged. Every user looks at
     one product a day; frontend sessions are per user and day, and a fifth are missing.
-    Without ``products`` the category and brand stay NULL and ``part`` is not read.
+    Without ``products`` the category and brand stay NULL and ``part`` is not read. With
+    ``gaps`` every 13th event has no user.
     """
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     product = (F.col("user_id") * 31 + F.dayofmonth("ts")) % 100
@@ -28,7 +31,7 @@ def shop_events(spark: SparkSession, sf_dir: str, products: bool = True) -> Data
         product.alias("product_id"),
         (product % 6 + 1001).alias("category_id"),
         F.col("value").cast("decimal(10,2)").alias("price"),
-        "user_id",
+        F.when(F.lit(not gaps) | (F.col("event_id") % 13 != 0), F.col("user_id")).alias("user_id"),
         F.when(F.col("event_id") % 5 != 0, hyphenated(F.md5(user_day))).alias("user_session"),
     )
     if not products:
@@ -65,30 +68,40 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unchecked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text rows as a loader would deliver them, many of them breaking a rule.
+    """Text rows as a loader would deliver them; in turn, each rule is broken by some.
 
-    Documents serve as events: the text is the brand (long ones are too long), the
-    character count shifts the price below zero for short ones, the label is the user
-    (missing for unlabelled documents) and the session is a UUID only where the language
-    is English.
+    A document is an event: its source the event type, the hash of its text the brand, its
+    characters the price. The remainder of the doc_id decides which column is spoilt.
     """
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
-        "doc_id", F.concat("quality", "toxic").alias("user_id")
+    turn = F.col("doc_id") % 24
+
+    def spoilt(plain: Column, **by_turn: str | None) -> Column:
+        cases = plain
+        for at, text in by_turn.items():
+            value = F.lit(text).cast("string")
+            cases = F.when(turn == int(at.removeprefix("turn")), value).otherwise(cases)
+        return cases
+
+    digits = F.md5(F.col("doc_id").cast("string"))
+    session = (
+        F.when(turn == 14, F.concat(hyphenated(digits), F.lit("\n")))
+        .when(turn == 15, F.concat(F.lit("{"), F.upper(digits), F.lit("}")))
+        .when(turn == 16, hyphenated(digits))
+        .otherwise(F.upper(digits))
     )
-    rows = documents.join(labels, "doc_id", "left").select(
-        F.date_format(
-            F.timestamp_seconds(F.col("doc_id") + 1_700_000_000), "yyyy-MM-dd HH:mm:ss"
-        ).alias("event_time"),
-        F.col("source").alias("event_type"),
-        F.col("doc_id").cast("string").alias("product_id"),
-        F.lit(None).cast("string").alias("category_id"),
-        F.col("lang").alias("category_code"),
-        F.col("text").alias("brand"),
-        F.concat((F.col("n_chars") - 300).cast("string"), F.lit(".125")).alias("price"),
-        "user_id",
-        F.when(F.col("lang") == "en", F.upper(F.md5(F.col("doc_id").cast("string"))))
-        .otherwise(F.col("lang"))
-        .alias("user_session"),
+    clock = F.timestamp_seconds(F.col("doc_id") + 1_700_000_000)
+    price = F.concat((F.col("n_chars") % 1000).cast("string"), F.lit(".125"))
+    return documents.select(
+        spoilt(F.date_format(clock, "yyyy-MM-dd HH:mm:ss"), turn1="yesterday", turn2=None).alias(
+            "event_time"
+        ),
+        spoilt(F.col("source"), turn3=None, turn4="a" * 31).alias("event_type"),
+        spoilt(F.col("doc_id").cast("string"), turn5="x12", turn6=None).alias("product_id"),
+        spoilt((F.col("doc_id") % 9).cast("string"), turn7="c", turn17=None).alias("category_id"),
+        spoilt(F.concat("lang", F.lit("."), "source"), turn8="b" * 256).alias("category_code"),
+        spoilt(F.md5("text"), turn9="c" * 256, turn18="d" * 255 + "  ").alias("brand"),
+        spoilt(price, turn10="-0.01", turn11="free", turn19=None).alias("price"),
+        spoilt((F.col("doc_id") % 97).cast("string"), turn12=None, turn20="u7").alias("user_id"),
+        spoilt(session, turn13="none", turn21=None).alias("user_session"),
     )
-    return rows.select(*RAW_EVENTS.fieldNames())

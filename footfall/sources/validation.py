@@ -13,7 +13,7 @@ MAX_LENGTH = {"event_type": 30, "category_code": 255, "brand": 255}
 # Accepted UUID spellings: any case, optional braces, optional hyphen after each
 # group of four hex digits.
 _HEX = "[0-9A-Fa-f]{4}(-?[0-9A-Fa-f]{4}){7}"
-UUID_PATTERN = rf"^({_HEX}|\{{{_HEX}\}})$"
+UUID_PATTERN = rf"\A({_HEX}|\{{{_HEX}\}})\z"
 
 
 def _typed(name: str) -> Column:

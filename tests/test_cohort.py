@@ -11,7 +11,7 @@ from footfall.operators.cohort import (
     cohort_retention_weekly,
 )
 from footfall.operators.sessions import sessionize
-from footfall.plans.charts import heatmap_feed, weekly_cohort_chart
+from footfall.plans.charts import heatmap_feed, weekly_cohort_chart, weekly_cohort_rates
 
 
 def flat(df, *args, **kw):
@@ -133,12 +133,12 @@ def monthly(make_events):
 
 def test_matrix(monthly):
     matrix = cohort_matrix(monthly, "active_users")
-    assert matrix.columns == ["cohort_group", "0", "1", "2"]
+    assert matrix.columns == ["cohort_group", "0", "2"]
     assert [tuple(r) for r in matrix.collect()] == [
-        ("2024-01", 2, None, 1), ("2024-02", 1, None, None),
+        ("2024-01", 2, 1), ("2024-02", 1, None),
     ]
-    wide = cohort_matrix(monthly, "retention_rate", max_index=3)
-    assert tuple(wide.first()) == ("2024-01", 100.0, None, 50.0, None)
+    rates = cohort_matrix(monthly, "retention_rate", prefix="month_")
+    assert rates.first().asDict() == {"cohort_group": "2024-01", "month_0": 100.0, "month_2": 50.0}
     assert cohort_matrix(monthly.limit(0), "active_users").columns == ["cohort_group"]
 
 
@@ -155,4 +155,4 @@ def test_heatmap_feed(monthly):
 def test_weekly_chart_rounds_to_one_place(make_events):
     rows = [dict(event_time="2024-01-01", user_id=u) for u in range(3)]
     rows.append(dict(event_time="2024-01-08", user_id=0))
-    assert tuple(weekly_cohort_chart(make_events(*rows)).first()) == ("2024-W01", 100.0, 33.3)
+    assert tuple(weekly_cohort_chart(weekly_cohort_rates(make_events(*rows))).first()) == ("2024-W01", 100.0, 33.3)

@@ -2,6 +2,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from footfall.operators.cohort import cohort_retention_weekly
 from footfall.operators.funnel import funnel_summary, funnel_users
@@ -118,11 +119,23 @@ def test_filters(spark):
     assert days(dashboard.among(df, "top_category", ["a' OR '1'='1"])) == []
 
 
-def test_cohort_pivot_has_fixed_weeks(make_events):
-    events = make_events(dict(event_time="2024-01-01"), dict(event_time="2024-01-15"))
+def test_cohort_pivot_has_all_weeks(make_events):
+    events = make_events(dict(event_time="2024-01-01"), dict(event_time="2024-04-15"))
     pivot = dashboard.cohort_pivot(cohort_retention_weekly(events))
-    assert pivot.columns == ["cohort_week", *(f"week_{i}" for i in range(9))]
-    assert tuple(pivot.first())[1:4] == (100.0, None, 100.0)
+    assert pivot.columns == ["cohort_week", "week_0", "week_15"]
+    assert tuple(pivot.first())[1:] == (100.0, 100.0)
+
+
+def test_rows_without_user_or_session_count_nowhere(make_events):
+    events = make_events(
+        dict(event_time="2024-01-01", user_id=0, event_type="purchase", price=2),
+        dict(event_time="2024-01-01", user_id=0),
+        dict(event_time="2024-01-01", user_id=7),
+    ).withColumn("user_id", F.nullif("user_id", F.lit(0)))
+    day = kpi_daily(events).first()
+    assert (day.dau, day.total_sessions, day.purchasing_users, day.total_orders) == (1, 1, 0, 1)
+    assert tuple(funnel_users(events).first()) == (1, 0, 0)
+    assert dashboard.brand_matrix(events).first().active_users == 1
 
 
 def test_stages(make_events):

@@ -57,6 +57,7 @@ def test_good_row_is_typed(loaded):
         (dict(brand="x" * 256, category_code="x" * 256), ["category_code_length", "brand_length"]),
         (dict(user_session="not-a-uuid"), ["user_session_uuid"]),
         (dict(user_session="{" + UUID), ["user_session_uuid"]),
+        (dict(user_session=UUID + "\n"), ["user_session_uuid"]),
         (dict(user_id=None, price="-1"), ["user_id_not_null", "price_not_negative"]),
     ],
     ids=lambda v: ",".join(v) if isinstance(v, list) else "",
