@@ -70,19 +70,19 @@ def _field_errors(parsed: Column, name: str, rule: dict[str, Any]) -> list[Colum
     return found
 
 
-def argument_errors(tool: Column, arguments: Column, schemas: dict[str, Schema]) -> Column:
-    """Sorted error texts of a call's arguments; an empty array where they are valid.
+def argument_errors(
+    tool: Column, parsed: Column, keys: Column, schemas: dict[str, Schema]
+) -> Column:
+    """Sorted error texts of parsed arguments with the given keys; empty where they are valid.
 
     A schema maps field names to rules (type, required, minimum, maximum, min_length, enum);
     fields it does not name are errors.
     """
-    parsed = F.try_parse_json(arguments)
     is_object = F.coalesce(F.schema_of_variant(parsed).rlike(TYPES["object"]), F.lit(False))
     known = F.when(~F.coalesce(tool.isin(*schemas), F.lit(False)), F.array(F.lit("tool")))
     errors = known.when(~is_object, F.array(F.lit("json")))
     for name, schema in schemas.items():
         rules = [e for field, rule in schema.items() for e in _field_errors(parsed, field, rule)]
-        keys = F.json_object_keys(arguments)
         extra = F.array_except(keys, F.array(*map(F.lit, schema)))
         unknown = F.transform(extra, lambda k: F.concat(k, F.lit(": unknown")))
         found = F.concat(F.array_compact(F.array(*rules)), unknown)
@@ -90,11 +90,35 @@ def argument_errors(tool: Column, arguments: Column, schemas: dict[str, Schema])
     return errors
 
 
-def canonical(arguments: Column) -> Column:
-    """Canonical JSON of an object; null for anything else."""
-    parsed = F.try_parse_json(arguments)
-    is_object = F.schema_of_variant(parsed).rlike(TYPES["object"])
-    return F.when(is_object, F.to_json(parsed))
+def canonical(parsed: Column) -> Column:
+    """Canonical JSON of a parsed object; null for anything else."""
+    return F.when(F.schema_of_variant(parsed).rlike(TYPES["object"]), F.to_json(parsed))
+
+
+def _checked(calls: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
+    """The calls with canonical arguments and the errors of these, written out: arguments
+    are parsed once, and the joins to come carry plain columns."""
+    parsed = calls.select(
+        "conv_id",
+        "seq",
+        "call_id",
+        "tool",
+        "after",
+        F.try_parse_json("arguments").alias("parsed"),
+        F.json_object_keys("arguments").alias("keys"),
+    )
+    return stash(
+        parsed.select(
+            "conv_id",
+            "seq",
+            "call_id",
+            "tool",
+            "after",
+            canonical(F.col("parsed")).alias("arguments"),
+            argument_errors(F.col("tool"), F.col("parsed"), F.col("keys"), schemas).alias("errors"),
+        ),
+        "tool_calls",
+    )
 
 
 def tiers(calls: DataFrame) -> DataFrame:
@@ -142,6 +166,7 @@ def tiers(calls: DataFrame) -> DataFrame:
         n_blocked = blocked.count()
         if n_blocked == n_waiting:
             ready = waiting.withColumn("tier", F.lit(-1).cast("long"))
+        ready = stash(ready, "tool_tiers")
         found = ready if found is None else found.union(ready)
         waiting, n_waiting = blocked, 0 if n_blocked == n_waiting else n_blocked
     if found is None:
@@ -160,7 +185,7 @@ def link_tool_calls(
     Returns conv_id, call_id, seq, tier, tool, arguments (canonical), errors, n_results,
     result and exchange, the whole as one canonical JSON text.
     """
-    calls = calls.select("conv_id", "seq", "call_id", "tool", "arguments", "after")
+    calls = _checked(calls, schemas)
     answers = (
         results.filter("call_id is not null")
         .groupBy(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"))
@@ -190,6 +215,7 @@ def link_tool_calls(
         .distinct()
         .withColumn("lost", F.lit(True))
     )
+    lost = stash(lost, "tool_lost")
     order = tiers(calls).select(
         F.col("conv_id").alias("t_conv"), F.col("call_id").alias("t_call"), "tier"
     )
@@ -213,7 +239,7 @@ def link_tool_calls(
     )
     repeated = F.coalesce(F.col("seq") > F.col("first_seq"), F.lit(False))
     errors = F.concat(
-        argument_errors(F.col("tool"), F.col("arguments"), schemas),
+        F.col("errors"),
         F.array_compact(
             F.array(
                 F.when(repeated, F.lit("repeated id")),
@@ -224,7 +250,6 @@ def link_tool_calls(
     )
     result = F.when(~repeated, F.col("result"))
     columns = {
-        "arguments": canonical(F.col("arguments")),
         "errors": errors,
         "n_results": F.when(~repeated, F.coalesce("n_results", F.lit(0))).otherwise(F.lit(0)),
         "result": result,
@@ -232,7 +257,7 @@ def link_tool_calls(
     }
     exchange = F.to_json(
         F.struct(
-            F.try_parse_json(columns["arguments"]).alias("arguments"),
+            F.try_parse_json("arguments").alias("arguments"),
             F.col("call_id").alias("id"),
             F.col("tool").alias("name"),
             result.alias("result"),
@@ -245,7 +270,7 @@ def link_tool_calls(
         F.col("seq").cast("long").alias("seq"),
         columns["tier"].alias("tier"),
         "tool",
-        columns["arguments"].alias("arguments"),
+        "arguments",
         columns["errors"].alias("errors"),
         columns["n_results"].cast("long").alias("n_results"),
         columns["result"].alias("result"),
