@@ -34,7 +34,8 @@ ROUNDS = 8
 # 400 Gregorian years from 1800-01-01 have 146,097 = 189 * 773 days.
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1800-01-01", 189, 773
 HEX = "0123456789abcdef"
-# Digits of the keyed hash (SHA-512 in hexadecimal) used for one place.
+# Digits of the keyed hash (SHA-512 in hexadecimal) used for one place: 65,536 values, so a
+# radix must stay well below that.
 HASH_STEP, HASH_PLACES = 4, 32
 
 _NOT_IN_WORD = r"(?<![A-Za-z0-9])"
@@ -209,17 +210,17 @@ def _ssn(text: Column, key: str, undo: bool) -> Column:
     group, serial = text.substr(5, 2).cast("int"), text.substr(8, 4).cast("int")
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
     place = area - F.when(area > 666, 2).otherwise(1)
-    values = F.array(place, (group - 1) * 9999 + serial - 1)
-    moved = _permute(values, F.array(F.lit(898), F.lit(99 * 9999)), key, "ssn", undo)
+    values = F.array(place, group - 1, serial - 1)
+    moved = _permute(values, F.array(*map(F.lit, (898, 99, 9999))), key, "ssn", undo)
 
     def written(moved):
-        first, rest = F.element_at(moved, 1), F.element_at(moved, 2)
+        first = F.element_at(moved, 1)
         new_area = first + F.when(first >= 665, 2).otherwise(1)
         return F.concat_ws(
             "-",
             F.lpad(new_area.cast("string"), 3, "0"),
-            F.lpad((F.floor(rest / 9999) + 1).cast("string"), 2, "0"),
-            F.lpad((rest % 9999 + 1).cast("string"), 4, "0"),
+            F.lpad((F.element_at(moved, 2) + 1).cast("string"), 2, "0"),
+            F.lpad((F.element_at(moved, 3) + 1).cast("string"), 4, "0"),
         )
 
     return F.when(valid, _let(moved, written)).otherwise(text)

@@ -182,6 +182,21 @@ def test_permutation_is_one_to_one_and_undone(spark):
     assert len({r.p for r in got}) == 5000 and all(r.back == r.text for r in got)
 
 
+def test_numbers_spread_over_their_whole_format(spark):
+    plain = spark.range(4000).select(
+        F.format_string("512-%02d-%04d", F.col("id") % 99 + 1, F.col("id") % 9999 + 1).alias("text")
+    )
+    hidden = plain.select("text", pseudonyms.pseudonymize(F.col("text")).alias("p"))
+    got = hidden.select("text", "p", pseudonyms.restore(F.col("p")).alias("back")).collect()
+    assert len({r.p for r in got}) == 4000 and all(r.back == r.text for r in got)
+    tenths = defaultdict(int)
+    for r in got:
+        (_, a, b), (_, c, d) = r.text.split("-"), r.p.split("-")
+        moved = (int(c) - int(a)) * 9999 + int(d) - int(b)
+        tenths[moved % (99 * 9999) * 10 // (99 * 9999)] += 1
+    assert len(tenths) == 10 and min(tenths.values()) > 200
+
+
 def test_documents_are_restored(spark):
     docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
     hidden = docs.select("text", pseudonyms.pseudonymize(F.col("text")).alias("p"))
