@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-# Values are split into a high and a low part of this many bits. With microsecond
-# durations the low part has 4,194,304 values (4.2 s) and a year of span has 7.5
-# million high parts, so neither ranking below outgrows a task, whatever the rows.
-LOW_BITS = 22
+# Non-negative 64-bit values are read in three digits of this many bits, so a ranking of
+# one digit sees at most 2,097,152 rows, whatever the rows and the span of the values.
+DIGIT_BITS = 21
 
 
 def total_and_median(counts: DataFrame, value: str, weight: str) -> DataFrame:
@@ -18,51 +18,67 @@ def total_and_median(counts: DataFrame, value: str, weight: str) -> DataFrame:
     may be listed more than once. Without any value all three are NULL.
 
     The built-in exact percentile keeps every distinct value of a group in one task.
-    Here a histogram of slots first finds the one or two slots with the middle ranks,
-    then only the values in those are ranked. Both steps read the same aggregate, which
-    Spark shuffles once.
+    Here a histogram of the highest digit finds the one or two slots with the middle ranks,
+    the next digit is counted inside those only, and the lowest digit gives the values.
+    All three read the same aggregate, which Spark shuffles once.
     """
     counts = counts.select(F.col(value).alias("value"), F.col(weight).alias("weight"))
-    slot = F.shiftright(F.col("value"), LOW_BITS)
-    histogram = counts.groupBy(slot.alias("slot")).agg(
+    top, *lower = (2 * DIGIT_BITS, DIGIT_BITS, 0)
+    histogram = counts.groupBy(_slot(top)).agg(
         F.sum("weight").alias("slot_n"),
         F.sum(F.col("value").cast("decimal(20,0)") * F.col("weight")).alias("slot_total"),
     )
-    upward = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     everywhere = Window.orderBy("slot").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     ranked = histogram.select(
         "slot",
-        F.sum("slot_n").over(upward).alias("through"),
-        (F.sum("slot_n").over(upward) - F.col("slot_n")).alias("before"),
+        "slot_n",
         F.sum("slot_n").over(everywhere).alias("n"),
         F.sum("slot_total").over(everywhere).cast("decimal(38,0)").alias("total"),
     ).select(
         "*", F.shiftright(F.col("n") - 1, 1).alias("low"), F.shiftright("n", 1).alias("high")
     )
-    # at most two rows: the slots of the lower and of the upper middle value
-    middle = ranked.filter(_within("low") | _within("high")).select(
-        "slot",
-        "total",
-        "n",
-        F.when(_within("low"), F.col("low") - F.col("before")).alias("low"),
-        F.when(_within("high"), F.col("high") - F.col("before")).alias("high"),
-    )
-    upward = Window.partitionBy("slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    candidates = counts.join(F.broadcast(middle), slot == F.col("slot")).withColumn(
-        "through", F.sum("weight").over(upward)
-    )
+    middle = _middle_slots(ranked, Window.orderBy("slot"))
+    for shift in lower:
+        # at most two rows are broadcast
+        inside = counts.join(
+            F.broadcast(middle), F.shiftright("value", shift + DIGIT_BITS) == F.col("parent")
+        )
+        histogram = inside.groupBy("parent", _slot(shift), "total", "n", "low", "high").agg(
+            F.sum("weight").alias("slot_n")
+        )
+        middle = _middle_slots(histogram, Window.partitionBy("parent").orderBy("slot"))
 
     def value_at(rank: str) -> Column:
-        return F.min(F.when(F.col("through") > F.col(rank), F.col("value")))
+        return F.max(F.when(F.col(rank).isNotNull(), F.col("parent")))
 
-    return candidates.agg(
-        F.first("total").alias("total"),
-        F.first("n").alias("n"),
+    return middle.agg(
+        F.max("total").alias("total"),
+        F.max("n").alias("n"),
         ((value_at("low") + value_at("high")) / 2.0).alias("median"),
     )
 
 
-def _within(rank: str) -> Column:
-    return (F.col(rank) >= F.col("before")) & (F.col(rank) < F.col("through"))
+def _slot(shift: int) -> Column:
+    return F.shiftright("value", shift).alias("slot")
+
+
+def _middle_slots(histogram: DataFrame, in_order: WindowSpec) -> DataFrame:
+    """The slots that hold the rank ``low`` or ``high``, one or two rows.
+
+    The ranks count from 0 inside what ``in_order`` orders. They are returned as ranks
+    inside the slot, NULL where it does not hold them; the slot is called ``parent``.
+    """
+    through = F.sum("slot_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = histogram.withColumn("through", through).withColumn(
+        "before", F.col("through") - F.col("slot_n")
+    )
+
+    def inside(rank: str) -> Column:
+        held = (F.col(rank) >= F.col("before")) & (F.col(rank) < F.col("through"))
+        return F.when(held, F.col(rank) - F.col("before")).alias(rank)
+
+    return ranked.select(
+        F.col("slot").alias("parent"), "total", "n", inside("low"), inside("high")
+    ).filter(F.col("low").isNotNull() | F.col("high").isNotNull())

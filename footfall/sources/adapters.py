@@ -15,12 +15,15 @@ def shop_events(
     """The ``events`` stream as shop clicks, with product names from ``part``.
 
     click -> cart, error -> remove_from_cart, other types unchanged. Every user looks at
-    one product a day; frontend sessions are per user and day, and a fifth are missing.
-    Without ``products`` the category and brand stay NULL and ``part`` is not read. With
+    one product a day, taken from the whole of ``part``; frontend sessions are per user and
+    day, and a fifth are missing. Without ``products`` the category and brand stay NULL. With
     ``gaps`` every 13th event has no user.
     """
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    product = (F.col("user_id") * 31 + F.dayofmonth("ts")) % 100
+    # the keys of part count up from 0
+    parts = part.agg(F.count("*")).scalar()
+    product = F.try_mod(F.col("user_id") * 31 + F.dayofmonth("ts"), parts)
     user_day = F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd"))
     clicks = source.select(
         F.col("ts").cast("timestamp").alias("event_time"),
@@ -36,7 +39,7 @@ def shop_events(
     )
     if not products:
         return conform(clicks)
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+    part = part.select(
         F.col("p_partkey").alias("product_id"), "p_name", "p_brand", "p_type"
     )
     code = F.concat(

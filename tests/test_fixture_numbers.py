@@ -67,7 +67,7 @@ def test_funnel_summary(shop, source):
         F.countDistinct("top_category"),
         F.countDistinct("brand"),
     )
-    assert tuple(row.first()) == (2038, 1617, 430, 123, 7, 25)
+    assert tuple(row.first()) == (2590, 1617, 430, 123, 7, 26)
 
 
 def test_weekly_cohorts_of_orders(spark):

@@ -144,7 +144,9 @@ def counts_frame(spark, values):
         [1, 2],
         [1, 10**12],
         [3, 3, 3, 9],
-        [0, 2**22 - 1, 2**22, 2**22 + 1],
+        [0, 2**21 - 1, 2**21, 2**21 + 1],
+        [2**42 - 1, 2**42, 2**42 + 1, 2**42 + 2**21],
+        [5, 2**42, 2**52, 2**52 + 2],
         [7] * 50 + [8] * 50,
         [random.Random(1).randrange(10**11) for _ in range(501)],
         [random.Random(2).randrange(10**7) for _ in range(1000)],
