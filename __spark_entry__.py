@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 import uuid
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 import oracles
 from footfall.operators import cohort, funnel, kpi, sessions
 from footfall.plans import charts, dashboard, marts
-from footfall.settings import shared_dir
+from footfall.settings import fresh_dir
 from footfall.sources import adapters, events, validation
 
 try:
@@ -48,12 +49,8 @@ def _plain(df: DataFrame) -> DataFrame:
     )
 
 
-def _fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _read_events_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _fresh_dir(spark, "events_by_month")
+    path = fresh_dir(spark, "events_by_month")
     events.write_events(adapters.order_events(spark, sf_dir), path)
     return events.read_events(
         spark, path, datetime(1996, 3, 15), datetime(1998, 7, 2), fmt="parquet"
@@ -64,7 +61,7 @@ def _sample(kind: str):
     """The sample files, read back in one of their formats."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = _fresh_dir(spark, "sample")
+        path = fresh_dir(spark, "sample")
         events.write_sample(
             adapters.shop_events(spark, sf_dir), f"{path}/events.csv", f"{path}/events.parquet"
         )
@@ -81,14 +78,55 @@ def _mart(view: str):
     return run
 
 
+RECENT = dashboard.last_days(date(2024, 1, 25))
+
+
+def _published(read: Callable[[SparkSession, str], DataFrame]):
+    """The raw table, replaced once, and all marts as tables of a database of their own."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        database = f"shop_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {database} LOCATION '{fresh_dir(spark, database)}'")
+        clicks = adapters.shop_events(spark, sf_dir)
+        raw = f"{database}.raw_events"
+        marts.publish_raw(spark, clicks.filter(F.col("event_type") == "view"), raw)
+        marts.publish_raw(spark, clicks, raw)
+        marts.publish_tables(spark, spark.table(raw), database)
+        return read(spark, database)
+
+    return run
+
+
+def _described(spark: SparkSession, database: str) -> DataFrame:
+    """Name, description and rows of every published table."""
+    tables = spark.catalog.listTables(database)
+    each = (
+        spark.table(f"{database}.{t.name}").agg(
+            F.lit(t.name).alias("name"),
+            F.lit(t.description).alias("description"),
+            F.count("*").alias("n_rows"),
+        )
+        for t in tables
+    )
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def _recent(build):
+    """A mart of thirty days on the published session table, which is cut by month."""
+
+    def read(spark: SparkSession, database: str) -> DataFrame:
+        return build(spark.table(f"{database}.{marts.SESSIONIZED}"), days=RECENT)
+
+    return _published(read)
+
+
 def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rejected = validation.validate_events(adapters.unchecked_events(spark, sf_dir))
     return rejected.withColumn("failed_rules", F.concat_ws(",", "failed_rules"))
 
 
 def _filtered(summary: DataFrame) -> DataFrame:
-    recent = dashboard.in_last_days(summary, date(2024, 1, 25))
-    chosen = dashboard.among(recent, "top_category", ["economy", "small", "uncategorized"])
+    chosen = dashboard.among(summary, "top_category", ["economy", "small", "uncategorized"])
     return dashboard.among(chosen, "brand", ["unknown", *(f"Brand#{i}" for i in range(1, 6))])
 
 
@@ -128,7 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         """The flat table is written once; its matrix reads it twice."""
 
         def run(df):
-            path = _fresh_dir(df.sparkSession, name)
+            path = fresh_dir(df.sparkSession, name)
             build(df).write.parquet(path)
             return df.sparkSession.read.parquet(path)
 
@@ -189,7 +227,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "treemap_rollup": shop(lambda df: dashboard.treemap_rollup(summary(df))),
         "category_revenue": shop(lambda df: dashboard.category_revenue(df, summary(df))),
         "brand_matrix": shop(dashboard.brand_matrix),
-        "dashboard_filtered": shop(lambda df: _filtered(summary(df))),
+        "dashboard_filtered": shop(lambda df: _filtered(summary(df, days=RECENT))),
         "valid_events": of(
             adapters.unchecked_events, lambda df: validation.validate_events(df)[0]
         ),
@@ -206,6 +244,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mart_funnel_summary": job(_mart("v_funnel_summary")),
         "mart_cohort_retention": job(_mart("v_cohort_retention")),
         "mart_sessionized": job(_mart("v_events_sessionized")),
+        "cohort_events_week": orders(lambda df: cohort.cohort_events(df, "W")),
+        "cohort_events_month": orders(lambda df: cohort.cohort_events(df, "M", "purchase")),
+        "published_tables": job(_published(_described)),
+        "published_recent_kpi": job(_recent(daily)),
+        "published_recent_summary": job(_recent(summary)),
         "sample_parquet": job(_sample("parquet")),
         "read_events_range": job(_read_events_range),
         "csv_roundtrip": job(_sample("csv")),

@@ -7,6 +7,8 @@ funnel_users                      unordered, over all time, per user
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,10 +152,11 @@ def brand_or_unknown() -> Column:
     return F.coalesce("brand", F.lit(NO_BRAND))
 
 
-def funnel_summary(events: DataFrame) -> DataFrame:
+def funnel_summary(events: DataFrame, days: tuple[date, date] | None = None) -> DataFrame:
     """Users and sessions per step for every day, top category and brand.
 
-    ``events`` may be raw or sessionized.
+    ``events`` may be raw or sessionized. ``days``, the first and last day wanted, is
+    better than a filter of the result: it prunes the month folders of the events.
     A step counts only together with the earlier ones inside one (day, category, brand,
     user, session), in any order.
     """
@@ -164,7 +167,10 @@ def funnel_summary(events: DataFrame) -> DataFrame:
     }
     keys = list(by)
     seen = per_session(
-        events, by, {f"has_{t}": (F.max, flag(is_event(t))) for t in (VIEW, CART, PURCHASE)}
+        events,
+        by,
+        {f"has_{t}": (F.max, flag(is_event(t))) for t in (VIEW, CART, PURCHASE)},
+        days=days,
     )
     together = seen.select(
         *keys,

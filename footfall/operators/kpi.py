@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from footfall.functions.calendar import day
 from footfall.functions.rates import money_per, pct
 from footfall.operators.sessions import session_groups
 from footfall.schema import PURCHASE, is_event
+from footfall.sources.events import on_days
 
 
 def purchase_rows() -> Column:
@@ -29,17 +32,18 @@ def _per_user_day(events: DataFrame) -> DataFrame:
     )
 
 
-def kpi_daily(events: DataFrame) -> DataFrame:
+def kpi_daily(events: DataFrame, days: tuple[date, date] | None = None) -> DataFrame:
     """One row per day: users, sessions, buyers, orders, revenue and their ratios.
 
     ``events`` may be raw or sessionized. An order is a purchase row. A session over
-    midnight counts on both days.
+    midnight counts on both days. ``days``, the first and last day wanted, prunes the month
+    folders of the events, which a filter of the result does not.
 
     Users and sessions are counted on two branches that meet as partial sums per day.
     The user branch needs no session id; on sessionized events Catalyst drops the join.
     """
     of_users = (
-        _per_user_day(events)
+        _per_user_day(on_days(events, days))
         .groupBy("event_date")
         .agg(
             F.count("user_id").alias("dau"),
@@ -49,7 +53,7 @@ def kpi_daily(events: DataFrame) -> DataFrame:
         )
     )
     of_sessions = (
-        session_groups(events, {"event_date": day("event_time")}, {})
+        session_groups(events, {"event_date": day("event_time")}, {}, days=days)
         .select("event_date", "effective_session_id")
         .distinct()
         .groupBy("event_date")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.calendar import epoch_us, micros, slot_start
 from footfall.schema import CART, PURCHASE, VIEW, is_event
+from footfall.sources.events import on_days
 
 GAP = timedelta(minutes=30)
 
@@ -94,6 +95,7 @@ def session_groups(
     keys: dict[str, Column],
     measures: dict[str, Measure],
     gap: timedelta = GAP,
+    days: tuple[date, date] | None = None,
 ) -> DataFrame:
     """``user_id``, ``effective_session_id``, keys and partial measures, any number of rows each.
 
@@ -102,18 +104,22 @@ def session_groups(
     or raw events. Of those, rows with a frontend session need no lookup; the others are
     first aggregated per (user, slot, keys), so that groups rather than rows are looked up
     and a hot group shrinks before any shuffle.
+
+    ``days`` keeps the events from the first to the last of two days. Sessions are still
+    numbered over the whole history, so ids do not depend on the range.
     """
+    wanted = on_days(df, days)
     key_columns = [c.alias(n) for n, c in keys.items()]
     inputs = [c.alias(n) for n, (_, c) in measures.items()]
     if "effective_session_id" in df.columns:
-        return df.select("user_id", "effective_session_id", *key_columns, *inputs)
+        return wanted.select("user_id", "effective_session_id", *key_columns, *inputs)
     session = F.col("user_session")
-    named = df.filter(session.isNotNull()).select(
+    named = wanted.filter(session.isNotNull()).select(
         "user_id", session.alias("effective_session_id"), *key_columns, *inputs
     )
     slot = slot_start(F.col("event_time"), micros(gap)).alias("slot")
     unnamed = _aggregate(
-        df.filter(session.isNull()), ["user_id", slot, *key_columns], measures
+        wanted.filter(session.isNull()), ["user_id", slot, *key_columns], measures
     ).join(session_slots(df, gap), ["user_id", "slot"], "left")
     return named.unionByName(
         unnamed.select(
@@ -127,9 +133,10 @@ def per_session(
     keys: dict[str, Column],
     measures: dict[str, Measure],
     gap: timedelta = GAP,
+    days: tuple[date, date] | None = None,
 ) -> DataFrame:
     """Aggregate raw or sessionized events per (user, effective session, keys)."""
-    groups = session_groups(df, keys, measures, gap)
+    groups = session_groups(df, keys, measures, gap, days)
     merge = {n: (f, F.col(n)) for n, (f, _) in measures.items()}
     return _aggregate(groups, ["user_id", "effective_session_id", *keys], merge)
 

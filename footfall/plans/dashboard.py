@@ -137,11 +137,16 @@ def brand_matrix(events: DataFrame) -> DataFrame:
 # --- global filters ---------------------------------------------------------------
 
 
+def last_days(as_of: date, days: int = 30) -> tuple[date, date]:
+    """First and last of the ``days`` days ending with ``as_of``, for marts built on a range."""
+    return as_of - timedelta(days=days - 1), as_of
+
+
 def in_last_days(
     df: DataFrame, as_of: date, days: int = 30, column: str = "event_date"
 ) -> DataFrame:
     """Rows of the ``days`` days ending with ``as_of``, both ends included."""
-    return df.filter(F.col(column).between(as_of - timedelta(days=days - 1), as_of))
+    return in_date_range(df, *last_days(as_of, days), column)
 
 
 def in_date_range(df: DataFrame, first: date, last: date, column: str = "event_date") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ REQUIRED_COLUMNS = [f.name for f in RAW_EVENTS if not f.nullable]
 VIEW, CART, PURCHASE = "view", "cart", "purchase"
 NO_CATEGORY, NO_BRAND = "uncategorized", "unknown"
 STAGE_LABELS = ("1. Product Views", "2. Cart Additions", "3. Completed Purchases")
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 STEP_LABELS = ("1. View Product", "2. Add to Cart", "3. Purchase")
 
 
@@ -41,8 +42,15 @@ def with_event_time(df: DataFrame) -> DataFrame:
     return df
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """Project a frame onto ``RAW_EVENTS``: declared order and types.
+def require_utc(spark: SparkSession) -> None:
+    """Days, weeks and months are those of the session time zone, which must be UTC."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"the session time zone must be UTC, not {zone}")
+
+
+def conform(df: DataFrame, extra: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Project a frame onto ``RAW_EVENTS``: declared order and types, then ``extra`` columns.
 
     A missing nullable column becomes NULL, a missing required one is an error.
     Values that do not fit their type raise (ANSI casts); use
@@ -52,10 +60,12 @@ def conform(df: DataFrame) -> DataFrame:
     missing = [c for c in REQUIRED_COLUMNS if c not in present]
     if missing:
         raise ValueError(f"raw events lack required columns: {', '.join(missing)}")
+    require_utc(df.sparkSession)
     df = with_event_time(df)
     return df.select(
         *(
             (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in RAW_EVENTS
-        )
+        ),
+        *extra,
     )

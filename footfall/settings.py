@@ -6,6 +6,8 @@ benchmark, the tests and jobs that start their own.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Skew is left to AQE where it works at run time (joins, rebalanced writes); the
@@ -52,6 +54,15 @@ def build_session(
     return builder.getOrCreate()
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(jvm_path)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for tables a job writes and reads back.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, time, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,18 +34,37 @@ def read_events(
     start: datetime | None = None,
     end: datetime | None = None,
     fmt: str | None = None,
+    keep_month: bool = False,
 ) -> DataFrame:
     """Raw events in the declared schema, optionally of ``start <= event_time < end``.
 
-    On a month-partitioned folder the range also becomes a range of months: Spark
+    ``keep_month`` leaves the month column of a folder written by ``write_events`` in the
+    result, after the declared ones, so that ``on_days`` prunes folders later.
+    """
+    loaded = in_range(with_event_time(load_events(spark, path, fmt)), start, end)
+    return conform(loaded, extra=[MONTH] if keep_month else [])
+
+
+def in_range(
+    events: DataFrame, start: datetime | None = None, end: datetime | None = None
+) -> DataFrame:
+    """Events of ``start <= event_time < end``.
+
+    Where the events carry their month the range also becomes a range of months: Spark
     prunes folders by the partition column only, not by the time it derives from.
     """
-    loaded = with_event_time(load_events(spark, path, fmt))
-    if MONTH in loaded.columns:
-        loaded = loaded.filter(_month_range(start, end))
+    if MONTH in events.columns:
+        events = events.filter(_month_range(start, end))
     # compared in the type of the file, so that the filter reaches the scan
-    time_type = loaded.schema["event_time"].dataType
-    return conform(loaded.filter(_time_range(start, end, time_type)))
+    return events.filter(_time_range(start, end, events.schema["event_time"].dataType))
+
+
+def on_days(events: DataFrame, days: tuple[date, date] | None) -> DataFrame:
+    """Events from the first to the last of two UTC days, both included; all for None."""
+    if days is None:
+        return events
+    first, last = (datetime.combine(d, time()) for d in days)
+    return in_range(events, first, last + timedelta(days=1))
 
 
 def _month_range(start: datetime | None, end: datetime | None) -> Column:
@@ -62,11 +81,11 @@ def _time_range(start: datetime | None, end: datetime | None, time_type: DataTyp
     def moment(at: datetime) -> Column:
         return F.lit(_utc(at).isoformat(sep=" ")).cast(time_type)
 
-    time, kept = F.col("event_time"), F.lit(True)
+    at, kept = F.col("event_time"), F.lit(True)
     if start is not None:
-        kept = kept & (time >= moment(start))
+        kept = kept & (at >= moment(start))
     if end is not None:
-        kept = kept & (time < moment(end))
+        kept = kept & (at < moment(end))
     return kept
 
 

@@ -1,16 +1,19 @@
 """Shapes of the plans that matter at scale."""
 
 import re
+from datetime import date
 
 import pytest
 from conftest import TESTDATA
+from pyspark.sql import functions as F
 
 from footfall.operators.cohort import cohort_retention, cohort_retention_weekly
 from footfall.operators.funnel import funnel_overall, funnel_summary, funnel_users
 from footfall.operators.kpi import kpi_daily, kpi_trends
 from footfall.operators.sessions import session_steps, sessionize
 from footfall.settings import shared_dir, shuffle_partitions
-from footfall.sources.adapters import shop_events
+from footfall.sources.adapters import order_events, shop_events
+from footfall.sources.events import by_month, read_events, write_events
 
 SF = f"{TESTDATA}/sf0.01"
 
@@ -113,6 +116,37 @@ def test_event_filter_reaches_the_scan(spark):
     assert "EqualTo(event_type,purchase)" in text
 
 
+@pytest.mark.parametrize("mart", [kpi_daily, funnel_summary])
+def test_day_ranges_prune_month_folders(spark, tmp_path, mart):
+    path = f"file:{tmp_path}/by_month"
+    days = (date(1996, 2, 20), date(1996, 3, 10))
+    write_events(order_events(spark, SF), path)
+    raw = read_events(spark, path, fmt="parquet", keep_month=True)
+    pruned = re.findall(r"PartitionFilters: \[(.*?)\], ", plan(mart(raw, days=days)))
+    # the slot summary reads all months: sessions depend on the whole history
+    assert any("event_month" not in filters for filters in pruned)
+    assert any("1996-02" in filters and "1996-03" in filters for filters in pruned)
+
+    by_month(sessionize(raw)).write.partitionBy("event_month").parquet(f"{path}_sessions")
+    published = spark.read.parquet(f"{path}_sessions")
+    pruned = re.findall(r"PartitionFilters: \[(.*?)\], ", plan(mart(published, days=days)))
+    assert pruned and all("1996-02" in f and "1996-03" in f for f in pruned)
+
+    whole = mart(raw).filter(F.col("event_date").between(*days)).collect()
+    assert len(whole) == 20
+    for ranged in (mart(raw, days=days), mart(published, days=days)):
+        assert sorted(map(str, ranged.collect())) == sorted(map(str, whole))
+
+
+def test_other_time_zones_are_refused(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            order_events(spark, SF)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_shared_dir_comes_from_the_session(spark):
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert shared_dir(spark) == configured.rstrip("/")
