@@ -99,7 +99,7 @@ def _published(read: Callable[[SparkSession, str], DataFrame]):
 
 def _described(spark: SparkSession, database: str) -> DataFrame:
     """Name, description and rows of every published table."""
-    tables = spark.catalog.listTables(database)
+    tables = [t for t in spark.catalog.listTables(database) if not t.isTemporary]
     each = (
         spark.table(f"{database}.{t.name}").agg(
             F.lit(t.name).alias("name"),
