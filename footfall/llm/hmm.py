@@ -13,8 +13,7 @@ base score. The last factor does not depend on the states, so training needs cla
 
 Training: expected counts of each partition are added up by Spark (a row per class, a vector
 over the states) and the driver, which sees as many numbers as the model has, normalises them.
-The first rounds use a documented share of the training texts chosen by hash, the same share
-at every size; the last ones use all of them. Scoring is the scaled forward recursion over
+Every round reads all training texts. Scoring is the scaled forward recursion over
 whole texts, in batches of texts of similar length.
 
 The word counts are a distributed table. Frequent words are looked up in a bounded table that
@@ -48,8 +47,8 @@ ENDINGS = 4096
 ENDING_BYTES = 3
 SMOOTHING = 0.1
 HELD_OUT_OF = 10
-# Share (one in so many) of the training texts in each round.
-ROUNDS = (32, 32, 32, 32, 16, 16, 4, 1)
+# Rounds of training; each reads all training texts (one in one).
+ROUNDS = (1,) * 8
 # Tokens worked on at once; bounds the memory of the forward and backward values.
 AT_ONCE = 1 << 18
 END = b"\n"  # cannot be a word
@@ -233,61 +232,66 @@ def first_model(n_classes: int, seed: int = SEED) -> Model:
 
 
 class Batch:
-    """Sequences side by side, longest first, so that those still running are a prefix."""
+    """Sequences side by side, longest first, so that those still running are a prefix.
+
+    Values of all tokens lie step by step, so a step is a slice and whatever does not
+    depend on the step before is done for all steps at once.
+    """
 
     def __init__(self, sequences: list[np.ndarray]):
-        self.lengths = np.array([len(s) for s in sequences], np.int64)
-        self.order = np.argsort(-self.lengths, kind="stable")
-        self.flat = np.concatenate([sequences[i] for i in self.order]).astype(np.int64)
-        lengths = self.lengths[self.order]
-        self.first = np.cumsum(lengths) - lengths
-        steps = int(lengths[0])
-        self.running = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
-        self.ended = lengths - 1
+        lengths = np.array([len(s) for s in sequences], np.int64)
+        self.order = np.argsort(-lengths, kind="stable")
+        flat = np.concatenate([sequences[i] for i in self.order])
+        lengths = lengths[self.order]
+        first = np.cumsum(lengths) - lengths
+        running = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+        ends = np.cumsum(running)
+        begins = ends - running
+        step = np.repeat(np.arange(len(running)), running)
+        self.row = np.arange(len(flat)) - begins[step]
+        self.classes = flat[first[self.row] + step].astype(np.int64)
+        # where the token before is, for all tokens but the first of each sequence
+        self.before = np.arange(running[0], len(flat)) - running[step[running[0] :] - 1]
+        self.spans = list(zip(begins.tolist(), ends.tolist()))
 
     def forward(self, model: Model, keep: bool):
-        """Scaled forward recursion: log likelihoods and, if kept, all scaled values."""
-        n = len(self.first)
-        logs = np.zeros(n)
-        values, scales = [], []
-        alpha = np.repeat(model.start[None, :], n, axis=0)
-        for step, m in enumerate(self.running):
-            seen = model.emit[self.flat[self.first[:m] + step]]
-            alpha = (alpha[:m] if step == 0 else alpha[:m] @ model.move) * seen
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            logs[:m] += np.log(scale)
-            if keep:
-                values.append(alpha)
-                scales.append(scale)
-        result = np.empty(n)
-        result[self.order] = logs
-        return result, values, scales
+        """Scaled forward recursion: log likelihoods and, if kept, scaled values and what the
+        step back multiplies by (emission by scale)."""
+        seen = model.emit[self.classes]
+        # the scale of a token is repeated for all states, which spares a loop per row
+        values, scales, ones = np.empty_like(seen), np.empty_like(seen), np.ones((STATES, STATES))
+        last = None
+        for begin, end in self.spans:
+            alpha, scale = values[begin:end], scales[begin:end]
+            if last is None:
+                np.multiply(seen[begin:end], model.start, out=alpha)
+            else:
+                np.matmul(values[last : last + end - begin], model.move, out=alpha)
+                alpha *= seen[begin:end]
+            np.matmul(alpha, ones, out=scale)
+            alpha /= scale
+            last = begin
+        result = np.empty(len(self.order))
+        result[self.order] = np.bincount(self.row, np.log(scales[:, 0]), len(self.order))
+        if not keep:
+            return result, None, None
+        seen /= scales
+        return result, values, seen
 
     def expected(self, model: Model):
         """Expected counts of starts, moves and emissions."""
-        _, values, scales = self.forward(model, keep=True)
-        n_classes = len(model.emit)
-        emit = np.zeros((STATES, n_classes))
-        move = np.zeros((STATES, STATES))
-        beta = np.ones((len(self.first), STATES))
-        held_classes, held_gamma = [], []
-        for step in range(len(self.running) - 1, -1, -1):
-            m = self.running[step]
-            classes = self.flat[self.first[:m] + step]
-            gamma = values[step] * beta[:m]
-            held_classes.append(classes)
-            held_gamma.append(gamma)
-            if step:
-                ahead = model.emit[classes] * beta[:m] / scales[step][:, None]
-                move += values[step - 1][:m].T @ ahead
-                beta[:m] = ahead @ model.move.T
-            else:
-                start = gamma.sum(axis=0)
-        classes, gamma = np.concatenate(held_classes), np.concatenate(held_gamma)
+        _, values, ahead = self.forward(model, keep=True)
+        n_classes, n = len(model.emit), len(self.order)
+        beta, back = np.ones_like(values), np.ascontiguousarray(model.move.T)
+        for (last, _), (begin, end) in zip(self.spans[-2::-1], self.spans[:0:-1]):
+            ahead[begin:end] *= beta[begin:end]
+            np.matmul(ahead[begin:end], back, out=beta[last : last + end - begin])
+        move = values[self.before].T @ ahead[n:]
+        values *= beta
+        emit = np.empty((STATES, n_classes))
         for state in range(STATES):
-            emit[state] = np.bincount(classes, gamma[:, state], n_classes)
-        return start, move * model.move, emit.T
+            emit[state] = np.bincount(self.classes, values[:, state], n_classes)
+        return values[:n].sum(axis=0), move * model.move, emit.T
 
 
 def _batches(rows: list[bytes], at_once: int = AT_ONCE):
@@ -309,11 +313,13 @@ def _sequences(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def train(encoded: DataFrame, n_classes: int, rounds: tuple[int, ...] = ROUNDS) -> Model:
-    """Baum-Welch over the training rows of ``encoded``; see the module for the shares."""
+    """Baum-Welch over all training rows of ``encoded``, one round per entry of ``rounds``."""
+    if set(rounds) - {1}:
+        raise ValueError("every round reads all training texts: shares other than 1 are not taken")
     spark = encoded.sparkSession
     model = first_model(n_classes)
     learned = encoded.filter("not held_out").select("classes")
-    for share in rounds:
+    for _ in rounds:
         shipped = spark.sparkContext.broadcast(model)
 
         def make(shipped=shipped):
@@ -337,9 +343,8 @@ def train(encoded: DataFrame, n_classes: int, rounds: tuple[int, ...] = ROUNDS)
 
         names = ["key", *(f"s{s}" for s in range(STATES))]
         schema = ", ".join(["key long", *(f"s{s} double" for s in range(STATES))])
-        chosen = learned.filter(F.pmod(F.xxhash64("classes"), F.lit(share)) == 0)
         counted = (
-            per_batch(chosen.select("classes"), make, schema)
+            per_batch(learned, make, schema)
             .groupBy("key")
             .agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES)))
             .collect()

@@ -406,6 +406,27 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert (got.score > got.base_score).mean() > 0.9
 
 
+@pytest.mark.parametrize("n_texts, copies", [(12, 0), (100, 50)])
+def test_every_round_reads_all_training_texts(spark, docs, n_texts, copies):
+    """The rounds of the registered query on few texts and on one text for a third of the rows."""
+    some = docs.select("doc_id", "text").orderBy("doc_id").limit(n_texts).collect()
+    table = [(r.doc_id, r.text) for r in some] + [(10**6 + i, some[5].text) for i in range(copies)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    lexicon = hmm.lexicon_of(hmm.word_counts(df))
+    encoded = hmm.encode(df, lexicon).cache()
+    got = hmm.train(encoded, lexicon.n_classes)
+    learned = [np.frombuffer(r.classes, "<u2") for r in encoded.filter("not held_out").collect()]
+    model = hmm.first_model(lexicon.n_classes)
+    for _ in range(8):
+        start, move, emit = hmm.Batch(learned).expected(model)
+        start, move, emit = start + 1, move + 1, emit + hmm.SMOOTHING / hmm.STATES
+        model = hmm.Model(
+            start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
+        )
+    assert np.allclose(got.start, model.start) and np.allclose(got.move, model.move)
+    assert np.allclose(got.emit, model.emit)
+
+
 def test_forward_and_expected_counts():
     """Against enumeration of all state paths of short sequences."""
     from itertools import product
