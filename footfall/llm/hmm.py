@@ -125,8 +125,12 @@ class Lexicon:
 
 
 def lexicon_of(counts: DataFrame) -> Lexicon:
-    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    ends = F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))
+    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), ends.alias("ends")).first()
     looked_up = frequent_words(counts, LOOKED_UP)
+    # every text has an end mark, which is never joined as rare words are
+    if totals.ends:
+        looked_up[END] = totals.ends
     own = sorted(looked_up, key=lambda w: (-looked_up[w], w))[: OWN_CLASSES - 1]
     # the end mark is a class even if nothing was learned
     own = [END, *(w for w in own if w != END)]

@@ -406,6 +406,20 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert (got.score > got.base_score).mean() > 0.9
 
 
+def test_end_mark_counts_beside_the_cap(docs, monkeypatch):
+    """With a cap so small that no word is looked up, base scores stay those of all words."""
+    table = docs.select("doc_id", "text").orderBy("doc_id").limit(30)
+    want = {r.doc_id: r for r in hmm.score_texts(table, rounds=(1,)).collect()}
+    monkeypatch.setattr(hmm, "LOOKED_UP", 0)
+    lexicon = hmm.lexicon_of(hmm.word_counts(table))
+    assert lexicon.counts == {hmm.END: sum(not w.held_out for w in want.values())}
+    got = hmm.score_texts(table, rounds=(1,)).collect()
+    assert len(got) == len(want) == 30
+    for r in got:
+        assert r.n_known == want[r.doc_id].n_known
+        assert r.base_score == pytest.approx(want[r.doc_id].base_score)
+
+
 @pytest.mark.parametrize("n_texts, copies", [(12, 0), (100, 50)])
 def test_every_round_reads_all_training_texts(spark, docs, n_texts, copies):
     """The rounds of the registered query on few texts and on one text for a third of the rows."""
