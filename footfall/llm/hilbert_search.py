@@ -13,16 +13,17 @@ of all blocks are merged. A pair within the window of several curves counts on t
 What is fitted, on samples of bounded size: quantiles and positions on about ``SAMPLE``
 vectors, and the width of the window on ``PROBES`` of them, whose true neighbours are found by
 one pass over all vectors: the least width that holds the share ``RECALL`` of these neighbours,
-and ``LEAST_WINDOW`` times k rows on either side.
+and the share of ``LEAST_WINDOW`` times k distinct ids on either side.
 Vectors with structure need narrow windows; where neighbours hardly stand out (independent
 coordinates in many dimensions) the window grows to a fixed share of the data, and the work
 with the number of queries times the number of vectors.
 
 Edge cases: vectors that are null, empty, all zero or hold null or non-finite components take
 no part, nor do rows without an id or with another dimension than most (ties: the larger).
-Of equal vectors only the first k + 1 by id can be among k neighbours of anything, and only
-these are indexed. A query is never its own neighbour; rows that repeat an id count once per
-query, with their best score. Fewer than k candidates are all returned. Empty tables give no
+Rows that repeat both id and vector are dropped first. Of equal vectors only the first k + 1
+ids can be among k neighbours of anything, and only these are indexed. A query is never its
+own neighbour; an id with several vectors counts once per query, with its best score, in the
+fit, in each block and in the result. Fewer than k candidates are all returned. Empty tables give no
 rows.
 """
 
@@ -153,8 +154,16 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
     return rows.filter(F.size("v") == dimension), dimension
 
 
+def _best_ids(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best distinct ids of each row of ``scores``, best first."""
+    order = np.argsort(-scores, axis=1, kind="stable")
+    if len(np.unique(ids)) == len(ids):
+        return order[:, :k]
+    return np.stack([o[np.sort(np.unique(ids[o], return_index=True)[1])[:k]] for o in order])
+
+
 def _true_neighbours(rows: DataFrame, probes: np.ndarray, ids: np.ndarray, curves, k: int, dimension: int):
-    """Positions of the k best rows of each probe over all rows: (probe, score, p0, p1, ...)."""
+    """Positions of the k best ids of each probe over all rows: (probe, score, p0, p1, ...)."""
     shipped = rows.sparkSession.sparkContext.broadcast((probes, ids, curves))
     names = ["probe", "vec_id", "score", *(f"p{c}" for c in range(CURVES))]
 
@@ -166,7 +175,7 @@ def _true_neighbours(rows: DataFrame, probes: np.ndarray, ids: np.ndarray, curve
             vec_ids = batch.column("vec_id").to_numpy()
             scores = held @ x.T
             scores[held_ids[:, None] == vec_ids] = -np.inf
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            best = _best_ids(scores, vec_ids, k)
             probe = np.repeat(np.arange(len(held)), best.shape[1])
             at = best.ravel()
             chance = _chance(vec_ids[at])
@@ -180,6 +189,8 @@ def _true_neighbours(rows: DataFrame, probes: np.ndarray, ids: np.ndarray, curve
         f"p{c} double" for c in range(CURVES)
     )
     found = per_batch(rows.select("vec_id", "v"), make, schema).filter("score > '-Infinity'")
+    best = F.max(F.struct(*names[2:])).alias("best")
+    found = found.groupBy("probe", "vec_id").agg(best).select("probe", "vec_id", "best.*")
     nth = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth").toPandas()
 
@@ -233,13 +244,18 @@ def _placed(rows: DataFrame, curves: list[Curve], dimension: int) -> DataFrame:
 
 
 def _best_of_block(queries: pd.DataFrame, rows: pd.DataFrame, width: float, k: int, dimension: int):
-    """The k best rows of one block for each query, among those whose first common window is
+    """The k best ids of one block for each query, among those whose first common window is
     on the curve of the block."""
     out = {"query_id": [], "vec_id": [], "score": []}
     if len(queries) and len(rows):
         curve = int(rows["curve"].iloc[0])
         x, ids = _unpacked(rows["v"], dimension), rows["vec_id"].to_numpy()
         p = np.stack(rows["p"].tolist())
+        # rows of one id side by side; an id has several if its rows hold different vectors
+        by_id = np.argsort(ids, kind="stable")
+        x, ids, p = x[by_id], ids[by_id], p[by_id]
+        first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+        of_id = np.repeat(np.arange(len(first)), np.diff(first, append=len(ids)))
         all_q, query_ids = _unpacked(queries["v"], dimension), queries["vec_id"].to_numpy()
         all_p = np.stack(queries["p"].tolist())
         for at in range(0, len(queries), QUERIES_AT_ONCE):
@@ -250,13 +266,21 @@ def _best_of_block(queries: pd.DataFrame, rows: pd.DataFrame, width: float, k: i
             for earlier in range(curve):
                 near &= np.abs(q_p[:, [earlier]] - p[:, earlier]) > width
             scores[~near | (q_ids[:, None] == ids)] = -np.inf
-            take = min(k, len(ids))
-            least = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
+            best = np.maximum.reduceat(scores, first, axis=1) if len(first) < len(ids) else scores
+            take = min(k, len(first))
+            least = -np.partition(-best, take - 1, axis=1)[:, take - 1]
             # rounding differs between blocks: keep what could tie, then score in one fixed way
             slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-            query, row = np.nonzero((scores >= (least - slack)[:, None]) & np.isfinite(scores))
+            good = (scores >= (least - slack)[:, None]) & np.isfinite(scores)
+            if len(first) < len(ids):
+                top = best[:, of_id]
+                good &= scores >= top - 1e-9 * (1 + np.abs(top))
+            query, row = np.nonzero(good)
             exact = (q[query] * x[row]).sum(axis=1)
             order = np.lexsort((ids[row], -exact, query))
+            if len(first) < len(ids):
+                pair = query[order] * len(first) + of_id[row[order]]
+                order = order[np.sort(np.unique(pair, return_index=True)[1])]
             query, row, exact = query[order], row[order], exact[order]
             nth = np.arange(len(query)) - np.searchsorted(query, query, "left")
             kept = nth < k
@@ -285,13 +309,14 @@ def nearest(
     rows, dimension = usable(vectors, id_col, vector_col)
     if not dimension:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = stash(rows, "vectors")
+    rows = stash(rows.dropDuplicates(["vec_id", "v"]), "vectors")
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     indexed = rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth")
     indexed = stash(indexed, "indexed")
     curves, width, n = fit(indexed, dimension, k)
     # enough rows on either side that no query finds fewer than k while there are more
-    width = max(width, LEAST_WINDOW * k / n)
+    n_ids = indexed.select("vec_id").distinct().count()
+    width = max(width, LEAST_WINDOW * k / n_ids)
     blocks = max(1, -(-n // BLOCK))
 
     on_curve = F.posexplode("p").alias("curve", "at")
@@ -311,7 +336,7 @@ def nearest(
         .cogroup(candidates.groupBy("curve", "block"))
         .applyInPandas(best, "query_id long, vec_id long, score double")
     )
-    # only rows that repeat an id can meet twice
+    # only ids with several vectors can meet twice
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(

@@ -546,3 +546,36 @@ def test_search_odd_vectors(spark):
     assert got == want
     assert hilbert_search.nearest(df.filter("vec_id in (240, 241)")).collect()[0].vec_id == 241
     assert hilbert_search.nearest(df.limit(0)).count() == 0
+
+
+def test_search_repeated_rows(spark):
+    """Repeated rows change nothing, and ids with several vectors count once."""
+    random_ = np.random.default_rng(5)
+    schema = "vec_id long, embedding array<double>"
+    # more repeats of the smallest id than k + 1, and others with the same vector
+    table = [(0, [1.0, 0.5, 0.0])] * 30 + [(i, [1.0, 0.5, 0.0]) for i in range(1, 15)]
+    table += [(i, random_.normal(size=3).tolist()) for i in range(15, 70)]
+    # ids with several vectors
+    table += [(i, random_.normal(size=3).tolist()) for i in range(15, 25) for _ in range(6)]
+    distinct = {(i, tuple(v)) for i, v in table}
+    want = {}
+    for q in (0, 20, 40, 60):
+        best = {}
+        for own in (np.array(v) for i, v in distinct if i == q):
+            for i, v in distinct:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float((own * np.array(v)).sum()))
+        want[q] = sorted(best, key=lambda i: (-best[i], i))[:20]
+    for times in (1, 3):
+        got = defaultdict(list)
+        df = spark.createDataFrame(table * times, schema).repartition(3)
+        for r in hilbert_search.nearest(df).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert got == want
+    # a fitted window narrower than the table, every row three times
+    many = [(i, random_.normal(size=8).tolist()) for i in range(1200)]
+    once, thrice = (
+        sorted(map(tuple, hilbert_search.nearest(spark.createDataFrame(t, schema)).collect()))
+        for t in (many, many * 3)
+    )
+    assert len(once) == 60 * 20 and thrice == once
