@@ -11,7 +11,7 @@ from footfall.llm.queries import WORD_BPE, vocabulary
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the compression bands."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, bands=quality.FITTED)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report(_table(spark, sf_dir, "documents"))
+    return quality.quality_report(_table(spark, sf_dir, "documents"), bands=quality.FITTED)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

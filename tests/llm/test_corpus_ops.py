@@ -25,7 +25,7 @@ from footfall.llm import (
     unigram_counts,
 )
 from footfall.llm.common import fresh_path
-from footfall.llm.queries import BYTE_BPE, PIECES, WORD_BPE, vocabulary
+from footfall.llm.queries import BYTE_BPE, PIECES, WORD_BPE, op3_compression_bands, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size int"
 LONG = " ".join("ba na to ri".split()[i * i % 4] + str(i % 97) for i in range(60000))
@@ -121,6 +121,35 @@ def test_quality_bands(spark, none):
     assert quality.quality_report(none).count() == 0
 
 
+def test_fitted_bands_decide(spark):
+    """The registered limits part good from bad documents that pass the base rules alike."""
+    sf_dir = f"{TESTDATA}/sf0.01"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    report = op3_compression_bands(spark, sf_dir).filter("not base_failed").join(labels, "doc_id")
+    rows_ = [(r.quality, r.kept) for r in report.collect()]
+    good, bad = ([kept for q, kept in rows_ if q == label] for label in (1, 0))
+    assert len(good) > 200 and np.mean(good) > 0.95
+    assert len(bad) > 10 and np.mean(bad) < 0.3
+
+
+def test_texts_bad_in_places_go(spark):
+    """About half noise or half boilerplate after good prose, under either limits."""
+    good = spark.read.parquet(f"{TESTDATA}/sf0.01/labels.parquet").filter("quality = 1")
+    some = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").filter("lang = 'en'")
+    longest = some.join(good, "doc_id").orderBy(F.desc(F.length("text")), "doc_id").first().text
+    prose = longest[:8000]
+    assert len(prose.encode()) == 8000
+    noise = " ".join(base64.b64encode(random.Random(i).randbytes(9)).decode() for i in range(592))
+    lines = "\n".join(f"line {i} says the same thing over and over in many words" for i in range(135))
+    texts_ = [prose, prose + " " + noise, prose + "\n" + lines]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    for bands in (quality.BANDS, quality.FITTED):
+        report = quality.quality_report(df, bands=bands).orderBy("doc_id").collect()
+        assert [r.kept for r in report] == [True, False, False]
+        assert [r.base_failed for r in report][:2] == [False, False]
+        assert quality.keep_good(df, bands=bands).count() == 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 4095, 4096, 5119, 5120, 8191, 9215, 9216, 100_000])
 def test_chunks_cover_everything(n):
     sizes = quality.chunk_sizes(n)
