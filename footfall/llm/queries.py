@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm import (
     bpe,
+    collocations,
     hilbert_search,
     hmm,
     pareto_mix,
@@ -87,6 +88,10 @@ def op10_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_and_decode(docs, vocabulary(WORD_BPE)))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_pareto_mix,
@@ -99,10 +104,59 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_hilbert_neighbours,
         op9_simhash_popcounts,
         op10_speculative_bpe,
+        op12_collocations,
     )
     return {query.__name__: query for query in registered}
 
 
+OP12_SQL = r"""
+WITH lines AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS line
+  FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(line, '[^\x20\x09]+') AS w FROM lines
+), sizes AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), runs AS (
+  SELECT lang, unnest(w) AS phrase FROM pieces
+  UNION ALL SELECT lang, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM pieces
+  UNION ALL
+  SELECT lang, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])
+  FROM pieces
+), frequent AS (
+  SELECT lang, phrase, string_split(phrase, ' ') AS w, count(*) AS f
+  FROM runs GROUP BY lang, phrase HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, w[1] || ' ' || w[2] AS phrase, f FROM frequent WHERE len(w) = 3
+  UNION ALL SELECT lang, w[2] || ' ' || w[3], f FROM frequent WHERE len(w) = 3
+), kept AS (
+  SELECT * FROM frequent c
+  WHERE len(w) > 1 AND NOT EXISTS (
+    SELECT 1 FROM longer o WHERE o.lang = c.lang AND o.phrase = c.phrase AND 100 * o.f >= 50 * c.f)
+), cuts AS (
+  SELECT lang, phrase, f AS a, k,
+         array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:len(w)], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, len(w))) AS k FROM kept)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, c.k,
+         CAST((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c
+  JOIN frequent x ON x.lang = c.lang AND x.phrase = c.head
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = c.rest
+), weakest AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM weakest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None: each query needs a hash, compressor, tokenizer file or iteration that SQL lacks."""
-    return {}
+    """The first ten need a hash, compressor, tokenizer file or iteration that SQL lacks."""
+    return {"op12_collocations": OP12_SQL}
