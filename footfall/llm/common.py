@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a run of code points other than space and \t \n \v \f \r. bytes.split()
@@ -80,3 +81,29 @@ def only(docs: DataFrame, **columns: str) -> DataFrame:
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+# A key with more than this share of the rows is hot; there are fewer hot keys than that.
+HOT_KEYS = 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, null where a key is null or not in it.
+
+    Keys of ``table`` are unique and not null. Of a key with over a thousandth of all rows - there are
+    fewer than a thousand such keys - the entry is broadcast and the rows stay spread; the
+    others meet their entry by a shuffle, where null keys are spread as well. ``rows`` is read
+    three times.
+    """
+    least = rows.count() // HOT_KEYS
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > least).drop("n")
+    named = {c: f"found_{i}" for i, c in enumerate(c for c in table.columns if c not in keys)}
+    known = hot.join(table, keys, "left").withColumn("hot", F.lit(True))
+    rows = rows.join(F.broadcast(known.withColumnsRenamed(named)), keys, "left")
+    spread = F.monotonically_increasing_id() % 1024 + 1
+    alone = functools.reduce(Column.__or__, (F.col(k).isNull() for k in keys), F.col("hot"))
+    rows = rows.withColumn("place", F.when(alone, spread).otherwise(0))
+    found = rows.join(table.withColumn("place", F.lit(0).cast("long")), [*keys, "place"], "left")
+    return found.withColumns({c: F.coalesce(c, n) for c, n in named.items()}).drop(
+        "place", "hot", *named.values()
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from footfall.llm import (
     bpe,
     collocations,
+    filter_audit,
     hilbert_search,
     hmm,
     pareto_mix,
@@ -20,6 +21,7 @@ from footfall.llm import (
     token_files,
     tool_calls,
     unigram_counts,
+    zip_archives,
 )
 from footfall.llm.common import fresh_path
 
@@ -88,10 +90,21 @@ def op10_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_and_decode(docs, vocabulary(WORD_BPE)))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "archives")
+    packages = zip_archives.write_packages(_table(spark, sf_dir, "pages"), folder)
+    records = zip_archives.read_records(packages, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_pareto_mix,
@@ -104,11 +117,63 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_hilbert_neighbours,
         op9_simhash_popcounts,
         op10_speculative_bpe,
+        op11_filter_audit,
         op12_collocations,
+        op13_zip_archives,
     )
     return {query.__name__: query for query in registered}
 
 
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+  FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t)
+                 THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM docs LEFT JOIN marks USING (doc_id)
+), cells AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM judged GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), figures AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN translate(before || own, fails, '') = before || own THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN first_fail THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails_own AND NOT first_fail THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN first_fail THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN first_fail THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (
+    SELECT *, contains(fails, own) AS fails_own,
+           contains(fails, own) AND translate(before, fails, '') = before AS first_fail
+    FROM cells, steps)
+  GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM figures
+"""
 OP12_SQL = r"""
 WITH lines AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -156,7 +221,27 @@ WITH lines AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
 """
 
+OP13_SQL = """
+WITH payloads AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS payload_digest,
+         CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes
+  FROM pages
+), best AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000
+                 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept
+  FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM best
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The first ten need a hash, compressor, tokenizer file or iteration that SQL lacks."""
-    return {"op12_collocations": OP12_SQL}
+    return {
+        "op11_filter_audit": OP11_SQL,
+        "op12_collocations": OP12_SQL,
+        "op13_zip_archives": OP13_SQL,
+    }
