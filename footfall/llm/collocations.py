@@ -43,9 +43,10 @@ COVERED_PERCENT = 50
 NO_LANG = "und"
 
 # Bytes of text worked on at once, and entries a task holds before it hands them on.
-BLOCK_BYTES = 4 << 20
-HELD = 1_500_000
-PENDING = 1_000_000
+BLOCK_BYTES = 2 << 20
+TEXTS_AT_ONCE = 200
+HELD_BYTES = 24 << 20
+PENDING_BYTES = 12 << 20
 ROWS_PER_BATCH = 100_000
 # Bits of the map of possibly frequent fingerprints: 16 MB, whatever the data.
 MAP_BITS = 27
@@ -160,6 +161,12 @@ class Block(NamedTuple):
 
 def blocks(texts: pa.Array) -> Iterator[Block]:
     """The texts as blocks; consecutive blocks share up to two words, so no run is cut."""
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        for block in _blocks(texts.slice(at, TEXTS_AT_ONCE)):
+            yield block._replace(doc=block.doc + at)
+
+
+def _blocks(texts: pa.Array) -> Iterator[Block]:
     large = pa.large_string()
     nothing, line_end = pa.scalar("", large), pa.scalar("\n", large)
     lines = pc.binary_join_element_wise(texts.cast(large), nothing, line_end)
@@ -248,22 +255,26 @@ class Totals:
 
     def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.pending.append(columns)
-        self.size += len(columns[0])
-        if self.size >= PENDING:
+        self.size += sum(c.nbytes for c in columns)
+        if self.size >= PENDING_BYTES:
             self._merge()
-            if len(self.held[0]) >= HELD:
+            if sum(c.nbytes for c in self.held) >= HELD_BYTES:
                 yield from self.flush()
 
     def _merge(self) -> None:
         tables = ([self.held] if self.held else []) + self.pending
-        columns = [np.concatenate(c) for c in zip(*tables)]
-        order = np.argsort(columns[0], kind="stable")
-        fp = columns[0][order]
-        at = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1]))) if len(fp) else order
-        self.held = [fp[at]]
-        for column, merge in zip(columns[1:], self.MERGE[1:]):
-            self.held.append(merge.reduceat(column[order], at) if len(at) else column)
-        self.pending, self.size = [], 0
+        columns = [list(c) for c in zip(*tables)]
+        self.held, self.pending, self.size = [], [], 0
+        del tables
+        fp = np.concatenate(columns[0])
+        order = np.argsort(fp, kind="stable")
+        fp = fp[order]
+        at = np.flatnonzero(np.concatenate((np.ones(min(len(fp), 1), bool), fp[1:] != fp[:-1])))
+        self.held.append(fp[at])
+        # column by column, each freed before the next
+        for i, merge in enumerate(self.MERGE[1 : len(columns)], 1):
+            column, columns[i] = np.concatenate(columns[i])[order], None
+            self.held.append(merge.reduceat(column, at) if len(at) else column)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.pending:

@@ -37,7 +37,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +72,9 @@ MOST32, MOST16, ZIP64 = 0xFFFFFFFF, 0xFFFF, 1
 VERSION, STREAMED, MIDNIGHT_1980 = 45, 8, 33
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    # Hadoop writes file:/x for what others call file:///x
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    # Hadoop escapes nothing and writes file:/x for what others call file:///x
+    uri = quote(path, safe="/:@,=")
     return pafs.FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", uri))
 
 

@@ -60,6 +60,7 @@ def odd_rows():
         text = "".join(pick.choice(words) + pick.choice(" ::\t .,\n;!?\r  ") for _ in range(pick.randint(1, 60)))
         rows.append((text, pick.choice(["en", "de", None])))
     rows += [("the same row in full, again and again", "de")] * 25
+    rows += [("no language here", None)] * 12
     return rows
 
 

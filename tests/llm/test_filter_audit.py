@@ -41,8 +41,8 @@ def failures(rows):
 
 
 def brute(rows, labels):
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, t in labels if t == 1}
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
     docs = list(failures(rows))
     found, shapley = {}, Counter()
     for part in {p for _, p, _ in docs}:
