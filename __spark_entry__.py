@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import oracles
-from footfall.operators import cohort, funnel, kpi, sessions
+from footfall.operators import audience, cohort, funnel, history, kpi, sessions, sketches
 from footfall.plans import charts, dashboard, marts
 from footfall.settings import fresh_dir
 from footfall.sources import adapters, events, validation
@@ -120,6 +120,59 @@ def _recent(build):
     return _published(read)
 
 
+def _by_parts(read: Callable[[history.SessionHistory], DataFrame]):
+    """Sessions added in four steps: some days, later ones, those between, late events."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        grown = history.SessionHistory(spark, fresh_dir(spark, "history"), period="day")
+        clicks = adapters.shop_events(spark, sf_dir)
+        of_day, late = F.dayofmonth("event_time"), F.col("product_id") % 50 == 0
+        punctual = clicks.filter(~late)
+        grown.add(punctual.filter(of_day <= 8))
+        grown.add(punctual.filter(of_day > 15))
+        grown.add(punctual.filter((of_day > 8) & (of_day <= 15)))
+        grown.add(clicks.filter(late))
+        return read(grown)
+
+    return run
+
+
+def _audience(read: Callable[[audience.Audience], DataFrame]):
+    """Sets of users, the second half of the days added first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sets = audience.Audience(spark, fresh_dir(spark, "audience"))
+        clicks = adapters.shop_events(spark, sf_dir)
+        sets.add(clicks.filter(F.dayofmonth("event_time") > 15))
+        sets.add(clicks.filter(F.dayofmonth("event_time") <= 15))
+        return read(sets)
+
+    return run
+
+
+def _mixed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose headers differ, some with lines of too many fields, loaded as one folder."""
+    folder = adapters.mixed_csv(spark, sf_dir, fresh_dir(spark, "mixed_csv"))
+    valid, rejected = validation.validate_events(events.load_events(spark, folder, "csv"))
+    kept = ("product_id", "user_id", "price", "event_type")
+    return valid.select(*kept, F.lit("").alias("failed_rules")).unionByName(
+        rejected.select(
+            F.col("product_id").cast("long").alias("product_id"),
+            F.col("user_id").cast("long").alias("user_id"),
+            F.col("price").cast("decimal(10,2)").alias("price"),
+            "event_type",
+            F.concat_ws(",", "failed_rules").alias("failed_rules"),
+        )
+    )
+
+
+def _rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "valid_events")
+    counts = validation.write_valid(adapters.unchecked_events(spark, sf_dir), path)
+    counts["rows_written"] = events.load_events(spark, path, "parquet").count()
+    return spark.createDataFrame(list(counts.items()), "rule string, n long")
+
+
 def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rejected = validation.validate_events(adapters.unchecked_events(spark, sf_dir))
     return rejected.withColumn("failed_rules", F.concat_ws(",", "failed_rules"))
@@ -166,15 +219,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         """The flat table is written once; its matrix reads it twice."""
 
         def run(df):
-            path = fresh_dir(df.sparkSession, name)
-            build(df).write.parquet(path)
-            return df.sparkSession.read.parquet(path)
+            path, flat = fresh_dir(df.sparkSession, name), build(df)
+            flat.write.parquet(path)
+            return df.sparkSession.read.schema(flat.schema).parquet(path)
 
         return run
 
-    flat_month = written(monthly, "flat_month")
+    flat_month = written(lambda df: cohort.flat_retention(df, "M"), "flat_month")
     flat_week = written(charts.weekly_cohort_rates, "flat_week")
-    weekly = written(lambda df: cohort.cohort_retention_weekly(sessions.sessionize(df)), "weekly")
+    weekly = written(cohort.flat_retention_weekly, "weekly")
+
+    def cells(matrix, value):
+        """The matrix as rows, in columns that do not depend on the data."""
+        found = cohort.matrix_cells(matrix, "cohort_group", "cohort_index", value)
+        return found.withColumn("cohort_index", F.col("cohort_index").cast("long"))
 
     def gaps(build, **kw):
         return of(adapters.shop_events, build, gaps=True, **kw)
@@ -204,12 +262,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cohort_buyers": clicks(lambda df: cohort.cohort_retention(df, "D", "purchase")),
         "cohort_events": shop(lambda df: cohort.cohort_events(df, "D")),
         "cohort_counts_matrix": orders(
-            lambda df: cohort.cohort_matrix(flat_month(df), "active_users")
+            lambda df: cells(
+                cohort.cohort_matrix(flat_month(df), "active_users"), "active_users"
+            )
         ),
         "cohort_rate_matrix": orders(
-            lambda df: cohort.cohort_matrix(flat_month(df), "retention_rate")
+            lambda df: cells(
+                cohort.cohort_matrix(flat_month(df), "retention_rate"), "retention_rate"
+            )
+        ),
+        "cohort_chart": orders(
+            lambda df: cells(charts.weekly_cohort_chart(flat_week(df)), "retention_rate")
         ),
-        "cohort_chart": orders(lambda df: charts.weekly_cohort_chart(flat_week(df))),
         "cohort_heatmap_feed": orders(
             lambda df: charts.heatmap_feed(monthly(df))
         ),
@@ -222,7 +286,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kpi_cards": clicks(lambda df: dashboard.kpi_cards(daily(df))),
         "funnel_totals": shop(lambda df: dashboard.funnel_totals(summary(df))),
         "dropoff_by_category": shop(lambda df: dashboard.dropoff_by_category(summary(df))),
-        "cohort_pivot": orders(lambda df: dashboard.cohort_pivot(weekly(df))),
+        "cohort_pivot": orders(
+            lambda df: cohort.matrix_cells(
+                dashboard.cohort_pivot(weekly(df)), "cohort_week", "week", "mean_rate_pct"
+            )
+        ),
         "treemap": shop(lambda df: dashboard.treemap(summary(df))),
         "treemap_rollup": shop(lambda df: dashboard.treemap_rollup(summary(df))),
         "category_revenue": shop(lambda df: dashboard.category_revenue(df, summary(df))),
@@ -232,6 +300,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             adapters.unchecked_events, lambda df: validation.validate_events(df)[0]
         ),
         "rejected_events": job(_rejected),
+        "csv_mixed_headers": job(_mixed_csv),
+        "rule_counts": job(_rule_counts),
+        "sessions_by_parts": job(_by_parts(history.SessionHistory.sessionized)),
+        "session_steps_by_parts": job(_by_parts(history.SessionHistory.session_steps)),
+        "users_of_range": job(_audience(lambda sets: sets.of_range(*RECENT))),
+        "users_rolling": job(_audience(lambda sets: sets.rolling(*RECENT))),
+        "funnel_levels": shop(lambda df: sketches.by_levels(sketches.funnel_sketches(df))),
+        "time_to_buy_by_cell": shop(lambda df: funnel.time_to_buy(df, ["top_category", "brand"])),
+        "time_to_buy_by_day": gaps(
+            lambda df: funnel.time_to_buy(df, ["event_date"]), products=False
+        ),
         "kpi_daily_gaps": gaps(daily, products=False),
         "funnel_summary_gaps": gaps(summary),
         "funnel_step_counts_gaps": gaps(

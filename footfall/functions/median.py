@@ -1,4 +1,4 @@
-"""Exact mean and median of a large column without gathering it in one task."""
+"""Exact means and medians of large groups without gathering one in a task."""
 
 from __future__ import annotations
 
@@ -64,8 +64,10 @@ def _slot(shift: int) -> Column:
     return F.shiftright("value", shift).alias("slot")
 
 
-def _middle_slots(histogram: DataFrame, in_order: WindowSpec) -> DataFrame:
-    """The slots that hold the rank ``low`` or ``high``, one or two rows.
+def _middle_slots(
+    histogram: DataFrame, in_order: WindowSpec, keys: list[str] | tuple[str, ...] = ()
+) -> DataFrame:
+    """The slots that hold the rank ``low`` or ``high``, one or two rows a group.
 
     The ranks count from 0 inside what ``in_order`` orders. They are returned as ranks
     inside the slot, NULL where it does not hold them; the slot is called ``parent``.
@@ -80,5 +82,56 @@ def _middle_slots(histogram: DataFrame, in_order: WindowSpec) -> DataFrame:
         return F.when(held, F.col(rank) - F.col("before")).alias(rank)
 
     return ranked.select(
-        F.col("slot").alias("parent"), "total", "n", inside("low"), inside("high")
+        *keys, F.col("slot").alias("parent"), "total", "n", inside("low"), inside("high")
     ).filter(F.col("low").isNotNull() | F.col("high").isNotNull())
+
+
+def totals_and_medians(
+    counts: DataFrame, keys: list[str], value: str, weight: str
+) -> DataFrame:
+    """One row per group: keys, ``total`` (DECIMAL), ``n`` and the interpolated ``median``.
+
+    The grouped form of ``total_and_median``, for any number of groups and any size of each.
+    Groups, NULL keys included, are ranked side by side: a digit has at most 2,097,152 rows of
+    a group, whatever the group holds. A group without any value has no row.
+    """
+    counts = counts.select(
+        *keys, F.col(value).alias("value"), F.col(weight).alias("weight")
+    ).filter(F.col("value").isNotNull())
+    top, *lower = (2 * DIGIT_BITS, DIGIT_BITS, 0)
+    histogram = counts.groupBy(*keys, _slot(top)).agg(
+        F.sum("weight").alias("slot_n"),
+        F.sum(F.col("value").cast("decimal(20,0)") * F.col("weight")).alias("slot_total"),
+    )
+    of_group = Window.partitionBy(*keys)
+    ranked = histogram.select(
+        *keys,
+        "slot",
+        "slot_n",
+        F.sum("slot_n").over(of_group).alias("n"),
+        F.sum("slot_total").over(of_group).cast("decimal(38,0)").alias("total"),
+    ).select(
+        "*", F.shiftright(F.col("n") - 1, 1).alias("low"), F.shiftright("n", 1).alias("high")
+    )
+    middle = _middle_slots(ranked, Window.partitionBy(*keys).orderBy("slot"), keys)
+    for shift in lower:
+        # at most two slots a group; the slot is part of the key, so a hot group is spread
+        slots = middle.withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = F.shiftright("value", shift + DIGIT_BITS) == F.col("parent")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        inside = counts.join(slots, same)
+        histogram = inside.groupBy(
+            *keys, "parent", _slot(shift), "total", "n", "low", "high"
+        ).agg(F.sum("weight").alias("slot_n"))
+        in_parent = Window.partitionBy(*keys, "parent").orderBy("slot")
+        middle = _middle_slots(histogram, in_parent, keys)
+
+    def value_at(rank: str) -> Column:
+        return F.max(F.when(F.col(rank).isNotNull(), F.col("parent")))
+
+    return middle.groupBy(*keys).agg(
+        F.max("total").alias("total"),
+        F.max("n").alias("n"),
+        ((value_at("low") + value_at("high")) / 2.0).alias("median"),
+    )

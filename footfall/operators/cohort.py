@@ -104,17 +104,18 @@ def _retention(events: DataFrame, granularity: str) -> DataFrame:
 
 def cohort_retention_weekly(sessionized: DataFrame) -> DataFrame:
     """Weekly retention mart: one row per cohort week and elapsed week."""
-    return (
-        _retention(sessionized, "W")
-        .select(
-            F.col("cohort").alias("cohort_week"),
-            F.concat(F.lit("Week "), F.col("index").cast("string")).alias("cohort_period_label"),
-            F.col("index").alias("cohort_index"),
-            "cohort_size",
-            "active_users",
-            pct("active_users", "cohort_size").alias("retention_rate_pct"),
-        )
-        .orderBy("cohort_week", "cohort_index")
+    return flat_retention_weekly(sessionized).orderBy("cohort_week", "cohort_index")
+
+
+def flat_retention_weekly(sessionized: DataFrame) -> DataFrame:
+    """The rows of ``cohort_retention_weekly`` in no order."""
+    return _retention(sessionized, "W").select(
+        F.col("cohort").alias("cohort_week"),
+        F.concat(F.lit("Week "), F.col("index").cast("string")).alias("cohort_period_label"),
+        F.col("index").alias("cohort_index"),
+        "cohort_size",
+        "active_users",
+        pct("active_users", "cohort_size").alias("retention_rate_pct"),
     )
 
 
@@ -125,17 +126,24 @@ def cohort_retention(
     scale: int = 2,
 ) -> DataFrame:
     """Flat retention table: cohort, index, active users, cohort size, rate."""
+    flat = flat_retention(events, granularity, event_filter, scale)
+    return flat.orderBy("cohort_group", "cohort_index")
+
+
+def flat_retention(
+    events: DataFrame,
+    granularity: str = "W",
+    event_filter: str | None = None,
+    scale: int = 2,
+) -> DataFrame:
+    """The rows of ``cohort_retention`` in no order, to be written or put in a matrix."""
     granularity = _granularity(granularity)
-    return (
-        _retention(_select_events(events, event_filter), granularity)
-        .select(
-            _label(granularity, F.col("cohort")).alias("cohort_group"),
-            F.col("index").alias("cohort_index"),
-            "active_users",
-            "cohort_size",
-            pct("active_users", "cohort_size", scale).alias("retention_rate"),
-        )
-        .orderBy("cohort_group", "cohort_index")
+    return _retention(_select_events(events, event_filter), granularity).select(
+        _label(granularity, F.col("cohort")).alias("cohort_group"),
+        F.col("index").alias("cohort_index"),
+        "active_users",
+        "cohort_size",
+        pct("active_users", "cohort_size", scale).alias("retention_rate"),
     )
 
 
@@ -187,3 +195,8 @@ def cohort_matrix(flat: DataFrame, value: str, prefix: str = "") -> DataFrame:
         .withColumnsRenamed({str(i): f"{prefix}{i}" for i in found})
         .orderBy("cohort_group")
     )
+
+
+def matrix_cells(matrix: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """A matrix turned back to rows: one per cell that is not NULL."""
+    return matrix.unpivot(row, None, column, value).filter(F.col(value).isNotNull())

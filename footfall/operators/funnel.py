@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.calendar import day, epoch_us
 from footfall.functions.distinct import by_user_and_session, of_known_user, of_session, of_user
-from footfall.functions.median import total_and_median
+from footfall.functions.median import total_and_median, totals_and_medians
 from footfall.functions.rates import step_rates
 from footfall.operators.sessions import per_session
 from footfall.schema import CART, NO_BRAND, NO_CATEGORY, PURCHASE, VIEW, is_event
@@ -198,6 +198,53 @@ def funnel_summary(events: DataFrame, days: tuple[date, date] | None = None) ->
     return counted.select("*", *rates)
 
 
+CELL_KEYS = ("event_date", "top_category", "brand")
+
+
+def time_to_buy(
+    events: DataFrame, by: list[str], days: tuple[date, date] | None = None
+) -> DataFrame:
+    """Sessions that bought, with mean and median time to buy, for each combination of ``by``.
+
+    ``by`` names some of ``event_date``, ``top_category`` and ``brand``. A session is taken
+    apart by them: inside one combination its time runs from the first view to the first
+    purchase, where that is not earlier. ``events`` may be raw or sessionized.
+    """
+    unknown = set(by) - set(CELL_KEYS)
+    if unknown or not by:
+        raise ValueError(f"time to buy goes by some of {', '.join(CELL_KEYS)}")
+    cells = {
+        "event_date": day("event_time"),
+        "top_category": top_category(),
+        "brand": brand_or_unknown(),
+    }
+    time = F.col("event_time")
+    steps = per_session(
+        events.filter(F.col("event_type").isin(VIEW, PURCHASE))
+        if "effective_session_id" in events.columns
+        else events,
+        {k: cells[k] for k in by},
+        {
+            "min_view_time": (F.min, F.when(is_event(VIEW), time)),
+            "min_purchase_time": (F.min, F.when(is_event(PURCHASE), time)),
+        },
+        days=days,
+    )
+    counts = (
+        steps.select(*by, _ttb_micros().alias("ttb"))
+        .filter(F.col("ttb").isNotNull())
+        .groupBy(*by, "ttb")
+        .agg(F.count("*").alias("sessions"))
+    )
+    mean = F.col("total").cast("double") / F.col("n") / MICROS
+    return totals_and_medians(counts, list(by), "ttb", "sessions").select(
+        *by,
+        F.col("n").alias("buying_sessions"),
+        F.round(mean, 2).alias("avg_ttb_seconds"),
+        (F.col("median") / MICROS).alias("median_ttb_seconds"),
+    )
+
+
 # --- unordered, all time ----------------------------------------------------------
 
 

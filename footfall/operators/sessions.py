@@ -15,39 +15,46 @@ from footfall.sources.events import on_days
 GAP = timedelta(minutes=30)
 
 
-def session_slots(events: DataFrame, gap: timedelta = GAP) -> DataFrame:
-    """Session number of every (user, time slot) that has events.
+def numbered_slots(
+    events: DataFrame, gap: timedelta = GAP, by: list[str] | tuple[str, ...] = ()
+) -> DataFrame:
+    """(user, slot, first_time, last_time, session_seq) of every time slot that has events.
 
     Slots are as wide as the gap, so two events of a user in one slot are always
     closer than the gap: a slot never spans a session boundary, and only its first
     and last event time matter. The raw rows are therefore reduced by a plain
     aggregation, and the window sees at most one row per user and slot - a user with
-    a third of all events has 17,520 of them a year.
+    a third of all events has 17,520 of them a year. ``by`` names further columns that keep
+    sessions apart; each of their values has a numbering of its own.
     """
     width = micros(gap)
     if width <= 0:
         raise ValueError("the inactivity gap must be positive")
     slots = events.groupBy(
-        "user_id", slot_start(F.col("event_time"), width).alias("slot")
+        "user_id", *by, slot_start(F.col("event_time"), width).alias("slot")
     ).agg(F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"))
-    in_order = Window.partitionBy("user_id").orderBy("slot")
+    in_order = Window.partitionBy("user_id", *by).orderBy("slot")
     previous = F.lag("last_time").over(in_order)
     starts = previous.isNull() | (
         epoch_us(F.col("first_time")) - epoch_us(previous) > F.lit(width)
     )
+    through = F.sum("starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
     return slots.withColumn("starts", F.when(starts, 1).otherwise(0)).select(
-        "user_id",
-        "slot",
-        F.sum("starts")
-        .over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-        .alias("session_seq"),
+        "user_id", *by, "slot", "first_time", "last_time", through.alias("session_seq")
     )
 
 
+def session_slots(events: DataFrame, gap: timedelta = GAP) -> DataFrame:
+    """Session number of every (user, time slot) that has events."""
+    return numbered_slots(events, gap).select("user_id", "slot", "session_seq")
+
+
+def calculated_id(number: Column) -> Column:
+    return F.concat(F.col("user_id").cast("string"), F.lit("_s"), number.cast("string"))
+
+
 def _calculated_id() -> Column:
-    return F.concat(
-        F.col("user_id").cast("string"), F.lit("_s"), F.col("session_seq").cast("string")
-    )
+    return calculated_id(F.col("session_seq"))
 
 
 def sessionize(events: DataFrame, gap: timedelta = GAP) -> DataFrame:
@@ -141,27 +148,28 @@ def per_session(
     return _aggregate(groups, ["user_id", "effective_session_id", *keys], merge)
 
 
+def step_times() -> dict[str, Measure]:
+    """First time of each step, first and last time at all."""
+    time = F.col("event_time")
+
+    def first(event_type: str) -> Measure:
+        return F.min, F.when(is_event(event_type), time)
+
+    return {
+        "min_view_time": first(VIEW),
+        "min_cart_time": first(CART),
+        "min_purchase_time": first(PURCHASE),
+        "session_start_time": (F.min, time),
+        "session_end_time": (F.max, time),
+    }
+
+
 def session_steps(df: DataFrame, per_instant: bool = False, gap: timedelta = GAP) -> DataFrame:
     """First view, cart and purchase plus first and last event of every session.
 
     ``df`` holds raw or sessionized events. ``per_instant`` also groups by the event time,
     one row per (user, session, instant).
     """
-    time = F.col("event_time")
-
-    def first(event_type: str) -> Measure:
-        return F.min, F.when(is_event(event_type), time)
-
-    steps = per_session(
-        df,
-        {"event_time": time} if per_instant else {},
-        {
-            "min_view_time": first(VIEW),
-            "min_cart_time": first(CART),
-            "min_purchase_time": first(PURCHASE),
-            "session_start_time": (F.min, time),
-            "session_end_time": (F.max, time),
-        },
-        gap,
-    )
+    keys = {"event_time": F.col("event_time")} if per_instant else {}
+    steps = per_session(df, keys, step_times(), gap)
     return steps.drop("event_time")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.operators.cohort import cohort_matrix, cohort_retention
+from footfall.operators.cohort import cohort_matrix, flat_retention
 from footfall.schema import STAGE_LABELS
 
 
 def weekly_cohort_rates(events: DataFrame) -> DataFrame:
-    """Flat weekly retention with rates to one decimal."""
-    return cohort_retention(events, "W", scale=1)
+    """Flat weekly retention with rates to one decimal, in no order."""
+    return flat_retention(events, "W", scale=1)
 
 
 def weekly_cohort_chart(weekly_rates: DataFrame) -> DataFrame:

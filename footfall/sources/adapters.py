@@ -111,3 +111,28 @@ def unchecked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         spoilt((F.col("doc_id") % 97).cast("string"), turn12=None, turn20="u7").alias("user_id"),
         spoilt(session, turn13="none", turn21=None).alias("user_session"),
     )
+
+
+def mixed_csv(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """``orders`` as CSV files of three kinds in one folder; the folder.
+
+    The columns of the second kind come in another order; the third lacks some, and its
+    lines end with two fields that its header does not have.
+    """
+    orders = order_events(spark, sf_dir)
+    kind = F.col("product_id") % 3
+    plain = ["event_time", "event_type", "product_id", "price", "user_id"]
+    stamped = orders.withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"))
+    orders = stamped.withColumn("category_id", F.lit(7))
+    swapped = ["user_id", "event_type", "price", "event_time", "category_id", "product_id"]
+    too_long = F.concat_ws(",", F.col("user_id"), F.lit("x"), F.lit("y")).alias("user_id")
+    frames = (
+        orders.filter(kind == 0).select(*plain, "category_id"),
+        orders.filter(kind == 1).select(*swapped),
+        orders.filter(kind == 2).select(*plain[:-1], too_long),
+    )
+    for frame in frames:
+        # without quotes the commas of a value make fields
+        writer = frame.write.mode("append").option("header", True).option("quote", "")
+        writer.csv(folder)
+    return folder

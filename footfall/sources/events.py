@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from footfall.schema import conform, with_event_time
+from footfall.sources.csv_files import read_csv, refuse_malformed
 
 MONTH = "event_month"
 
@@ -17,14 +18,15 @@ def load_events(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
     """Lazy scan with the columns and types of the file; CSV columns come as text.
 
     The format follows the (case-sensitive) extension unless ``fmt`` names it, as for a
-    folder written by ``write_events``. No pass over the data infers types.
+    folder written by ``write_events``. No pass over the data infers types. For CSV see
+    ``sources.csv_files``.
     """
     if fmt is None:
         fmt = next((e for e in ("parquet", "csv") if path.endswith(f".{e}")), None)
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "csv":
-        return spark.read.option("header", True).csv(path)
+        return read_csv(spark, path)
     raise ValueError(f"unsupported file format: {path} (supported: .parquet, .csv)")
 
 
@@ -38,10 +40,12 @@ def read_events(
 ) -> DataFrame:
     """Raw events in the declared schema, optionally of ``start <= event_time < end``.
 
-    ``keep_month`` leaves the month column of a folder written by ``write_events`` in the
+    A malformed line of a CSV file is an error; ``load_events`` and ``validate_events`` set
+    such lines aside instead. ``keep_month`` leaves the month column of a folder written by ``write_events`` in the
     result, after the declared ones, so that ``on_days`` prunes folders later.
     """
-    loaded = in_range(with_event_time(load_events(spark, path, fmt)), start, end)
+    loaded = with_event_time(refuse_malformed(load_events(spark, path, fmt)))
+    loaded = in_range(loaded, start, end)
     return conform(loaded, extra=[MONTH] if keep_month else [])
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from footfall.schema import RAW_EVENTS, REQUIRED_COLUMNS
+from footfall.sources.csv_files import MALFORMED
+from footfall.sources.events import write_events
+
+CSV_FIELDS, ROWS_READ = "csv_fields", "rows_read"
 
 # Declared lengths of the text columns.
 MAX_LENGTH = {"event_type": 30, "category_code": 255, "brand": 255}
@@ -65,7 +69,22 @@ def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         **{c: F.substring(F.col(c), 1, n) for c, n in MAX_LENGTH.items()},
         "user_session": _canonical_uuid("user_session"),
     }
-    valid = checked.filter(F.size("failed_rules") == 0).select(
+    return checked.filter(F.size("failed_rules") == 0).select(
         *(stored[f.name].alias(f.name) for f in RAW_EVENTS)
     )
-    return valid, rejected
+
+
+def write_valid(df: DataFrame, path: str, mode: str = "overwrite") -> dict[str, int]:
+    """Write the valid rows by month; number of rows read and of rows breaking each rule.
+
+    The rules are counted while the rows pass on their way to the files, in the one scan
+    there is. A row that breaks several rules counts for each.
+    """
+    checked = _checked(df)
+    seen = Observation()
+    counts = [
+        F.count_if(F.array_contains("failed_rules", name)).alias(name) for name in _rules_of(df)
+    ]
+    observed = checked.observe(seen, F.count(F.lit(1)).alias(ROWS_READ), *counts)
+    write_events(_valid(observed), path, mode)
+    return {name: seen.get[name] for name in (ROWS_READ, *_rules_of(df))}
