@@ -50,6 +50,10 @@ PENDING_BYTES = 12 << 20
 ROWS_PER_BATCH = 100_000
 # Bits of the map of possibly frequent fingerprints: 16 MB, whatever the data.
 MAP_BITS = 27
+# Bits of one of Spark's bitmaps (a fixed value).
+BUCKET = 32768
+# Parts of a language that are ranked on their own before all of it is.
+RANKED_APART = 64
 
 WORD, BLANK, BREAK = 0, 1, 2
 CLASS = np.zeros(256, np.uint8)
@@ -259,7 +263,11 @@ class Totals:
         if self.size >= PENDING_BYTES:
             self._merge()
             if sum(c.nbytes for c in self.held) >= HELD_BYTES:
-                yield from self.flush()
+                # the rarer half goes on; what was frequent so far is likely to come again
+                n = self.held[1]
+                rare = n <= np.partition(n, len(n) // 2)[len(n) // 2]
+                yield from self._batches([c[rare] for c in self.held])
+                self.held = [c[~rare] for c in self.held]
 
     def _merge(self) -> None:
         tables = ([self.held] if self.held else []) + self.pending
@@ -280,20 +288,25 @@ class Totals:
         if self.pending:
             self._merge()
         if self.held:
-            columns = [self.held[0].view(np.int64), *self.held[1:]]
-            for a in range(0, len(columns[0]), ROWS_PER_BATCH):
-                part = [pa.array(c[a : a + ROWS_PER_BATCH]) for c in columns]
-                yield pa.RecordBatch.from_arrays(part, self.names)
+            yield from self._batches(self.held)
         self.held = None
 
+    def _batches(self, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns = [columns[0].view(np.int64), *columns[1:]]
+        for a in range(0, len(columns[0]), ROWS_PER_BATCH):
+            part = [pa.array(c[a : a + ROWS_PER_BATCH]) for c in columns]
+            yield pa.RecordBatch.from_arrays(part, self.names)
+
 
 class FixedMap:
     """One bit for each value of the first bits of a fingerprint."""
 
-    def __init__(self, bits: int, longs: np.ndarray, values: np.ndarray):
+    def __init__(self, bits: int, buckets: np.ndarray, bitmaps: list[bytes]):
         self.shift = max(0, bits - MAP_BITS)
-        self.bytes = np.zeros(1 << max(min(bits, MAP_BITS) - 3, 3), np.uint8)
-        self.bytes.view(np.int64)[longs] = values
+        self.bytes = np.zeros((max(1, (1 << min(bits, MAP_BITS)) // BUCKET), BUCKET // 8), np.uint8)
+        for bucket, bitmap in zip(buckets, bitmaps):
+            self.bytes[bucket - 1] = np.frombuffer(bitmap, np.uint8)
+        self.bytes = self.bytes.ravel()
 
     def holds(self, fp: np.ndarray) -> np.ndarray:
         place = fp >> U64(self.shift)
@@ -301,15 +314,17 @@ class FixedMap:
 
 
 def fixed_map(fps: DataFrame, bits: int) -> FixedMap:
-    """The map of a column ``fp``: at most 2^21 numbers reach the driver."""
-    place = F.shiftrightunsigned("fp", max(0, bits - MAP_BITS))
-    longs = (
-        fps.select(place.alias("place"))
-        .groupBy(F.shiftrightunsigned("place", 6).alias("long"))
-        .agg(F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("value"))
+    """The map of a column ``fp``: at most 4,096 bitmaps of 4 KB reach the driver."""
+    # numbers of buckets and places in them count from 1
+    place = F.shiftrightunsigned("fp", max(0, bits - MAP_BITS)) + 1
+    found = (
+        fps.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at"))
+        .repartition("bucket")
+        .groupBy("bucket")
+        .agg(F.bitmap_construct_agg("at").alias("bitmap"))
         .toArrow()
     )
-    return FixedMap(bits, longs["long"].to_numpy(), longs["value"].to_numpy())
+    return FixedMap(bits, found["bucket"].to_numpy(), found["bitmap"].to_pylist())
 
 
 def _scan(docs: DataFrame, schema: str, bits: int, make) -> DataFrame:
@@ -574,7 +589,11 @@ def collocations(
         .agg(F.min(F.struct(F.expr(score).alias("score"), "k", "l", "r")).alias("cut"))
         .select("lang", "phrase", "a", "cut.*")
     )
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = F.desc("score"), F.desc("a"), F.asc("phrase")
+    # the best of each part first, so that a language is ranked from a bounded number of rows
+    apart = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_APART))).orderBy(*order)
+    weakest = weakest.withColumn("place", F.row_number().over(apart)).filter(F.col("place") <= most)
+    best = Window.partitionBy("lang").orderBy(*order)
     sizes = runs.filter("size = 0").select("lang", "n")
     return (
         weakest.withColumn("rank", F.row_number().over(best).cast("long"))
