@@ -57,13 +57,35 @@ def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``valid`` has the declared schema: prices rounded half up to cents, UUIDs in lower
     case with hyphens. ``rejected`` keeps the row as it came, with the names of all
-    broken rules in ``failed_rules``. Both are lazy filters of the same scan.
+    broken rules in ``failed_rules``; a line of a CSV file with too few or too many fields
+    breaks ``csv_fields``. A column that may be NULL may be absent. Both are lazy filters of
+    the same scan.
     """
-    checked = df.withColumn(
-        "failed_rules",
-        F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in rules().items()))),
+    checked = _checked(df)
+    return _valid(checked), checked.filter(F.size("failed_rules") > 0)
+
+
+def _rules_of(df: DataFrame) -> dict[str, Column]:
+    if MALFORMED not in df.columns:
+        return rules()
+    # its fields are not those of the columns they stand in, so no other rule is asked
+    good = F.col(MALFORMED).isNull()
+    fine = {name: good & broken for name, broken in rules().items()}
+    return {CSV_FIELDS: ~good, **fine}
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
+    if missing:
+        raise ValueError(f"raw events lack required columns: {', '.join(missing)}")
+    absent = {f.name: F.lit(None).cast("string") for f in RAW_EVENTS if f.name not in df.columns}
+    broken = (F.when(c, F.lit(name)) for name, c in _rules_of(df).items())
+    return df.withColumns(absent).withColumn(
+        "failed_rules", F.array_compact(F.array(*broken))
     )
-    rejected = checked.filter(F.size("failed_rules") > 0)
+
+
+def _valid(checked: DataFrame) -> DataFrame:
     stored = {
         **{f.name: _typed(f.name) for f in RAW_EVENTS},
         **{c: F.substring(F.col(c), 1, n) for c, n in MAX_LENGTH.items()},
