@@ -54,6 +54,8 @@ PACKAGE_BYTES = 64 << 20
 PACKAGE_RECORDS = 100_000
 # Bytes read at once, also of neighbouring records.
 READ_BYTES = 4 << 20
+# Archived bytes that a reading task is given.
+TASK_BYTES = 16 << 20
 # Copies of one row written by one task.
 COPIES_AT_ONCE = 10_000
 LEVEL = 6
@@ -445,8 +447,9 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def packages_in(spark: SparkSession, folder: str) -> DataFrame:
-    """(path) of the ZIP files of a folder, whoever wrote them; their content is not read."""
-    return spark.read.format("binaryFile").load(folder).select("path")
+    """(path, bytes) of the ZIP files of a folder, whoever wrote them; no content is read."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select("path", F.col("length").alias("bytes"))
 
 
 def _entries(zip_file: ZipReader, index: Member) -> Iterator[dict]:
@@ -563,7 +566,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def read_records(packages: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Responses and revisits of packages (column ``path``).
+    """Responses and revisits of packages (path, bytes).
 
     (page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload). The payload
     of a revisit is null; its size and digest are those of the record it refers to. Every
@@ -605,10 +608,14 @@ def read_records(packages: DataFrame, with_payload: bool = True) -> DataFrame:
         if file:
             file.close()
 
-    runs = packages.select("path").repartition("path").mapInArrow(
-        locate, "path string, at long, size long, lengths array<long>"
+    # tasks by the bytes that paths and runs stand for, not by their own few
+    size = packages.agg(F.sum("bytes")).first()[0] or 0
+    runs = (
+        packages.select("path")
+        .repartition(size // PACKAGE_BYTES + 1, "path")
+        .mapInArrow(locate, "path string, at long, size long, lengths array<long>")
     )
-    return runs.repartition("path", "at").mapInArrow(
+    return runs.repartition(size // TASK_BYTES + 1, "path", "at").mapInArrow(
         fetch,
         "page_id long, url string, record_type string, payload_bytes long, "
         "payload_digest string, refers_to long, payload binary",

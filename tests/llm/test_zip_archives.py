@@ -179,7 +179,7 @@ def foreign(comment=b"", before=b"", index=True, method=zipfile.ZIP_STORED):
 def test_packages_of_others(spark, tmp_path, kind):
     path = tmp_path / "a b.wacz"
     path.write_bytes(foreign(**kind))
-    df = spark.createDataFrame([(f"file://{path}",)], "path string")
+    df = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "path string, bytes long")
     got = {r.page_id: r.payload.decode() for r in Z.read_records(df).collect()}
     assert got == {i: f"page {i}" * 5 for i in range(4)}
 
