@@ -21,7 +21,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers and dates replaced by pseudonyms of the same format."""
-    return pseudonyms.hide_personal(docs)
+    return pseudonyms.hide_personal(docs, pseudonyms.session_key(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
