@@ -2,35 +2,56 @@
 
 Found values are validated, then permuted with a key inside their own format: a card number
 becomes another card number with the same separators and a right check digit, a date another
-date. The permutation is a function of the key and the value alone, so equal values stay
-equal in all documents, and whoever holds the key can undo it (``restore``).
+date. The permutation is a function of the key and the value alone: separators are taken out
+before and put back after it, so equal values stay equal in all documents and layouts, and
+whoever holds the key can undo it (``restore``). There is no default key.
 
 A value is a vector of digits, each modulo its own radix. Every round adds to the digits at
 even places a keyed hash of those at odd places, or the other way round, so each round can
 be subtracted again. Kinds, formats and checks:
 
-    card    13 to 19 digits, plain or in groups of four       Luhn; check digit recomputed
-    iban    two letters, two check digits, 11 to 30 more      mod 97; check digits recomputed
+    card    13 to 19 digits, plain, by fours or 4-6-5         Luhn; check digit recomputed
+    iban    two letters, two check digits, 11 to 30 more,     mod 97; check digits recomputed
+            plain or in groups of four
     ssn     ddd-dd-dddd                                       no 000/666/9dd, 00, 0000; kept so
-    phone   + country code and digits, or (ddd) ddd-dddd      8 to 15 digits; country code kept
+    phone   + country code and digits, (ddd) ddd-dddd or      8 to 15 digits; country code kept
+            ddd-ddd-dddd
     ip      four decimal octets                               each up to 255
-    date    yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy    in the calendar, years 1800-2199
+    date    yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy,   in the calendar, years 1800-2199
+            dd/mm/yyyy from day 13 on
     email   local part @ domain                               letters and digits; last label kept
     secret  32 or more hexadecimal digits of one case         digits and letters both occur
 
+A date with slashes whose first number exceeds 12 is day-first. It is permuted until its day
+exceeds 12 again, as it could not be read back otherwise; where one step does not do, it is
+not linked to the same date in another layout.
+
 Values that fail their check stay as they are, as does all other text. A null text stays
-null. Everything is done by column functions, row by row: no shuffle, no Python.
+null. Equal rows get equal results; no column but the text is looked at. Everything is done by
+column functions, row by row: no shuffle, no Python. Patterns begin at a border and give nothing
+back, so a word of a million characters is looked through once.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "footfall-pseudonyms"
+# Where the key of a session is read from.
+KEY_SETTING = "spark.footfall.pseudonymKey"
 ROUNDS = 8
+# Steps until the day of a date exceeds 12; each fails two times in five.
+WALK = 128
+# Country codes of two digits (fixed values); those that begin with 1 or 7 have one digit,
+# all others three.
+TWO_DIGIT_CODES = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58"
+    " 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+SEPARATORS = " -.()"
 # 400 Gregorian years from 1800-01-01 have 146,097 = 189 * 773 days.
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1800-01-01", 189, 773
 HEX = "0123456789abcdef"
@@ -43,17 +64,27 @@ _END = r"(?![A-Za-z0-9])"
 _DATE = (
     r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d])"
 )
-_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+# The local part is taken whole, from a border on; a domain has at most 127 labels.
+_LOCAL = r"[A-Za-z0-9._%+\-]"
+_EMAIL = (
+    rf"(?<!{_LOCAL})(?=[._%+\-]*+[A-Za-z0-9]){_LOCAL}++"
+    r"@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+){0,125}\.[A-Za-z]{2,}"
+)
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 _PHONE = r"\+[1-9]\d{0,2}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"
 _LOCAL_PHONE = r"\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+_BARE_PHONE = r"(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])"
 _SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 _CARD_GROUPS = r"(?<!\d)(?:\d{4}-){3}\d{1,7}(?!\d)|(?<!\d)(?:\d{4} ){3}\d{1,7}(?!\d)"
+_CARD_GROUPS += r"|(?<!\d)\d{4}-\d{6}-\d{5}(?!\d)|(?<!\d)\d{4} \d{6} \d{5}(?!\d)"
 _CARD = r"(?<!\d)\d{13,19}(?!\d)"
-_IBAN = _NOT_IN_WORD + r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}" + _END
+# of the groups only the first may lack a digit: what follows may be a word
+_IBAN_GROUPS = r"[A-Z]{2}\d{2} [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){1,6}"
+_IBAN_GROUPS += r"(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?"
+_IBAN = _NOT_IN_WORD + r"(?:[A-Z]{2}\d{2}[A-Z0-9]{11,30}|" + _IBAN_GROUPS + ")" + _END
 _SECRET = _NOT_IN_WORD + r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})" + _END
 PATTERN = "|".join(
-    [_EMAIL, _SECRET, _IBAN, _IP, r"(?<!\d)" + _DATE, _SSN, _PHONE, _LOCAL_PHONE, _CARD_GROUPS, _CARD]
+    [_EMAIL, _SECRET, _IBAN, _IP, r"(?<!\d)" + _DATE, _SSN, _PHONE, _LOCAL_PHONE, _BARE_PHONE, _CARD_GROUPS, _CARD]
 )
 
 _INTS = "array<int>"
@@ -160,7 +191,29 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(digits), weighed), F.lit(0), lambda a, x: a + x) % 10
 
 
+def _without_separators(text: Column) -> Column:
+    return F.regexp_replace(text, r"[ \-.()]", "")
+
+
+def _with_separators(text: Column, permuted: Callable[[Column], Column]) -> Column:
+    """``text`` with its digits and letters permuted as if there were no separators."""
+
+    def put_back(moved: Column) -> Column:
+        def at(char, place):
+            ahead = F.length(_without_separators(F.substring(text, F.lit(1), place)))
+            own = F.substring(moved, ahead + 1, F.lit(1))
+            return F.when(char.isin(*SEPARATORS), char).otherwise(own)
+
+        return F.array_join(F.transform(F.split(text, ""), at), "")
+
+    return _let(_let(_without_separators(text), permuted), put_back)
+
+
 def _card(text: Column, key: str, undo: bool) -> Column:
+    return _with_separators(text, lambda plain: _plain_card(plain, key, undo))
+
+
+def _plain_card(text: Column, key: str, undo: bool) -> Column:
     last = F.length(text) - 1
 
     def radix(char, place):
@@ -173,10 +226,8 @@ def _card(text: Column, key: str, undo: bool) -> Column:
         check = (10 - _luhn(_digits(F.concat(body, F.lit("0"))))) % 10
         return F.concat(body, check.cast("string"))
 
-    size = F.length(F.regexp_replace(text, r"\D", ""))
-    return F.when(size.between(13, 19) & (_luhn(_digits(text)) == 0), _let(moved, checked)).otherwise(
-        text
-    )
+    valid = F.length(text).between(13, 19) & (_luhn(_digits(text)) == 0)
+    return F.when(valid, _let(moved, checked)).otherwise(text)
 
 
 def _mod_97(text: Column) -> Column:
@@ -193,6 +244,10 @@ def _mod_97(text: Column) -> Column:
 
 
 def _iban(text: Column, key: str, undo: bool) -> Column:
+    return _with_separators(text, lambda plain: _plain_iban(plain, key, undo))
+
+
+def _plain_iban(text: Column, key: str, undo: bool) -> Column:
     def radix(char, place):
         return F.when(place >= 4, _class_radix(char)).otherwise(1)
 
@@ -227,16 +282,22 @@ def _ssn(text: Column, key: str, undo: bool) -> Column:
 
 
 def _phone(text: Column, key: str, undo: bool) -> Column:
-    # the country code: digits up to the first other character, or one digit if none follows
-    code = F.regexp_extract(text, r"^\+(\d{1,3})[^\d]", 1)
-    kept = F.when(text.startswith("+"), 1 + F.greatest(F.length(code), F.lit(1))).otherwise(0)
+    return _with_separators(text, lambda plain: _plain_phone(plain, key, undo))
 
-    def radix(char, place):
-        return F.when(_is_digit(char) & (place >= kept), 10).otherwise(1)
 
+def _plain_phone(text: Column, key: str, undo: bool) -> Column:
+    """The digits behind the country code, which are the same with and without it."""
+    code = (
+        F.when(F.substring(text, 2, 1).isin("1", "7"), 1)
+        .when(F.substring(text, 2, 2).isin(*TWO_DIGIT_CODES), 2)
+        .otherwise(3)
+    )
+    kept = F.when(text.startswith("+"), code + 1).otherwise(0)
+    own = text.substr(kept + 1, F.length(text))
+    moved = _permute_text(own, lambda char, place: F.lit(10), key, "phone", undo)
     size = F.length(F.regexp_replace(text, r"\D", ""))
-    moved = _permute_text(text, radix, key, "phone", undo)
-    return F.when(size.between(8, 15), moved).otherwise(text)
+    hidden = F.concat(text.substr(F.lit(1), kept), moved)
+    return F.when(size.between(8, 15), hidden).otherwise(text)
 
 
 def _ip(text: Column, key: str, undo: bool) -> Column:
@@ -254,13 +315,14 @@ def _date(text: Column, key: str, undo: bool) -> Column:
         F.when(text.rlike(r"^\d{4}-"), "yyyy-MM-dd")
         .when(text.rlike(r"^\d{4}/"), "yyyy/MM/dd")
         .when(text.rlike(r"^\d{2}\."), "dd.MM.yyyy")
+        .when(text.rlike(r"^(?:1[3-9]|2\d|3[01])/"), "dd/MM/yyyy")
         .otherwise("MM/dd/yyyy")
     )
     # written in one layout, so that parsing and formatting need a constant pattern only
     iso = (
         F.when(text.rlike(r"^\d{4}"), F.regexp_replace(text, "/", "-"))
         .when(
-            text.rlike(r"^\d{2}\."),
+            layout.isin("dd.MM.yyyy", "dd/MM/yyyy"),
             F.concat_ws("-", text.substr(7, 4), text.substr(4, 2), text.substr(1, 2)),
         )
         .otherwise(F.concat_ws("-", text.substr(7, 4), text.substr(1, 2), text.substr(4, 2)))
@@ -268,16 +330,28 @@ def _date(text: Column, key: str, undo: bool) -> Column:
     day = iso.try_cast("date")
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     values = F.array(F.floor(number / DAYS_LOW).cast("int"), F.pmod(number, F.lit(DAYS_LOW)))
-    moved = _permute(values, F.array(F.lit(DAYS_HIGH), F.lit(DAYS_LOW)), key, "date", undo)
+
+    def step(values):
+        return _permute(values, F.array(F.lit(DAYS_HIGH), F.lit(DAYS_LOW)), key, "date", undo)
+
+    def date_of(values):
+        days = F.element_at(values, 1) * DAYS_LOW + F.element_at(values, 2)
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), days)
+
+    def until_late(state, _):
+        return F.when(F.dayofmonth(date_of(state)) > 12, state).otherwise(step(state))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(values), until_late)
+    moved = F.when(layout == "dd/MM/yyyy", walked).otherwise(step(values))
 
     def written(moved):
-        days = F.element_at(moved, 1) * DAYS_LOW + F.element_at(moved, 2)
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), days).cast("string")
+        new = date_of(moved).cast("string")
         y, m, d = new.substr(1, 4), new.substr(6, 2), new.substr(9, 2)
         return (
             F.when(layout == "yyyy-MM-dd", new)
             .when(layout == "yyyy/MM/dd", F.concat_ws("/", y, m, d))
             .when(layout == "dd.MM.yyyy", F.concat_ws(".", d, m, y))
+            .when(layout == "dd/MM/yyyy", F.concat_ws("/", d, m, y))
             .otherwise(F.concat_ws("/", m, d, y))
         )
 
@@ -312,6 +386,7 @@ def _pseudonym(found: Column, key: str, undo: bool) -> Column:
         .when(whole(_IP), _ip(found, key, undo))
         .when(whole(_DATE), _date(found, key, undo))
         .when(whole(_SSN), _ssn(found, key, undo))
+        .when(whole(_BARE_PHONE), _phone(found, key, undo))
         .when(whole(r"[\d \-]+") & (F.length(found) <= 23), _card(found, key, undo))
         .when(whole(r"[0-9a-f]+|[0-9A-F]+") & (F.length(found) >= 32), _secret(found, key, undo))
         .otherwise(_iban(found, key, undo))
@@ -328,12 +403,24 @@ def _replaced(text: Column, key: str, undo: bool) -> Column:
     return F.when(found, F.array_join(pieces, "")).otherwise(text)
 
 
-def pseudonymize(text: Column, key: str = KEY) -> Column:
+def session_key(spark: SparkSession) -> str:
+    """The key in the settings of the session; without one, a random one for the session.
+
+    With a random key values are linked within the session, and nobody can undo them later.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymize(text: Column, key: str) -> Column:
     """The text with every validated value replaced by its pseudonym."""
     return _replaced(text, key, undo=False)
 
 
-def restore(text: Column, key: str = KEY) -> Column:
+def restore(text: Column, key: str) -> Column:
     """The text before ``pseudonymize`` with the same key."""
     return _replaced(text, key, undo=True)
 
@@ -344,6 +431,6 @@ def n_found(text: Column) -> Column:
     return F.coalesce(counted, F.lit(0)).cast("long")
 
 
-def hide_personal(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def hide_personal(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The table with pseudonyms in its texts, other columns unchanged."""
     return docs.withColumn(text_col, pseudonymize(F.col(f"`{text_col}`"), key))

@@ -69,7 +69,7 @@ def op5_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    hidden = pseudonyms.pseudonymize(F.col("text"))
+    hidden = pseudonyms.pseudonymize(F.col("text"), pseudonyms.session_key(spark))
     return docs.select("doc_id", hidden.alias("text"), pseudonyms.n_found(F.col("text")).alias("n_found"))
 
 
