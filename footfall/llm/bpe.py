@@ -7,12 +7,13 @@ to grow. All adjacent pairs of all proposals are tested at once with numpy; only
 a failing pair are merged step by step.
 
 A null text is empty: no ids, an empty decoded text. Rows are independent, so repeated rows
-and equal ids give repeated results. Texts are cut at white space and never truncated; one
+and equal ids give repeated results; an empty table gives no row; extra columns are ignored. Texts are cut at white space and never truncated; one
 word of any length is merged with a heap.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -27,8 +28,10 @@ from tokenizers import Tokenizer
 
 from footfall.llm.common import only, per_batch, texts
 
-# Words remembered per Python worker, and characters of text worked on at once.
-REMEMBERED = 220_000
+# Bytes remembered per Python worker, of which an entry takes so many beside its text, and
+# characters of text worked on at once.
+REMEMBERED_BYTES = 80 << 20
+ENTRY_BYTES = 400
 AT_ONCE = 1 << 20
 NEVER = np.iinfo(np.int64).max
 # Longer words are merged with a heap.
@@ -37,6 +40,8 @@ SHORT = 48
 # Pieces that need no library call: Latin-1 letters, which normalization leaves alone but for
 # their case, then ASCII marks (no apostrophe, no "<"), which form one word.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+# The same marks as bytes.
+MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'<")
 
 
 def _visible_bytes() -> dict[int, int]:
@@ -62,6 +67,7 @@ class MergeTable:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = 1 + max([*self.ids.values(), *self.specials.values()])
         self.strings: list[str] = [""] * self.size
+        self.numbers = [str(i) for i in range(self.size)]
         for string, i in [*self.ids.items(), *self.specials.items()]:
             self.strings[i] = string
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -299,7 +305,11 @@ class MergeTable:
 
 
 class PieceEncoder:
-    """Ids and decoded form of pieces between white space, remembered per worker."""
+    """Ids and decoded form of pieces between white space, remembered per worker.
+
+    Memory has two generations, each bounded in bytes: a piece met again moves to the recent one,
+    and when that is full the older one is forgotten. Frequent pieces are never learnt again.
+    """
 
     def __init__(self, path: str):
         self.table = MergeTable(path)
@@ -307,8 +317,12 @@ class PieceEncoder:
         self.normalize = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
         self.special = re.compile("(" + "|".join(map(re.escape, self.table.specials)) + ")")
-        self.words: dict[str, list[int]] = {}
-        self.known: dict[bytes, tuple[int, str, str]] = {}
+        # piece -> ids joined by spaces, piece -> decoded text
+        self.ids: dict[bytes, str] = {}
+        self.decoded: dict[bytes, str] = {}
+        self.older: tuple[dict[bytes, str], dict[bytes, str]] = {}, {}
+        self.empty: set[bytes] = set()  # recent pieces without ids
+        self.size = 0
 
     def _units(self, piece: str) -> list[str | int]:
         """Words and ids of special tokens of a piece."""
@@ -324,34 +338,70 @@ class PieceEncoder:
                 units.extend(w for w, _ in self.split(self.normalize(part)))
         return units
 
+    def _keep(self, piece: bytes, ids: str, decoded: str) -> None:
+        self.ids[piece], self.decoded[piece] = ids, decoded
+        self.size += ENTRY_BYTES + len(piece) + len(ids) + len(decoded)
+        if not ids:
+            self.empty.add(piece)
+
     def learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-            self.words.clear()
-            pieces = self.wanted
-        fresh = [p for p in pieces if p not in self.known]
-        units = [self._units(p.decode()) for p in fresh]
-        words = list({u for us in units for u in us if isinstance(u, str) and u not in self.words})
-        self.words.update(zip(words, self.table.encode_words(words)))
-        for piece, us in zip(fresh, units):
-            ids = self.words[us[0]] if len(us) == 1 and us[0] in self.words else [i for u in us for i in ([u] if isinstance(u, int) else self.words[u])]
-            self.known[piece] = len(ids), " ".join(map(str, ids)), self.table.decode(ids)
+        """Have all pieces in the recent generation."""
+        if self.size > REMEMBERED_BYTES // 2:
+            self.older, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+            self.empty, self.size = set(), 0
+        old_ids, old_decoded = self.older
+        missing = pieces.difference(self.ids)
+        for piece in missing.intersection(old_ids):
+            self._keep(piece, old_ids[piece], old_decoded[piece])
+        # pieces of ASCII letters are one word; others may hold several and special tokens
+        plain, others = {}, {}
+        for piece in missing.difference(old_ids):
+            stem = piece.rstrip(MARKS)
+            if not stem.isalpha():
+                others[piece] = self._units(piece.decode())
+            elif len(stem) == len(piece):
+                plain[piece] = piece.lower().decode()
+            else:
+                others[piece] = [stem.lower().decode(), piece[len(stem) :].decode()]
+        words = set(plain.values())
+        words.update(u for us in others.values() for u in us if isinstance(u, str))
+        texts_of: dict[str | int, tuple[str, str]] = {}
+        numbers, strings = self.table.numbers, self.table.strings
+        listed = list(words)
+        for word, ids in zip(listed, self.table.encode_words(listed)):
+            texts_of[word] = " ".join([numbers[i] for i in ids]), " ".join([strings[i] for i in ids])
+        for i in self.table.specials.values():
+            texts_of[i] = numbers[i], strings[i]
+        for piece, word in plain.items():
+            self._keep(piece, *texts_of[word])
+        for piece, us in others.items():
+            parts = [t for t in map(texts_of.__getitem__, us) if t[0]]
+            self._keep(piece, " ".join([t[0] for t in parts]), " ".join([t[1] for t in parts]))
 
     def encode(self, group: list[str]) -> list[tuple[int, str, str]]:
-        """(number of ids, ids joined by spaces, decoded text) of each text."""
+        """(number of ids, ids joined by spaces, decoded text) of each text.
+
+        Nothing here is cyclic, and looking for cycles takes a tenth of the time.
+        """
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(group)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, group: list[str]) -> list[tuple[int, str, str]]:
         split = [t.encode().split() for t in group]
-        self.wanted = set().union(*split)
-        self.learn(self.wanted.difference(self.known))
+        self.learn(set().union(*split))
+        ids_of, decoded_of = self.ids.__getitem__, self.decoded.__getitem__
         results = []
         for pieces in split:
-            found = [f for f in map(self.known.__getitem__, pieces) if f[0]]
-            results.append(
-                (
-                    sum([f[0] for f in found]),
-                    " ".join([f[1] for f in found]),
-                    " ".join([f[2] for f in found]),
-                )
-            )
+            if not self.empty.isdisjoint(pieces):
+                pieces = [p for p in pieces if p not in self.empty]
+            ids = " ".join(map(ids_of, pieces))
+            n = ids.count(" ") + 1 if ids else 0
+            results.append((n, ids, " ".join(map(decoded_of, pieces))))
         return results
 
 
