@@ -30,7 +30,7 @@ from footfall.llm.common import only, per_batch, texts
 
 # Bytes remembered per Python worker, of which an entry takes so many beside its text, and
 # characters of text worked on at once.
-REMEMBERED_BYTES = 80 << 20
+REMEMBERED_BYTES = 160 << 20
 ENTRY_BYTES = 400
 AT_ONCE = 1 << 20
 NEVER = np.iinfo(np.int64).max
@@ -338,11 +338,13 @@ class PieceEncoder:
                 units.extend(w for w, _ in self.split(self.normalize(part)))
         return units
 
-    def _keep(self, piece: bytes, ids: str, decoded: str) -> None:
-        self.ids[piece], self.decoded[piece] = ids, decoded
-        self.size += ENTRY_BYTES + len(piece) + len(ids) + len(decoded)
-        if not ids:
-            self.empty.add(piece)
+    def _keep(self, pieces: list[bytes], ids: list[str], decoded: list[str]) -> None:
+        self.ids.update(zip(pieces, ids))
+        self.decoded.update(zip(pieces, decoded))
+        self.size += ENTRY_BYTES * len(pieces)
+        self.size += sum(sum(map(len, column)) for column in (pieces, ids, decoded))
+        if not all(ids):
+            self.empty.update(p for p, i in zip(pieces, ids) if not i)
 
     def learn(self, pieces: set[bytes]) -> None:
         """Have all pieces in the recent generation."""
@@ -351,32 +353,43 @@ class PieceEncoder:
             self.empty, self.size = set(), 0
         old_ids, old_decoded = self.older
         missing = pieces.difference(self.ids)
-        for piece in missing.intersection(old_ids):
-            self._keep(piece, old_ids[piece], old_decoded[piece])
-        # pieces of ASCII letters are one word; others may hold several and special tokens
-        plain, others = {}, {}
+        met = list(missing.intersection(old_ids))
+        self._keep(met, [*map(old_ids.__getitem__, met)], [*map(old_decoded.__getitem__, met)])
+        # a piece of ASCII letters is one word, with marks behind them two; others may hold
+        # several and special tokens
+        plain, others, other_units = [], [], []
         for piece in missing.difference(old_ids):
             stem = piece.rstrip(MARKS)
             if not stem.isalpha():
-                others[piece] = self._units(piece.decode())
+                others.append(piece)
+                other_units.append(self._units(piece.decode()))
             elif len(stem) == len(piece):
-                plain[piece] = piece.lower().decode()
+                plain.append(piece)
             else:
-                others[piece] = [stem.lower().decode(), piece[len(stem) :].decode()]
-        words = set(plain.values())
-        words.update(u for us in others.values() for u in us if isinstance(u, str))
-        texts_of: dict[str | int, tuple[str, str]] = {}
-        numbers, strings = self.table.numbers, self.table.strings
+                others.append(piece)
+                other_units.append([stem.lower().decode(), piece[len(stem) :].decode()])
+        plain_words = [piece.lower().decode() for piece in plain]
+        words = set(plain_words)
+        words.update(u for us in other_units for u in us if isinstance(u, str))
         listed = list(words)
+        numbers, strings = self.table.numbers, self.table.strings
+        ids_of, decoded_of = {}, {}
         for word, ids in zip(listed, self.table.encode_words(listed)):
-            texts_of[word] = " ".join([numbers[i] for i in ids]), " ".join([strings[i] for i in ids])
+            ids_of[word] = " ".join([numbers[i] for i in ids])
+            decoded_of[word] = " ".join([strings[i] for i in ids])
         for i in self.table.specials.values():
-            texts_of[i] = numbers[i], strings[i]
-        for piece, word in plain.items():
-            self._keep(piece, *texts_of[word])
-        for piece, us in others.items():
-            parts = [t for t in map(texts_of.__getitem__, us) if t[0]]
-            self._keep(piece, " ".join([t[0] for t in parts]), " ".join([t[1] for t in parts]))
+            ids_of[i], decoded_of[i] = numbers[i], strings[i]
+        self._keep(
+            plain,
+            [*map(ids_of.__getitem__, plain_words)],
+            [*map(decoded_of.__getitem__, plain_words)],
+        )
+        other_units = [[u for u in us if ids_of[u]] for us in other_units]
+        self._keep(
+            others,
+            [" ".join(map(ids_of.__getitem__, us)) for us in other_units],
+            [" ".join(map(decoded_of.__getitem__, us)) for us in other_units],
+        )
 
     def encode(self, group: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by spaces, decoded text) of each text.
