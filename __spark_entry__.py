@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import os
 import sys
-import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -81,22 +80,35 @@ def _mart(view: str):
 RECENT = dashboard.last_days(date(2024, 1, 25))
 
 
-def _published(read: Callable[[SparkSession, str], DataFrame]):
-    """The raw table, replaced once, and all marts as tables of a database of their own."""
+DATABASE = "footfall_published"
+
+
+def _published(read: Callable[[SparkSession, str], DataFrame], names: tuple | None = None):
+    """The raw table, replaced once, and marts as tables of a database of their own."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        database = f"shop_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE DATABASE {database} LOCATION '{fresh_dir(spark, database)}'")
+        if not spark.catalog.databaseExists(DATABASE):
+            spark.sql(f"CREATE DATABASE {DATABASE} LOCATION '{fresh_dir(spark, DATABASE)}'")
         clicks = adapters.shop_events(spark, sf_dir)
-        raw = f"{database}.raw_events"
+        raw = f"{DATABASE}.raw_events"
         marts.publish_raw(spark, clicks.filter(F.col("event_type") == "view"), raw)
         marts.publish_raw(spark, clicks, raw)
-        marts.publish_tables(spark, spark.table(raw), database)
-        return read(spark, database)
+        marts.publish_tables(spark, spark.table(raw), DATABASE, names)
+        return read(spark, DATABASE)
 
     return run
 
 
+def _published_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily metrics of a folder's last whole version; a later one failed half-way."""
+    folder = fresh_dir(spark, "published")
+    clicks = adapters.shop_events(spark, sf_dir)
+    marts.publish_folder(spark, clicks, folder)
+    change = marts.Versions(spark, folder).change()
+    change.write("v_kpi_daily", kpi.kpi_daily(clicks.filter(F.col("event_type") == "view")))
+    return _plain(marts.published(spark, folder, "v_kpi_daily"))
+
+
 def _described(spark: SparkSession, database: str) -> DataFrame:
     """Name, description and rows of every published table."""
     tables = [t for t in spark.catalog.listTables(database) if not t.isTemporary]
@@ -117,7 +129,7 @@ def _recent(build):
     def read(spark: SparkSession, database: str) -> DataFrame:
         return build(spark.table(f"{database}.{marts.SESSIONIZED}"), days=RECENT)
 
-    return _published(read)
+    return _published(read, names=())
 
 
 def _by_parts(read: Callable[[history.SessionHistory], DataFrame]):
@@ -326,6 +338,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cohort_events_week": orders(lambda df: cohort.cohort_events(df, "W")),
         "cohort_events_month": orders(lambda df: cohort.cohort_events(df, "M", "purchase")),
         "published_tables": job(_published(_described)),
+        "published_folder": job(_published_folder),
         "published_recent_kpi": job(_recent(daily)),
         "published_recent_summary": job(_recent(summary)),
         "sample_parquet": job(_sample("parquet")),

@@ -74,6 +74,8 @@ def _scan(spark: SparkSession, names: tuple[str, ...], paths: list[str]) -> Data
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", MALFORMED)
+        # with fewer columns parsed than there are, no line would seem too long
+        .option("columnPruning", False)
     )
     return reader.csv(paths)
 

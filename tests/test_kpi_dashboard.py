@@ -9,6 +9,7 @@ from footfall.operators.funnel import funnel_summary, funnel_users
 from footfall.operators.kpi import kpi_daily, kpi_trends
 from footfall.operators.sessions import sessionize
 from footfall.plans import charts, dashboard, marts
+from footfall.settings import fresh_dir
 
 BOTH = pytest.mark.parametrize("source", [lambda df: df, sessionize], ids=["raw", "sessionized"])
 
@@ -163,3 +164,57 @@ def test_views_and_tables_hold_the_same_marts(spark, make_events):
     # publishing again replaces, it does not append
     marts.publish_raw(spark, events, "shop.raw_events")
     assert spark.table("shop.raw_events").count() == len(SUMMARY_ROWS)
+
+
+def test_a_failed_publication_leaves_the_old_tables(spark, make_events, monkeypatch):
+    spark.sql("CREATE DATABASE IF NOT EXISTS atomic")
+    events = make_events(*SUMMARY_ROWS)
+    marts.publish_tables(spark, events, "atomic")
+
+    def contents():
+        return {n: sorted(map(str, spark.table(f"atomic.{n}").collect())) for n in [marts.SESSIONIZED, *marts.MARTS]}
+
+    before, databases = contents(), {d.name for d in spark.catalog.listDatabases()}
+
+    def fails(events):
+        return events.select(F.raise_error(F.lit("half-way")).alias("x"))
+
+    broken = {**marts.MARTS, "v_cohort_retention": (fails, "")}
+    monkeypatch.setattr(marts, "MARTS", broken)
+    with pytest.raises(Exception, match="half-way"):
+        marts.publish_tables(spark, events.limit(1), "atomic")
+    assert contents() == before
+    assert {d.name for d in spark.catalog.listDatabases()} == databases
+    monkeypatch.undo()
+    for _ in range(3):
+        marts.publish_tables(spark, events.filter("event_type = 'view'"), "atomic")
+    assert contents() != before
+    # the version before is kept, older ones are gone
+    assert len(spark.catalog.listDatabases("atomic__marts_*")) == 2
+
+
+def test_a_table_of_that_name_gives_way(spark, make_events):
+    spark.sql("CREATE DATABASE IF NOT EXISTS older")
+    spark.range(3).write.saveAsTable("older.v_kpi_daily")
+    marts.publish_tables(spark, make_events(*SUMMARY_ROWS), "older", names=["v_kpi_daily"])
+    assert "dau" in spark.table("older.v_kpi_daily").columns
+    assert not spark.catalog.tableExists("older.v_funnel_summary")
+
+
+def test_a_folder_shows_one_version(spark, make_events, monkeypatch):
+    folder = fresh_dir(spark, "marts")
+    events = make_events(*SUMMARY_ROWS)
+    assert marts.publish_folder(spark, events, folder) == 1
+
+    def fails(events):
+        raise RuntimeError("half-way")
+
+    monkeypatch.setattr(marts, "MARTS", {**marts.MARTS, "v_cohort_retention": (fails, "")})
+    with pytest.raises(RuntimeError, match="half-way"):
+        marts.publish_folder(spark, events.filter("event_type = 'view'"), folder)
+    monkeypatch.undo()
+    for name in marts.create_views(events):
+        shown = marts.published(spark, folder, name)
+        assert sorted(map(str, shown.select(*spark.table(name).columns).collect())) == sorted(
+            map(str, spark.table(name).collect())
+        )
