@@ -6,7 +6,7 @@ import functools
 import os
 import sys
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -56,6 +56,17 @@ def _read_events_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _read_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "events_by_time")
+    events.write_events(adapters.order_events(spark, sf_dir), path, clustered=True)
+    return events.read_events(
+        spark, path, datetime(1996, 3, 15), datetime(1996, 3, 19), fmt="parquet"
+    )
+
+
+PAUSES = {"cart": timedelta(hours=2), "purchase": timedelta(minutes=5)}
+
+
 def _sample(kind: str):
     """The sample files, read back in one of their formats."""
 
@@ -253,6 +264,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return corpus | {
         "sessionize": shop(sessions.sessionize),
         "session_steps": clicks(steps),
+        "session_summary": clicks(lambda df: sessions.session_summary(df, PAUSES)),
         "session_funnel": clicks(lambda df: funnel.session_funnel(steps(df))),
         "funnel_step_counts": clicks(lambda df: funnel.funnel_step_counts(steps(df))),
         "funnel_overall": clicks(lambda df: funnel.funnel_overall(steps(df))),
@@ -343,6 +355,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "published_recent_summary": job(_recent(summary)),
         "sample_parquet": job(_sample("parquet")),
         "read_events_range": job(_read_events_range),
+        "read_days_clustered": job(_read_clustered),
         "csv_roundtrip": job(_sample("csv")),
         "mart_views": job(_mart("v_kpi_daily")),
     }

@@ -173,3 +173,54 @@ def session_steps(df: DataFrame, per_instant: bool = False, gap: timedelta = GAP
     keys = {"event_time": F.col("event_time")} if per_instant else {}
     steps = per_session(df, keys, step_times(), gap)
     return steps.drop("event_time")
+
+
+def session_summary(
+    events: DataFrame, gaps: dict[str, timedelta] | None = None, gap: timedelta = GAP
+) -> DataFrame:
+    """One row per user and session: first and last time, events by type and revenue.
+
+    ``gaps`` names event types after which a user may pause longer or shorter than ``gap``; a
+    session ends when no event of it reaches as far as the next one. Exactly the gap stays
+    inside. Rows without a user are left out.
+
+    Events of one slot as wide as the shortest gap always belong together, so they are added
+    up to one row per user and slot first, which reaches to the furthest of their ends. Spark's
+    session windows then merge these rows, with the reach of each as its gap.
+    """
+    gaps = gaps or {}
+    shortest = min([gap, *gaps.values()])
+    if shortest <= timedelta(0):
+        raise ValueError("inactivity gaps must be positive")
+    pause = F.lit(micros(gap))
+    for event_type, own in gaps.items():
+        pause = F.when(is_event(event_type), micros(own)).otherwise(pause)
+    at = epoch_us(F.col("event_time"))
+    counted = {f"{t}_events": F.count_if(is_event(t)) for t in (VIEW, CART, PURCHASE)}
+    slots = (
+        events.filter("user_id IS NOT NULL")
+        .groupBy("user_id", slot_start(F.col("event_time"), micros(shortest)).alias("slot"))
+        .agg(
+            F.min("event_time").alias("first_time"),
+            F.max("event_time").alias("last_time"),
+            F.max(at + pause).alias("reach"),
+            F.count("*").alias("events"),
+            *(c.alias(n) for n, c in counted.items()),
+            F.sum(F.when(is_event(PURCHASE), F.col("price"))).alias("revenue"),
+        )
+    )
+    # a window that begins where another ends is merged with it
+    length = (F.col("reach") - epoch_us(F.col("first_time"))).cast("decimal(18,0)") / 1_000_000
+    seconds = length.cast("decimal(18,6)")
+    window = F.session_window("first_time", F.make_interval(secs=seconds))
+    sums = ("events", *counted)
+    return (
+        slots.groupBy("user_id", window.alias("session"))
+        .agg(
+            F.min("first_time").alias("session_start_time"),
+            F.max("last_time").alias("session_end_time"),
+            *(F.sum(n).alias(n) for n in sums),
+            F.coalesce(F.sum("revenue"), F.lit(0)).cast("decimal(30,2)").alias("revenue"),
+        )
+        .drop("session")
+    )

@@ -23,6 +23,8 @@ BASE_CONF = {
     # of the (much smaller) session side is seen to be below this size
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # the default, INT96, has no minima and maxima, so that a time would prune no row group
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.ui.enabled": "false",
 }
 

@@ -85,5 +85,8 @@ def refuse_malformed(df: DataFrame) -> DataFrame:
     if MALFORMED not in df.columns:
         return df
     line = F.col(MALFORMED)
-    told = F.raise_error(F.concat(F.lit("malformed CSV line: "), line)).cast("boolean")
+    # a query of that column alone, as a count would be, is refused: another one is named too
+    read_as = F.coalesce(F.col(df.columns[0]), F.lit("NULL"))
+    text = F.concat(F.lit("malformed CSV line: "), line, F.lit("; read as "), read_as)
+    told = F.raise_error(text).cast("boolean")
     return df.filter(F.when(line.isNull(), True).otherwise(told)).drop(MALFORMED)

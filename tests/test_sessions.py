@@ -1,12 +1,13 @@
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from conftest import TESTDATA
 from pyspark.sql import functions as F
 
-from footfall.operators.sessions import session_slots, session_steps, sessionize
+from footfall.operators.sessions import session_slots, session_steps, session_summary, sessionize
 from footfall.sources.adapters import shop_events
 
 
@@ -147,3 +148,41 @@ def test_session_start_and_end(make_events):
     assert row.session_start_time == datetime(2024, 1, 1, 10)
     assert row.session_end_time == datetime(2024, 1, 1, 10, 9)
     assert row.min_purchase_time is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_summary_with_mixed_gaps_equals_a_scan(make_events, seed):
+    """A gap per event type; pauses of exactly a gap, and of a microsecond more."""
+    pick, minute, tick = random.Random(seed), timedelta(minutes=1), timedelta(microseconds=1)
+    gaps = {"cart": 45 * minute, "purchase": 7 * minute}
+    pauses = [timedelta(0), tick, 7 * minute, 7 * minute + tick, 20 * minute, 45 * minute, 45 * minute + tick, 90 * minute]
+    rows, at = [], datetime(2024, 1, 31, 22)
+    for _ in range(300):
+        at += pick.choice(pauses)
+        kind = pick.choice(["view", "cart", "purchase", "other"])
+        rows.append(dict(event_time=at, user_id=pick.choice([1, 1, 2]), event_type=kind, price="1.25"))
+    want, open_ = [], {}
+    for r in rows:
+        user, time, kind = r["user_id"], r["event_time"], r["event_type"]
+        if user not in open_ or time > open_[user]["reach"]:
+            open_[user] = dict(reach=time, start=time, kinds=[])
+            want.append((user, open_[user]))
+        session = open_[user]
+        session["reach"] = max(session["reach"], time + gaps.get(kind, 20 * minute))
+        session["end"] = time
+        session["kinds"].append(kind)
+    summary = session_summary(make_events(*rows), gaps, 20 * minute)
+    got = sorted(tuple(r) for r in summary.collect())
+    assert got == sorted(
+        (u, s["start"], s["end"], len(s["kinds"]), *(s["kinds"].count(k) for k in ("view", "cart", "purchase")),
+         Decimal("1.25") * s["kinds"].count("purchase"))
+        for u, s in want
+    )
+
+
+def test_summary_of_one_gap_has_the_sessions_of_the_numbering(make_events):
+    events = make_events(*(dict(event_time=f"2024-01-0{d} 0{h}:{m}:00", user_id=u) for d in (1, 2) for h in (1, 2) for m in (10, 40, 41) for u in (1, 2)))
+    by_number = sessionize(events).select("user_id", "calculated_session_id").distinct().count()
+    assert session_summary(events).count() == by_number
+    with pytest.raises(ValueError):
+        session_summary(events, {"view": timedelta(0)})

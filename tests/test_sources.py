@@ -229,3 +229,41 @@ def test_a_large_month_gets_several_writers(spark, tmp_path):
 
     assert files("2024-01") > 1 and files("1995-02") == 1
     assert read_events(spark, path, fmt="parquet").count() == 15000
+
+
+def test_clustered_files_hold_stretches_of_time(spark, make_events, tmp_path):
+    """A hot month, a third of it one instant: many writers, and a day skips most rows."""
+    hot = datetime(2024, 1, 15, 12)
+    times = [datetime(2024, 1, 1) + timedelta(minutes=7 * i) for i in range(6000)]
+    rows = [dict(event_time=t, product_id=i) for i, t in enumerate(times)]
+    rows += [dict(event_time=hot, product_id=10_000 + i) for i in range(3000)]
+    events = make_events(*rows)
+    path = f"file://{tmp_path}/clustered"
+    # so few rows would be one partition
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_events(events, path, clustered=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted((tmp_path / "clustered" / "event_month=2024-01").glob("*.parquet"))
+    assert len(files) > 2
+    spans = []
+    for file in files:
+        column = pq.read_table(file, columns=["event_time"])["event_time"].to_pylist()
+        assert column == sorted(column)
+        spans.append((column[0], column[-1]))
+    spans.sort()
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert sum(a <= hot.replace(tzinfo=a.tzinfo) <= b for a, b in spans) > 1
+
+    def scanned(start, end):
+        read = read_events(spark, path, start, end, fmt="parquet")
+        found = read.collect()
+        leaf = read._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return len(found), leaf.metrics().apply("numOutputRows").value()
+
+    n, rows_read = scanned(datetime(2024, 1, 3), datetime(2024, 1, 4))
+    _, of_month = scanned(datetime(2024, 1, 1), datetime(2024, 2, 1))
+    assert n == 206 and rows_read < of_month / 2
+    whole = read_events(spark, path, fmt="parquet")
+    assert sorted(r.product_id for r in whole.collect()) == sorted(r["product_id"] for r in rows)
