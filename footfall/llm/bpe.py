@@ -30,7 +30,7 @@ from footfall.llm.common import only, per_batch, texts
 
 # Bytes remembered per Python worker, of which an entry takes so many beside its text, and
 # characters of text worked on at once.
-REMEMBERED_BYTES = 160 << 20
+REMEMBERED_BYTES = 120 << 20
 ENTRY_BYTES = 400
 AT_ONCE = 1 << 20
 NEVER = np.iinfo(np.int64).max

@@ -53,7 +53,9 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report(_table(spark, sf_dir, "documents"), bands=quality.FITTED)
+    docs = _table(spark, sf_dir, "documents")
+    bands = quality.fit_bands(docs, _table(spark, sf_dir, "labels"))
+    return quality.quality_report(docs, bands=bands)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,13 +143,33 @@ def test_texts_bad_in_places_go(spark):
     lines = "\n".join(f"line {i} says the same thing over and over in many words" for i in range(135))
     texts_ = [prose, prose + " " + noise, prose + "\n" + lines]
     df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
-    for bands in (quality.BANDS, quality.FITTED):
+    fitted = quality.fit_bands(some, good)
+    for bands in (quality.BANDS, fitted):
         report = quality.quality_report(df, bands=bands).orderBy("doc_id").collect()
         assert [r.kept for r in report] == [True, False, False]
         assert [r.base_failed for r in report][:2] == [False, False]
         assert quality.keep_good(df, bands=bands).count() == 1
 
 
+def test_bands_are_fitted_to_a_bounded_number(spark, none):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
+    labels = spark.read.parquet(f"{TESTDATA}/sf0.01/labels.parquet")
+    bands = quality.fit_bands(docs, labels)
+    assert [b.least_bytes for b in bands] == sorted(b.least_bytes for b in bands)
+    assert bands == quality.fit_bands(docs.repartition(5), labels.union(labels))
+    # without labels, or too few, the general limits hold for every length
+    for few in (quality.fit_bands(docs, labels.limit(0)), quality.fit_bands(none, labels), quality.fit_bands(docs, labels, most=3)):
+        for n in (1, 511, 512, 3000, 8192, 70_000, 10**7):
+            for ratio in (0.9, 1.3, 2.0, 4.5, 7.0, 9.0):
+                assert quality.in_band(n, ratio, few) == quality.in_band(n, ratio)
+    # two thirds decide alike for the rest
+    part = F.pmod(F.hash("doc_id"), F.lit(3))
+    some = quality.fit_bands(docs, labels.filter(part > 0))
+    rest = quality.quality_report(docs, bands=some).join(labels.filter(part == 0), "doc_id")
+    good = [r.kept for r in rest.filter("quality = 1 and not base_failed").collect()]
+    assert len(good) > 80 and np.mean(good) >= 0.97
+
+
 @pytest.mark.parametrize("n", [0, 1, 4095, 4096, 5119, 5120, 8191, 9215, 9216, 100_000])
 def test_chunks_cover_everything(n):
     sizes = quality.chunk_sizes(n)
