@@ -10,8 +10,9 @@ from footfall.llm.queries import WORD_BPE, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the compression bands."""
-    return quality.keep_good(docs, bands=quality.FITTED)
+    """Documents that pass the base rules and the compression bands fitted to good ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, bands=quality.fit_bands(docs, labels))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
