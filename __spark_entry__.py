@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import sys
+import warnings
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
@@ -20,13 +21,17 @@ from footfall.plans import charts, dashboard, marts
 from footfall.settings import fresh_dir
 from footfall.sources import adapters, events, validation
 
+# The training-data operators are optional: they may be absent, or packages that only they need.
+OPTIONAL = ("xxhash", "zstandard", "tokenizers", "sentencepiece", "public_tokenizers")
+
 try:
     import corpus_pipeline
     from footfall.llm import queries as llm
 except ModuleNotFoundError as missing:
-    # the training-data operators are optional: only their absence is tolerated
-    if missing.name not in ("corpus_pipeline", "footfall.llm"):
+    if missing.name not in ("corpus_pipeline", "footfall.llm", *OPTIONAL):
         raise
+    if missing.name in OPTIONAL:
+        warnings.warn(f"no training-data operators: {missing.name} is not installed", stacklevel=1)
     corpus_pipeline = llm = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"

@@ -69,9 +69,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for tables a job writes and reads back.
 
     ``spark.checkpoint.dir`` names storage every executor sees; without it a folder of the
-    warehouse serves, which every executor sees as well.
+    warehouse serves, unless that is a local folder of the driver and executors run elsewhere.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = warehouse.startswith(("file:", "/"))
+    if local and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of the driver alone")
+    return f"{warehouse}/_work"

@@ -1,6 +1,7 @@
 import os
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -10,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from footfall.schema import RAW_COLUMNS, RAW_EVENTS, conform
+from footfall.settings import shared_dir
 from footfall.sources.adapters import order_events
 from footfall.sources.events import load_events, read_events, write_events, write_sample
 from footfall.sources.validation import validate_events
@@ -267,3 +269,24 @@ def test_clustered_files_hold_stretches_of_time(spark, make_events, tmp_path):
     assert n == 206 and rows_read < of_month / 2
     whole = read_events(spark, path, fmt="parquet")
     assert sorted(r.product_id for r in whole.collect()) == sorted(r["product_id"] for r in rows)
+
+
+@pytest.mark.parametrize(
+    "conf, master, want",
+    [
+        ({"spark.checkpoint.dir": "hdfs:///shared/"}, "yarn", "hdfs:///shared"),
+        ({"spark.sql.warehouse.dir": "hdfs:///tables"}, "yarn", "hdfs:///tables/_work"),
+        ({"spark.sql.warehouse.dir": "file:/home/me/tables"}, "local[2]", "file:/home/me/tables/_work"),
+        ({"spark.sql.warehouse.dir": "file:/home/me/tables"}, "yarn", None),
+    ],
+)
+def test_shared_folder_is_never_one_of_the_driver_alone(conf, master, want):
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)),
+        sparkContext=SimpleNamespace(master=master),
+    )
+    if want:
+        assert shared_dir(session) == want
+    else:
+        with pytest.raises(ValueError, match="set spark.checkpoint.dir"):
+            shared_dir(session)
