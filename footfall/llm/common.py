@@ -4,40 +4,19 @@ from __future__ import annotations
 
 import functools
 import os
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.settings import fresh_dir as fresh_path
+
 # A word is a run of code points other than space and \t \n \v \f \r. bytes.split()
 # without arguments splits UTF-8 text at exactly these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where tables that one job writes and another reads are kept.
-
-    ``spark.checkpoint.dir`` if set; otherwise a folder of the warehouse, which
-    every executor reaches as well.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return f"{warehouse}/_shared"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.deleteOnExit(jvm_path)
-    return path
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
