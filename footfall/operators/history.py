@@ -117,7 +117,7 @@ class SessionHistory:
             .withColumn("written_base", F.coalesce("written_base", "base"))
             .drop("goes_on", "through")
         )
-        change.write(NUMBERS, numbers.repartition(self.part), by=self.part)
+        change.write(NUMBERS, numbers.hint("rebalance", self.part), by=self.part)
         renumbered = set(change.about.get("renumbered", ())) - set(touched) | set(behind)
         if renumbered:
             change.about["renumbered"] = sorted(renumbered)
