@@ -170,46 +170,33 @@ def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def make():
         lex = shipped.value
         base = {w: np.log10(c + SMOOTHING) for w, c in lex.counts.items()}
-        end_known = END in lex.counts
         end_base = np.log10(lex.counts.get(END, 0) + SMOOTHING)
-        end_class = lex.classes[END]
-
-        def entry(word):
-            """Class, whether looked up, log count if so, and what is inside the class."""
-            own, log_count = lex.classes.get(word), base.get(word)
-            inside = 0.0
-            if own is None:
-                own = lex.ending(word)
-                inside = (log_count or 0.0) - lex.spread[own - len(lex.classes)]
-            return own, log_count is not None, log_count or 0.0, inside
-
-        def several(group):
-            """All texts of a group; every distinct word is looked up once."""
-            split = [words_of(text) for text in group]
-            distinct = list(set().union(*split))
-            place = dict(zip(distinct, range(len(distinct)))).__getitem__
-            columns = zip(*map(entry, distinct)) if distinct else ((),) * 4
-            own, known, log_count, inside = map(np.array, columns)
-            own, known = own.astype("<u2"), known.astype(bool)
-            rare = ~known & (own >= len(lex.classes))
-            for words in split:
-                at = np.fromiter(map(place, words), np.int64, len(words))
-                looked_up = known[at]
-                classes = np.append(own[at], np.array([end_class], "<u2"))
-                yield (
-                    classes.tobytes(),
-                    len(classes),
-                    int(looked_up.sum()) + end_known,
-                    log_count[at].sum() + end_base,
-                    inside[at].sum(),
-                    [words[i] for i in np.flatnonzero(rare[at]).tolist()],
-                )
+
+        def one(text):
+            classes, known, total, inside, rare = [], 0, end_base, 0.0, []
+            for word in words_of(text):
+                own = lex.classes.get(word)
+                log_count = base.get(word)
+                if log_count is not None:
+                    known += 1
+                    total += log_count
+                if own is None:
+                    own = lex.ending(word)
+                    inside -= lex.spread[own - len(lex.classes)]
+                    if log_count is None:
+                        rare.append(word)
+                    else:
+                        inside += log_count
+                classes.append(own)
+            classes.append(lex.classes[END])
+            known += END in lex.counts
+            return np.array(classes, "<u2").tobytes(), len(classes), known, total, inside, rare
 
         def work(batch):
             all_texts, ids = texts(batch), batch.column("doc_id")
             held = [held_out(i) for i in ids.to_pylist()]
             for rows in groups_of(all_texts):
-                classes, n, known, total, inside, rare = zip(*several(all_texts[rows]))
+                classes, n, known, total, inside, rare = zip(*map(one, all_texts[rows]))
                 size = rows.stop - rows.start
                 yield pa.RecordBatch.from_arrays(
                     [
