@@ -7,8 +7,10 @@ Built from DataFrame functions alone.
   nowhere.
 * ``calls.after`` names the calls a call builds on. A conversation whose calls only refer
   back is in topological order already: tier 0, ordered by ``seq``. In the others the tier is
-  the length of the longest chain of calls below it; they are peeled level by level, with as
-  many joins as the longest such chain. Sorting by (tier, seq) gives the order. Calls on or
+  the length of the longest chain of calls below it. Each round draws the links through calls that
+  have a single link themselves, so that a chain halves its length, and places those
+  whose links all end at placed calls: as many rounds as the logarithm of the longest chain, or
+  at most as its length where calls build on several others that wait. Sorting by (tier, seq) gives the order. Calls on or
   behind a cycle have a null tier and the error "cycle".
 * Arguments are checked against the schema of their tool and written as canonical JSON: keys
   in code-unit order, no blanks, numbers without trailing zeros, shortest escapes.
@@ -28,7 +30,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import stash
+from footfall.llm.common import fresh_path, stash
 
 # JSON types as the variant functions name them
 TYPES = {
@@ -146,32 +148,93 @@ def tiers(calls: DataFrame) -> DataFrame:
     left = stash(
         links.join(forward, mixed, "left_semi").select("conv_id", "call_id", "on"), "tool_links"
     )
-    waiting = stash(left.select("conv_id", "call_id").distinct(), "tool_waiting")
-    found, tier = None, 0
-    n_waiting = waiting.count()
+    ahead = left.select(F.col("conv_id").alias("c"), F.col("call_id").alias("id")).distinct()
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("on") == F.col("id"))
+    chains = _chains(
+        left.join(ahead, same, "left").select(
+            "conv_id",
+            "call_id",
+            F.when(F.col("id").isNotNull(), F.col("on")).alias("on"),
+            F.lit(1).cast("long").alias("steps"),
+            F.lit(1).cast("long").alias("least"),
+        )
+    )
+    chains, path = stash(chains, "tool_chains"), fresh_path(calls.sparkSession, "tool_tiers")
+    placed, n_waiting = _placed(chains, path)
     while n_waiting:
-        # links to calls that wait themselves; who has none of these is next
-        ahead = waiting.select(F.col("conv_id").alias("c"), F.col("call_id").alias("id"))
-        left = stash(
-            left.join(ahead, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("on") == F.col("id")), "left_semi"),
-            "tool_links",
+        chains = stash(_shortened(chains, placed), "tool_chains")
+        placed, n_left = _placed(chains, path)
+        if n_left == n_waiting:
+            # nobody's turn came: all that wait are on a cycle or behind one
+            return _placed(chains.filter(F.size("open") > 0), path, stuck=True)[0]
+        n_waiting = n_left
+    return placed
+
+
+def _chains(links: DataFrame) -> DataFrame:
+    """One row per call from rows of (conv_id, call_id, on, steps, least).
+
+    ``open``: the calls it waits for, and how many tiers it is above each at least; ``least``:
+    the tier that follows from those whose tier is known.
+    """
+    each = links.repartition("conv_id", "call_id").groupBy("conv_id", "call_id", "on")
+    longest = each.agg(F.max("steps").alias("steps"), F.max("least").alias("least"))
+    return longest.groupBy("conv_id", "call_id").agg(
+        F.max("least").alias("least"),
+        F.collect_list(F.when(F.col("on").isNotNull(), F.struct("on", "steps"))).alias("open"),
+    )
+
+
+# Only on a cycle do steps grow beyond the number of calls; they stop here.
+MOST_STEPS = 1 << 60
+
+
+def _shortened(chains: DataFrame, placed: DataFrame) -> DataFrame:
+    """The calls that wait, each link drawn through where the next call is placed or has one link."""
+    waiting = chains.filter(F.size("open") > 0)
+    single = waiting.filter(F.size("open") == 1).select(
+        F.col("conv_id").alias("c"),
+        F.col("call_id").alias("id"),
+        F.col("least").alias("more"),
+        F.element_at("open", 1).alias("next"),
+    )
+    passed = single.unionByName(
+        placed.select(
+            F.col("conv_id").alias("c"), F.col("call_id").alias("id"), F.col("tier").alias("more")
+        ),
+        allowMissingColumns=True,
+    )
+    links = waiting.select("conv_id", "call_id", "least", F.explode("open").alias("link"))
+    met = links.join(
+        passed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("link.on") == F.col("id")), "left"
+    )
+    known, steps = F.col("id").isNotNull(), F.col("link.steps")
+
+    def bounded(total: Column) -> Column:
+        return F.least(total, F.lit(MOST_STEPS))
+
+    return _chains(
+        met.select(
+            "conv_id",
+            "call_id",
+            F.when(known, F.col("next.on")).otherwise(F.col("link.on")).alias("on"),
+            F.when(known, bounded(steps + F.col("next.steps"))).otherwise(steps).alias("steps"),
+            F.greatest("least", F.when(known, bounded(steps + F.col("more")))).alias("least"),
         )
-        blocked = stash(left.select("conv_id", "call_id").distinct(), "tool_waiting")
-        tier += 1
-        ready = waiting.join(
-            blocked.withColumnsRenamed({"conv_id": "c", "call_id": "id"}),
-            F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("id")),
-            "left_anti",
-        ).withColumn("tier", F.lit(tier).cast("long"))
-        n_blocked = blocked.count()
-        if n_blocked == n_waiting:
-            ready = waiting.withColumn("tier", F.lit(-1).cast("long"))
-        ready = stash(ready, "tool_tiers")
-        found = ready if found is None else found.union(ready)
-        waiting, n_waiting = blocked, 0 if n_blocked == n_waiting else n_blocked
-    if found is None:
-        return waiting.withColumn("tier", F.lit(0).cast("long"))
-    return found
+    )
+
+
+def _placed(chains: DataFrame, path: str, stuck: bool = False) -> tuple[DataFrame, int]:
+    """All tiers known so far, with those of the calls that wait no more, and how many do wait.
+
+    The tiers of all rounds lie in one folder, so that reading them takes one step, not one a round.
+    """
+    tier = F.lit(-1).cast("long") if stuck else F.col("least")
+    done = chains.filter(F.lit(stuck) | (F.size("open") == 0))
+    done = done.select("conv_id", "call_id", tier.alias("tier"))
+    done.write.mode("append").parquet(path)
+    every = done.sparkSession.read.schema(done.schema).parquet(path)
+    return every, 0 if stuck else chains.filter(F.size("open") > 0).count()
 
 
 def link_tool_calls(

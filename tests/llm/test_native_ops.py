@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import time
 from collections import defaultdict
@@ -47,6 +48,33 @@ def test_order_and_cycles(spark):
     assert got[None, "a"][0] == 1 and got[None, "b"][0] == 0
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of forward references is halved each round; any graph gets its longest paths."""
+    written = []
+    stash = tool_calls.stash
+    monkeypatch.setattr(tool_calls, "stash", lambda df, name: written.append(name) or stash(df, name))
+    n = 200
+    chain = [(1, i, f"c{i}", "search", GOOD, [f"c{i + 1}"]) for i in range(n)]
+    random_ = random.Random(4)
+    after = {i: random_.sample(range(i), min(i, random_.choice((0, 1, 1, 1, 2)))) for i in range(60)}
+    graph = [(2, 60 - i, f"c{i}", "search", GOOD, [f"c{k}" for k in on]) for i, on in after.items()]
+    ring = [(3, i, f"c{i}", "search", GOOD, [f"c{(i + 1) % 7}"]) for i in range(7)]
+    ring.append((3, 7, "behind", "search", GOOD, ["c3", "c5"]))
+    repeated = [(4, 0, "a", "search", GOOD, ["b"]), (4, 1, "b", "search", GOOD, []), (4, 2, "a", "search", GOOD, ["c"])]
+    repeated += [(4, 3, "c", "search", GOOD, ["b"]), (4, 4, "self", "search", GOOD, ["self"])]
+    rows = linked(spark, chain + graph + ring + repeated).collect()
+    tiers = {(r.conv_id, r.call_id, r.seq): r.tier for r in rows}
+    assert all(tiers[1, f"c{i}", i] == n - 1 - i for i in range(n))
+
+    def longest(i):
+        return 1 + max(map(longest, after[i]), default=-1)
+
+    assert all(tiers[2, f"c{i}", 60 - i] == longest(i) for i in after)
+    assert all(tier is None for (conv, _, _), tier in tiers.items() if conv == 3)
+    assert [tiers[4, c, s] for s, c in enumerate(("a", "b", "a", "c", "self"))] == [2, 0, 2, 1, None]
+    assert len(written) < 30
+
+
 def test_results_meet_their_calls(spark):
     calls = [
         (1, 0, "a", "search", GOOD, []),
