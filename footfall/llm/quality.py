@@ -6,9 +6,8 @@ the input. A text far above that factor repeats itself, one far below is noise
 compressed, so a text that is fine on the whole but repetitive or random in places is
 seen as well.
 
-The limits are fitted, length by length, to a bounded number of documents labelled good
-(``fit_bands``); lengths of which there are too few have wide general limits. Everything else
-looks at every document.
+The limits are fitted, length by length, to all documents labelled good (``fit_bands``);
+lengths of which there are too few have wide general limits.
 
 Edge cases: a null text has no words and fails the base rules, like an empty one.
 Repeated rows and equal ids are judged row by row. Texts of any length are compressed
@@ -20,17 +19,18 @@ itself is returned.
 from __future__ import annotations
 
 from collections import Counter
-from math import ceil, log, sqrt
+from math import ceil, floor, log, sqrt
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from footfall.llm.common import only, per_batch, texts
+from footfall.llm.common import only, per_batch, stash, texts
 
 LEVEL = 3
 CHUNK_BYTES = 4096
@@ -57,16 +57,17 @@ BANDS = (
     Band(8192, 1.5, 6.5),
     Band(65536, 1.6, 8.0),
 )
-# Fitting: at most so many labelled documents (those with the least hash of their id), bands of
-# lengths that grow by this factor, at least so many inputs in a band, the share of inputs
-# left outside on either side, bands on either side that are looked at together, and what is added to the limits - besides their distance
-# divided by the root of the number of inputs, as few inputs show little of the spread.
-MOST_FITTED = 20_000
+# Fitting: bands of lengths that grow by this factor, at least so many inputs in a band, the
+# share of inputs left outside on either side, bands on either side that are looked at
+# together, and what is added to the limits - besides their distance divided by the root of the
+# number of inputs, as few inputs show little of the spread.
 LENGTH_STEP = 1.25
 LEAST_INPUTS = 10
 NEAR = 2
 SHARE_OUTSIDE = 0.001
 MARGIN = 0.01
+# Ratios are ranked bin by bin; so many bins hold ratios that differ by a factor of e.
+BINS = 200
 # A text goes when more than this share of its chunks is out of band.
 MOST_BAD_CHUNKS = 0.1
 
@@ -137,50 +138,114 @@ def ratios(text: str, packer: zstandard.ZstdCompressor) -> list[tuple[int, float
     return found
 
 
+def percentiles(
+    values: DataFrame, shares: tuple[float, ...], least: int
+) -> dict[int, tuple[float, ...]]:
+    """step -> (number of values, exact percentiles) of (step, ratio), for steps of ``least`` or more.
+
+    As the aggregate function ``percentile`` gives them, but no task holds all values of a step:
+    counts by bin tell in which bins the values of the wanted ranks lie, and only these are sorted.
+    """
+    counts = stash(
+        values.groupBy("step", "ratio")
+        .agg(F.count("*").alias("n"))
+        .withColumn("bin", F.floor(F.log("ratio") * BINS)),
+        "ratios",
+    )
+    of_step = Window.partitionBy("step")
+    up_to = of_step.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = F.array_distinct(
+        F.flatten(
+            F.array(
+                *(
+                    F.array(F.floor((F.col("total") - 1) * s), F.ceil((F.col("total") - 1) * s))
+                    for s in map(F.lit, shares)
+                )
+            )
+        )
+    )
+    bins = (
+        counts.groupBy("step", "bin")
+        .agg(F.sum("n").alias("in_bin"))
+        .withColumns({"total": F.sum("in_bin").over(of_step), "upto": F.sum("in_bin").over(up_to)})
+        .filter(F.col("total") >= least)
+        .withColumns({"before": F.col("upto") - F.col("in_bin"), "ranks": wanted})
+        .filter(F.exists("ranks", lambda r: (r >= F.col("before")) & (r < F.col("upto"))))
+        .drop("in_bin", "upto")
+    )
+    # two bins for each share and step at most
+    inside = counts.join(F.broadcast(bins), ["step", "bin"])
+    up_to = Window.partitionBy("step", "bin").orderBy("ratio")
+    up_to = up_to.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.col("before") + F.sum("n").over(up_to)
+    ranked = (
+        inside.withColumn("last", last)
+        .withColumn(
+            "ranks",
+            F.filter("ranks", lambda r: (r < F.col("last")) & (r >= F.col("last") - F.col("n"))),
+        )
+        .select("step", "total", "ratio", F.explode("ranks").alias("rank"))
+        .collect()  # two values for each share and step at most, some 60 steps up to a gigabyte
+    )
+    found = {(r.step, r.rank): r.ratio for r in ranked}
+
+    def percentile(step: int, total: int, share: float) -> float:
+        at = (total - 1) * share
+        low, high = found[step, floor(at)], found[step, ceil(at)]
+        return low if low == high else (ceil(at) - at) * low + (at - floor(at)) * high
+
+    totals = {r.step: r.total for r in ranked}
+    return {k: (n, *(percentile(k, n, share) for share in shares)) for k, n in totals.items()}
+
+
 def fit_bands(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    most: int = MOST_FITTED,
+    most: int | None = None,
 ) -> tuple[Band, ...]:
-    """Limits for every length, from ratios of at most ``most`` documents labelled good.
+    """Limits for every length, from the ratios of all documents labelled good.
 
     ``labels`` has doc_id and quality (1 for good). Of the inputs of a band ``SHARE_OUTSIDE`` lie
-    below and as many above its limits, before these are widened.
+    below and as many above its limits, before these are widened. A caller may ask for ``most``
+    documents only: those with the least hash of their id.
     """
-    good = (
-        labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
-    )
-    # at most ``most`` ids
-    plain = only(docs, doc_id=id_col, text=text_col).join(F.broadcast(good), "doc_id", "left_semi")
+    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    good = good.distinct()
+    if most is not None:
+        good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    plain = only(docs, doc_id=id_col, text=text_col).filter("doc_id is not null")
 
     def make():
         packer = zstandard.ZstdCompressor(level=LEVEL)
 
         def work(batch):
-            found = [r for text in texts(batch) for r in ratios(text, packer)]
+            found = [ratios(text, packer) for text in texts(batch)]
+            rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in found], pa.int64()), pa.array([r for _, r in found], pa.float64())],
-                ["n_bytes", "ratio"],
+                [
+                    batch.column("doc_id").take(pa.array(rows)),
+                    pa.array([n for f in found for n, _ in f], pa.int64()),
+                    pa.array([r for f in found for _, r in f], pa.float64()),
+                ],
+                ["doc_id", "n_bytes", "ratio"],
             )
 
         return work
 
     step = F.floor(F.log(F.col("n_bytes").cast("double")) / log(LENGTH_STEP)).cast("int")
-    shares = F.array(*map(F.lit, (SHARE_OUTSIDE, 0.5, 1 - SHARE_OUTSIDE)))
-    fitted = (
-        per_batch(plain, make, "n_bytes long, ratio double")
-        .groupBy(step.alias("step"))
-        .agg(F.count("*").alias("n"), F.percentile("ratio", shares).alias("limits"))
-        .filter(F.col("n") >= LEAST_INPUTS)
-        .collect()  # one row per band, some 60 up to a gigabyte
+    # numbers meet the labels, as there may be as many labels as texts and texts are long
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", plain.schema["doc_id"].dataType),
+            T.StructField("n_bytes", T.LongType()),
+            T.StructField("ratio", T.DoubleType()),
+        ]
     )
-    limits = {r.step: (r.n, *r.limits) for r in fitted}
+    measured = per_batch(plain, make, schema).join(good, "doc_id", "left_semi")
+    shares = SHARE_OUTSIDE, 0.5, 1 - SHARE_OUTSIDE
+    limits = percentiles(measured.select(step.alias("step"), "ratio"), shares, LEAST_INPUTS)
     known = {}
     for at, (_, _, middle, _) in limits.items():
         # how far inputs lie from the middle hardly depends on the length: bands help each other

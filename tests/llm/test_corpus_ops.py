@@ -10,6 +10,7 @@ from math import log10
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from conftest import TESTDATA
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -170,6 +171,35 @@ def test_bands_are_fitted_to_a_bounded_number(spark, none):
     assert len(good) > 80 and np.mean(good) >= 0.97
 
 
+def test_bands_are_fitted_to_all_labelled(spark):
+    """Documents that come last by the hash of their id, after 20,000 others, have their say."""
+    ids = spark.range(20_030).withColumnRenamed("id", "doc_id")
+    last = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id").desc()).limit(30).collect()]
+    size = F.when(F.col("doc_id").isin(last), 400).otherwise(60)
+    words = F.transform(F.sequence(F.lit(1), size), lambda i: F.conv(F.hash("doc_id", i) % 9999, 10, 36))
+    docs = ids.withColumn("text", F.concat_ws(" ", words))
+    bands = quality.fit_bands(docs, ids.withColumn("quality", F.lit(1)))
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    for row in docs.filter(F.col("doc_id").isin(last)).collect():
+        ((n_bytes, ratio),) = quality.ratios(row.text, packer)
+        band = next(b for b in reversed(bands) if n_bytes >= b.least_bytes)
+        assert ratio - 1 < band.lowest < ratio < band.highest < ratio + 1  # 1.4 and 5 in general
+
+
+def test_percentiles_by_bins(spark):
+    random_ = random.Random(5)
+    rows_ = [(step, random_.choice((random_.lognormvariate(0, 1), 1.5, 1.0))) for step in (1, 2, 2, 2) for _ in range(400)]
+    rows_ += [(3, 2.0), (4, 2.0), (4, 3.0)]
+    values = spark.createDataFrame(rows_, "step int, ratio double")
+    shares = (0.001, 0.25, 0.5, 0.999)
+    want = values.groupBy("step").agg(
+        F.count("*").alias("n"), F.percentile("ratio", F.array(*map(F.lit, shares))).alias("p")
+    )
+    assert quality.percentiles(values, shares, 2) == {
+        r.step: (r.n, *r.p) for r in want.collect() if r.n >= 2
+    }
+
+
 @pytest.mark.parametrize("n", [0, 1, 4095, 4096, 5119, 5120, 8191, 9215, 9216, 100_000])
 def test_chunks_cover_everything(n):
     sizes = quality.chunk_sizes(n)
