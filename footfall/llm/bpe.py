@@ -357,7 +357,7 @@ class PieceEncoder:
         self._keep(met, [*map(old_ids.__getitem__, met)], [*map(old_decoded.__getitem__, met)])
         # a piece of ASCII letters is one word, with marks behind them two; others may hold
         # several and special tokens
-        plain, others, other_units = [], [], []
+        plain, marked, stems, marks, others, other_units = [], [], [], [], [], []
         for piece in missing.difference(old_ids):
             stem = piece.rstrip(MARKS)
             if not stem.isalpha():
@@ -366,10 +366,11 @@ class PieceEncoder:
             elif len(stem) == len(piece):
                 plain.append(piece)
             else:
-                others.append(piece)
-                other_units.append([stem.lower().decode(), piece[len(stem) :].decode()])
+                marked.append(piece)
+                stems.append(stem.lower().decode())
+                marks.append(piece[len(stem) :].decode())
         plain_words = [piece.lower().decode() for piece in plain]
-        words = set(plain_words)
+        words = set(plain_words).union(stems, marks)
         words.update(u for us in other_units for u in us if isinstance(u, str))
         listed = list(words)
         numbers, strings = self.table.numbers, self.table.strings
@@ -384,7 +385,17 @@ class PieceEncoder:
             [*map(ids_of.__getitem__, plain_words)],
             [*map(decoded_of.__getitem__, plain_words)],
         )
-        other_units = [[u for u in us if ids_of[u]] for us in other_units]
+        if not all(ids_of.values()):
+            # words without ids leave no blank behind
+            others += marked
+            other_units += map(list, zip(stems, marks))
+            other_units = [[u for u in us if ids_of[u]] for us in other_units]
+            marked, stems, marks = [], [], []
+        self._keep(
+            marked,
+            [f"{ids_of[w]} {ids_of[m]}" for w, m in zip(stems, marks)],
+            [f"{decoded_of[w]} {decoded_of[m]}" for w, m in zip(stems, marks)],
+        )
         self._keep(
             others,
             [" ".join(map(ids_of.__getitem__, us)) for us in other_units],
@@ -410,7 +421,7 @@ class PieceEncoder:
         ids_of, decoded_of = self.ids.__getitem__, self.decoded.__getitem__
         results = []
         for pieces in split:
-            if not self.empty.isdisjoint(pieces):
+            if self.empty and not self.empty.isdisjoint(pieces):
                 pieces = [p for p in pieces if p not in self.empty]
             ids = " ".join(map(ids_of, pieces))
             n = ids.count(" ") + 1 if ids else 0
