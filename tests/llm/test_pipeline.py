@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 import zstandard
 from conftest import TESTDATA
+from pyspark.sql import functions as F
 from test_corpus_ops import SCHEMA, plain_components, rows
 from test_native_ops import KEY, plain_python
 from tokenizers import Tokenizer
@@ -106,3 +107,19 @@ def test_empty_table(spark, key):
     none = table(spark, spark.createDataFrame([], SCHEMA))
     result = corpus_pipeline.run(spark, none)
     assert result.columns == RESULT and result.count() == 0
+
+
+def test_quality_rules_hear_all_labels(spark, tmp_path):
+    """Noise within the general limits goes, as documents behind 20,000 others are heard."""
+    ids = spark.range(20_030).withColumnRenamed("id", "doc_id")
+    last = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id").desc()).limit(30).collect()]
+    size = F.when(F.col("doc_id").isin(last), 400).otherwise(60)
+    words = F.transform(F.sequence(F.lit(1), size), lambda i: F.conv(F.hash("doc_id", i) % 9999, 10, 36))
+    docs = ids.withColumn("text", F.concat_ws(" ", words))
+    ids.withColumn("quality", F.lit(1)).write.parquet(f"{tmp_path}/labels.parquet")
+    digits = [hashlib.md5(str(i).encode()).hexdigest()[:7] for i in range(400)]
+    noise = spark.createDataFrame([(-1, " ".join(digits))], docs.schema)
+    kept = corpus_pipeline.quality_rules(spark, docs.union(noise), str(tmp_path))
+    found = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert -1 not in found and found.issuperset(last)
+    assert [r.doc_id for r in quality.keep_good(noise).collect()] == [-1]
