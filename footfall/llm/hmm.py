@@ -13,8 +13,8 @@ base score. The last factor does not depend on the states, so training needs cla
 
 Training: expected counts of each partition are added up by Spark (a row per class, a vector
 over the states) and the driver, which sees as many numbers as the model has, normalises them.
-Every round reads all training texts. Scoring is the scaled forward recursion over
-whole texts, in batches of texts of similar length.
+Every round reads all training texts. Scoring is the forward recursion over whole texts, in
+batches of texts of similar length, scaled every few steps.
 
 The word counts are a distributed table. Frequent words are looked up in a bounded table that
 goes to the tasks; rare ones are joined, and only their sums per text come back.
@@ -49,8 +49,11 @@ SMOOTHING = 0.1
 HELD_OUT_OF = 10
 # Rounds of training; each reads all training texts (one in one).
 ROUNDS = (1,) * 8
-# Tokens worked on at once; bounds the memory of the forward and backward values.
-AT_ONCE = 1 << 18
+# Tokens worked on at once; bounds the memory of the forward values.
+AT_ONCE = 1 << 20
+# Steps between two scalings. A step shrinks the values to no less than the smoothing share of
+# all words, over 1e-20, so that this many stay far from the least double.
+SCALED_EVERY = 8
 # Characters of text whose words are counted together.
 COUNTED_AT_ONCE = 1 << 25
 END = b"\n"  # cannot be a word
@@ -158,6 +161,33 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
     )
 
 
+class WordNumbers(dict):
+    """Rows of the tables of a lexicon: looked-up words have rows of their own, which are
+    remembered; other words the row of their ending."""
+
+    def __init__(self, lexicon: Lexicon):
+        own = lexicon.classes
+        others = [w for w in lexicon.counts if w not in own]
+        words = [*sorted(own, key=own.__getitem__), *others]
+        super().__init__(zip(words, range(len(words))))
+        # rows from here on are those of endings
+        self.endings = len(words)
+        classes = [*range(len(own)), *map(lexicon.ending, others)]
+        classes += range(len(own), len(own) + ENDINGS)
+        self.classes = np.array(classes, "<u2")
+        counts = np.array([lexicon.counts.get(w, 0) for w in words], np.float64)
+        nothing = np.zeros(ENDINGS)
+        self.known = np.array([w in lexicon.counts for w in words] + [False] * ENDINGS)
+        # log10(c + 0.1) of looked-up words, log10 p(word | class) as far as known of all
+        self.base = np.concatenate([np.log10(counts + SMOOTHING), nothing])
+        self.inside = np.where(self.known, self.base, 0)
+        self.inside[: len(own)] = 0
+        self.inside[len(own) :] -= lexicon.spread[self.classes[len(own) :] - np.uint16(len(own))]
+
+    def __missing__(self, word: bytes) -> int:
+        return self.endings + zlib.crc32(word[-ENDING_BYTES:]) % ENDINGS
+
+
 def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Texts as classes (uint16) with what the bounded tables tell about their words.
 
@@ -168,46 +198,40 @@ def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def make():
-        lex = shipped.value
-        base = {w: np.log10(c + SMOOTHING) for w, c in lex.counts.items()}
-        end_base = np.log10(lex.counts.get(END, 0) + SMOOTHING)
-
-        def one(text):
-            classes, known, total, inside, rare = [], 0, end_base, 0.0, []
-            for word in words_of(text):
-                own = lex.classes.get(word)
-                log_count = base.get(word)
-                if log_count is not None:
-                    known += 1
-                    total += log_count
-                if own is None:
-                    own = lex.ending(word)
-                    inside -= lex.spread[own - len(lex.classes)]
-                    if log_count is None:
-                        rare.append(word)
-                    else:
-                        inside += log_count
-                classes.append(own)
-            classes.append(lex.classes[END])
-            known += END in lex.counts
-            return np.array(classes, "<u2").tobytes(), len(classes), known, total, inside, rare
+        numbers = WordNumbers(shipped.value)
+
+        def sums(values, starts):
+            return pa.array(np.add.reduceat(values, starts))
 
         def work(batch):
             all_texts, ids = texts(batch), batch.column("doc_id")
             held = [held_out(i) for i in ids.to_pylist()]
             for rows in groups_of(all_texts):
-                classes, n, known, total, inside, rare = zip(*map(one, all_texts[rows]))
-                size = rows.stop - rows.start
+                found, rare, borders = [], [], [0]
+                for text in all_texts[rows]:
+                    words = words_of(text)
+                    words.append(END)
+                    at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+                    rare += [words[i] for i in np.flatnonzero(at >= numbers.endings).tolist()]
+                    borders.append(len(rare))
+                    found.append(at)
+                lengths = np.array([len(f) for f in found], np.int64)
+                at, ends = np.concatenate(found), np.cumsum(lengths)
+                starts = ends - lengths
+                classes = numbers.classes[at].tobytes()
+                cuts = zip((2 * starts).tolist(), (2 * ends).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(rows.start, size),
+                        ids.slice(rows.start, rows.stop - rows.start),
                         pa.array(held[rows], pa.bool_()),
-                        pa.array(classes, pa.binary()),
-                        pa.array(n, pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(total, pa.float64()),
-                        pa.array(inside, pa.float64()),
-                        pa.array(rare, pa.list_(pa.binary())),
+                        pa.array([classes[a:b] for a, b in cuts], pa.binary()),
+                        pa.array(lengths),
+                        sums(numbers.known[at].astype(np.int64), starts),
+                        sums(numbers.base[at], starts),
+                        sums(numbers.inside[at], starts),
+                        pa.ListArray.from_arrays(
+                            pa.array(borders, pa.int32()), pa.array(rare, pa.binary())
+                        ),
                     ],
                     ["doc_id", "held_out", "classes", "n_tokens", "known", "base", "inside", "rare"],
                 )
@@ -240,8 +264,8 @@ def first_model(n_classes: int, seed: int = SEED) -> Model:
 class Batch:
     """Sequences side by side, longest first, so that those still running are a prefix.
 
-    Values of all tokens lie step by step, so a step is a slice and whatever does not
-    depend on the step before is done for all steps at once.
+    Values of all tokens lie step by step, so a step is a slice. Only the forward values of all
+    tokens are held; the others are those of one step, which stay in the processor's cache.
     """
 
     def __init__(self, sequences: list[np.ndarray]):
@@ -254,46 +278,60 @@ class Batch:
         ends = np.cumsum(running)
         begins = ends - running
         step = np.repeat(np.arange(len(running)), running)
-        self.row = np.arange(len(flat)) - begins[step]
-        self.classes = flat[first[self.row] + step].astype(np.int64)
-        # where the token before is, for all tokens but the first of each sequence
-        self.before = np.arange(running[0], len(flat)) - running[step[running[0] :] - 1]
+        row = np.arange(len(flat)) - begins[step]
+        self.classes = flat[first[row] + step].astype(np.int64)
+        # where the last token of each sequence is
+        self.last = begins[lengths - 1] + np.arange(len(lengths))
         self.spans = list(zip(begins.tolist(), ends.tolist()))
 
     def forward(self, model: Model, keep: bool):
-        """Scaled forward recursion: log likelihoods or, to be kept, scaled values and what the
-        step back multiplies by (emission by scale)."""
-        seen = model.emit[self.classes]
-        # the scale of a token is repeated for all states, which spares a loop per row
-        values, scales, ones = np.empty_like(seen), np.empty_like(seen), np.ones((STATES, STATES))
-        last = None
-        for begin, end in self.spans:
-            alpha, scale = values[begin:end], scales[begin:end]
+        """Forward recursion, scaled every few steps: log likelihoods or, to be kept, scaled values
+        and the scales by step (repeated for all states, which spares a loop per row)."""
+        values, room = np.empty((len(self.classes), STATES)), np.empty((len(self.order), STATES))
+        scales, ones, last = {}, np.ones((STATES, STATES)), None
+        for step, (begin, end) in enumerate(self.spans):
+            alpha, seen = values[begin:end], room[: end - begin]
+            # checking the bounds would cost a copy
+            np.take(model.emit, self.classes[begin:end], axis=0, out=seen, mode="clip")
             if last is None:
-                np.multiply(seen[begin:end], model.start, out=alpha)
+                np.multiply(seen, model.start, out=alpha)
             else:
                 np.matmul(values[last : last + end - begin], model.move, out=alpha)
-                alpha *= seen[begin:end]
-            np.matmul(alpha, ones, out=scale)
-            alpha /= scale
+                alpha *= seen
+            if step % SCALED_EVERY == SCALED_EVERY - 1:
+                scales[step] = alpha @ ones
+                alpha /= scales[step]
             last = begin
         if keep:
-            seen /= scales
-            return None, values, seen
-        result = np.empty(len(self.order))
-        result[self.order] = np.bincount(self.row, np.log(scales[:, 0]), len(self.order))
+            return None, values, scales
+        found = np.log(values[self.last].sum(axis=1))
+        for scale in scales.values():
+            found[: len(scale)] += np.log(scale[:, 0])
+        result = np.empty_like(found)
+        result[self.order] = found
         return result, None, None
 
     def expected(self, model: Model):
         """Expected counts of starts, moves and emissions."""
-        _, values, ahead = self.forward(model, keep=True)
+        _, values, scales = self.forward(model, keep=True)
         n_classes, n = len(model.emit), len(self.order)
-        beta, back = np.ones_like(values), np.ascontiguousarray(model.move.T)
-        for (last, _), (begin, end) in zip(self.spans[-2::-1], self.spans[:0:-1]):
-            ahead[begin:end] *= beta[begin:end]
-            np.matmul(ahead[begin:end], back, out=beta[last : last + end - begin])
-        move = values[self.before].T @ ahead[n:]
-        values *= beta
+        move, back = np.zeros((STATES, STATES)), np.ascontiguousarray(model.move.T)
+        # of the last token of each sequence; those of running ones are written over
+        all_beta = np.repeat(1 / values[self.last].sum(axis=1, keepdims=True), STATES, axis=1)
+        room = np.empty_like(all_beta)
+        for step in range(len(self.spans) - 1, -1, -1):
+            begin, end = self.spans[step]
+            alpha, beta, ahead = values[begin:end], all_beta[: end - begin], room[: end - begin]
+            if step:
+                np.take(model.emit, self.classes[begin:end], axis=0, out=ahead, mode="clip")
+                if step in scales:
+                    ahead /= scales[step]
+                ahead *= beta
+                last = self.spans[step - 1][0]
+                move += values[last : last + end - begin].T @ ahead
+            alpha *= beta
+            if step:
+                np.matmul(ahead, back, out=beta)
         emit = np.empty((STATES, n_classes))
         for state in range(STATES):
             emit[state] = np.bincount(self.classes, values[:, state], n_classes)

@@ -321,7 +321,6 @@ def test_bpe_merges_of_many_words_at_once():
     assert table.encode_words(made) == [table.merge(w) for w in made]
 
 
-@pytest.mark.parametrize("table", ["odd", "docs", "none"])
 def test_token_files(spark, table, request):
     df = request.getfixturevalue(table)
     library = Tokenizer.from_file(vocabulary(BYTE_BPE))
@@ -553,6 +552,62 @@ def test_forward_and_expected_counts():
     assert np.allclose(emit, total_emit)
 
 
+def test_scaling_every_few_steps(monkeypatch):
+    """As with a scaling at every step, also where words are next to impossible in most states."""
+    random_ = np.random.default_rng(1)
+    emit = np.full((50, hmm.STATES), 1e-18)
+    emit[: hmm.STATES] += np.eye(hmm.STATES)
+    move = np.eye(hmm.STATES) + 1e-9
+    model = hmm.Model(np.full(hmm.STATES, 1 / hmm.STATES), move / move.sum(axis=1), emit)
+    every = hmm.SCALED_EVERY
+    lengths = (1, every - 1, every, every + 1, 2 * every, 5 * every, 400)
+    batch = hmm.Batch([random_.integers(0, 50, n).astype("<u2") for n in lengths])
+    logs, counts = batch.forward(model, keep=False)[0], batch.expected(model)
+    monkeypatch.setattr(hmm, "SCALED_EVERY", 1)
+    assert np.allclose(logs, batch.forward(model, keep=False)[0]) and np.isfinite(logs).all()
+    for few, all_ in zip(counts, batch.expected(model)):
+        assert np.allclose(few, all_)
+    assert counts[2].sum() == pytest.approx(sum(lengths))
+
+
+def test_rows_of_words(spark, docs, monkeypatch):
+    """Classes, counts and rare words of a text, one word after the other."""
+    monkeypatch.setattr(hmm, "LOOKED_UP", 400)
+    monkeypatch.setattr(hmm, "OWN_CLASSES", 50)
+    some = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").limit(40).collect()]
+    some += [(None, None), (10**6, ""), (10**6, "never seen"), (10**6, "never never seen")]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    lex = hmm.lexicon_of(hmm.word_counts(df))
+    assert 0 < len(lex.classes) < len(lex.counts) <= 401
+
+    def one(doc_id, text):
+        classes, known, base, inside, rare = [], 0, 0.0, 0.0, []
+        for word in [*(w.lower() for w in words(text)), hmm.END]:
+            log_count = log10(lex.counts[word] + 0.1) if word in lex.counts else 0
+            known += word in lex.counts
+            base += log_count
+            classes.append(lex.classes.get(word, lex.ending(word)))
+            if word not in lex.classes:
+                inside += log_count - lex.spread[classes[-1] - len(lex.classes)]
+                rare += [] if word in lex.counts else [word]
+        return doc_id or -1, classes, known, rare, [base, inside]
+
+    want = sorted(one(*r) for r in some)
+    got = sorted(
+        (
+            r.doc_id or -1,
+            np.frombuffer(r.classes, "<u2").tolist(),
+            r.known,
+            [bytes(w) for w in r.rare],
+            [r.base, r.inside],
+        )
+        for r in hmm.encode(df, lex).collect()
+    )
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    for g, w in zip(got, want):
+        assert g[4] == pytest.approx(w[4])
+
+
 def test_classes_form_a_distribution(docs):
     """p(word | class) of all learned words and one unseen word of a class add up to one."""
     counts = hmm.word_counts(docs.select("doc_id", "text"))
