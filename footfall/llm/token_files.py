@@ -23,10 +23,11 @@ occur. A document is never split, so a file holds at least one.
 from __future__ import annotations
 
 import gc
+import json
 import re
 import string
-import sys
 import uuid
+from array import array
 from functools import lru_cache
 from itertools import islice
 
@@ -39,16 +40,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from footfall.llm.bpe import groups_of
+from footfall.llm.bpe import VISIBLE, groups_of
 from footfall.llm.common import only, per_batch, stash, texts
 
 MAGIC = b"FFTOK\x00\x00\x01"
 IDS_PER_FILE = 4 << 20
 DECODED_AT_ONCE = 1 << 18  # control bytes
 COUNTED_AT_ONCE = 1 << 20
-# Words remembered per Python worker, and characters of text worked on at once.
+# Words remembered per Python worker, those with marks among them, and characters of text worked
+# on at once.
 REMEMBERED = 1_000_000
-AT_ONCE = 1 << 22
+REMEMBERED_JOINED = 300_000
+AT_ONCE = 1 << 19
 # Pieces given to the library in one string, between special tokens.
 JOINED = 100
 
@@ -56,12 +59,18 @@ JOINED = 100
 # precedes anything but white space a pre-token always begins. A line break between two
 # characters other than white space is a pre-token itself.
 CUT = re.compile(r" (?=\S)")
-# What makes a text unfit for that: runs of white space, and any other than space and break.
-# A search for each is faster than one pattern: most need no pass over a text of Latin letters.
-SPACES = ("  ", "\n\n", " \n", "\n ")
-SPACES += tuple(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")
 # Letters, then ASCII marks: two pre-tokens, the second without a space of its own.
 LETTERS, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), string.punctuation
+# Letters beyond ASCII as the model sees them, byte by byte. First the one whose sign stands for
+# the first byte of all.
+SHOWN = sorted(
+    (
+        (chr(c), "".join(chr(VISIBLE.get(b, b)) for b in chr(c).encode()))
+        for c in range(0xC0, 0x100)
+        if LETTERS.fullmatch(chr(c))
+    ),
+    key=lambda pair: pair[0] != pair[1][0],
+)
 
 ENCODED = T.StructType(
     [
@@ -80,6 +89,8 @@ class PieceIds:
         self.width = id_width(path)
         # after a space, and at the start of a line or text
         self.known: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        # pieces among them that are put together from others
+        self.joined: dict[str, list[str]] = {" ": [], "": []}
         self.line_break = self._plain("\n")
         # a special token that splits the raw text before anything else is done to it
         added = self.library.get_added_tokens_decoder()
@@ -92,6 +103,20 @@ class PieceIds:
             None,
         )
 
+        # Is a word of letters, with a space before it or not, one pre-token and nothing else?
+        spec = json.loads(self.library.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        self.model = None
+        if (
+            not spec["normalizer"]
+            and not spec["truncation"]
+            and cut.get("type") == "ByteLevel"
+            and cut.get("use_regex", True)
+            and not cut["add_prefix_space"]
+            and not any(re.fullmatch(r"[\s\w]*", str(t.content)) for t in added.values())
+        ):
+            self.model = self.library.model
+
     def _plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
@@ -119,15 +144,41 @@ class PieceIds:
                 encoded.append(raw[(a + 1) * size : b * size])
         return encoded
 
-    def _resolve(self, wanted: set[str], lead: str) -> list[str]:
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words that follow ``lead``. Those of letters alone go to the library's model
+        directly, which spares the search for special tokens and pre-tokens."""
+        if not self.model or not words:
+            return self._encode([lead + w for w in words])
+        if not LETTERS.fullmatch("".join(words)):
+            rest = [w for w in words if not LETTERS.fullmatch(w)]
+            letters = list(set(words).difference(rest))
+            ids = dict(zip(rest, self._encode([lead + w for w in rest])))
+            ids.update(zip(letters, self._words(letters, lead)))
+            return [ids[w] for w in words]
+        shown = "\n".join(words)
+        for letter, bytes_ in SHOWN:
+            shown = shown.replace(letter, bytes_)
+        tokens, lead = self.model.tokenize, chr(VISIBLE[ord(lead)]) if lead else ""
+        kind = "H" if self.width == "<u2" else "I"
+        return [
+            array(kind, [t.id for t in tokens(lead + word)]).tobytes()
+            for word in shown.split("\n")
+        ]
+
+    def _resolve(self, wanted: set[str], lead: str) -> None:
         """Make the ids of pieces that follow ``lead`` known.
 
-        Words with marks are put together from both; they are returned, to be forgotten
-        after use, as there are many more of them than of words.
+        Words with marks are put together from both; they are forgotten sooner, as there are many
+        more of them than of words.
         """
-        known = self.known[lead]
+        known, passing = self.known[lead], self.joined[lead]
+        if len(passing) > REMEMBERED_JOINED:
+            for piece in passing:
+                known.pop(piece, None)
+            passing.clear()
         if len(known) > REMEMBERED:
             known.clear()
+            passing.clear()
         plain = self.known[""]
         missing, marks, joined = [], set(), []
         for piece in wanted.difference(known):
@@ -140,11 +191,22 @@ class PieceIds:
             else:
                 missing.append(piece)
         missing += {word for _, word, _ in joined}.difference(known, missing)
-        known.update(zip(missing, self._encode([lead + p for p in missing])))
+        known.update(zip(missing, self._words(missing, lead)))
         marks = list({m for _, _, m in joined}.difference(plain))
         plain.update(zip(marks, self._encode(marks)))
         known.update([(piece, known[word] + plain[m]) for piece, word, m in joined])
-        return [piece for piece, _, _ in joined]
+        passing += [piece for piece, _, _ in joined]
+
+    def _ids(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of each piece that follows ``lead``."""
+        known = self.known[lead]
+        found = list(map(known.get, pieces))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            self._resolve({pieces[i] for i in missing}, lead)
+            for i in missing:
+                found[i] = known[pieces[i]]
+        return found
 
     def encode(self, group: list[str]) -> list[bytes]:
         """Ids of each text as bytes.
@@ -162,31 +224,33 @@ class PieceIds:
 
     def _encode_group(self, group: list[str]) -> list[bytes]:
         lines = [self._lines(text) for text in group]
-        heads, tails = set(), set()
+        pieces = []
         for text in lines:
             for line in text:
-                heads.add(line[0])
-                tails.update(islice(line, 1, None))
-        passing = [(lead, self._resolve(p, lead)) for lead, p in (("", heads), (" ", tails))]
-        head, tail = self.known[""].__getitem__, self.known[" "].__getitem__
-        encoded = [
-            self.line_break.join(
-                [head(line[0]) + b"".join(map(tail, islice(line, 1, None))) for line in text]
-            )
-            for text in lines
-        ]
-        for lead, pieces in passing:
-            for piece in pieces:
-                del self.known[lead][piece]
+                pieces += islice(line, 1, None)
+        tails = self._ids(pieces, " ")
+        heads = iter(self._ids([line[0] for text in lines for line in text], ""))
+        encoded, end = [], 0
+        for text in lines:
+            parts = []
+            for line in text:
+                start, end = end, end + len(line) - 1
+                parts.append(next(heads) + b"".join(tails[start:end]))
+            encoded.append(self.line_break.join(parts))
         return encoded
 
     @staticmethod
     def _lines(text: str) -> list[list[str]]:
         """Pieces by line; one line where white space is not single spaces and breaks."""
-        plain = not (
-            any(s in text for s in SPACES) or text[:1].isspace() or text[-1:].isspace()
-        )
-        return [line.split(" ") for line in text.split("\n")] if plain else [CUT.split(text)]
+        words, lines, at = text.split(), [], 0
+        sizes = [line.count(" ") + 1 for line in text.split("\n")]
+        # as many spaces and breaks as white space in all, and as it takes between the words
+        if not len(text) - len("".join(words)) == sum(sizes) - 1 == len(words) - 1:
+            return [CUT.split(text)]
+        for size in sizes:
+            lines.append(words[at : at + size])
+            at += size
+        return lines
 
 
 @lru_cache(maxsize=2)

@@ -321,6 +321,28 @@ def test_bpe_merges_of_many_words_at_once():
     assert table.encode_words(made) == [table.merge(w) for w in made]
 
 
+def test_words_go_to_the_model(monkeypatch):
+    """Ids of whole texts, from the library and from its model, while all is forgotten and kept."""
+    library = Tokenizer.from_file(vocabulary(BYTE_BPE))
+    letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+    texts = [
+        "a  b\tc", " a b", "a b ", "a\n b\nc", "a\u2003b c  d", "\n", " ", "", "a\x1cb c", "a b\nc d.",
+        "don't stop, (now)!", "ªµº × ÷ naïve", "Ãã ÃÃ Àà", "<|endoftext|> a<|endoftext|>b", "日本 語. ǅ ok",
+        " ".join(letters), "".join(letters), "\n".join(f"{a}x{b}, x{a}" for a in letters for b in letters[::9]),
+    ]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    direct, whole = token_files.PieceIds(vocabulary(BYTE_BPE)), token_files.PieceIds(vocabulary(BYTE_BPE))
+    assert direct.model
+    whole.model = None
+    for pieces in (direct, whole):
+        for most in (10**6, 0):
+            monkeypatch.setattr(token_files, "REMEMBERED_JOINED", most)
+            for group in (texts, texts[::-1], *([t] for t in texts)):
+                got = {t: np.frombuffer(e, pieces.width).tolist() for t, e in zip(group, pieces.encode(group))}
+                assert [got[t] for t in texts if t in got] == [w for t, w in zip(texts, want) if t in got]
+
+
+@pytest.mark.parametrize("table", ["odd", "docs", "none"])
 def test_token_files(spark, table, request):
     df = request.getfixturevalue(table)
     library = Tokenizer.from_file(vocabulary(BYTE_BPE))
