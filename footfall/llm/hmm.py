@@ -27,16 +27,16 @@ ids are scored row by row.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from footfall.llm.bpe import groups_of
-from footfall.llm.common import only, per_batch, stash, texts
+from footfall.llm.common import only, per_batch, stash
 
 STATES = 8
 # Frequent words that are classes of their own, and those whose counts go to the tasks.
@@ -50,12 +50,13 @@ HELD_OUT_OF = 10
 # Rounds of training; each reads all training texts (one in one).
 ROUNDS = (1,) * 8
 # Tokens worked on at once; bounds the memory of the forward values.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 # Steps between two scalings. A step shrinks the values to no less than the smoothing share of
 # all words, over 1e-20, so that this many stay far from the least double.
 SCALED_EVERY = 8
-# Characters of text whose words are counted together.
+# Bytes of text whose words are counted, and looked up, together.
 COUNTED_AT_ONCE = 1 << 25
+LOOKED_UP_AT_ONCE = 1 << 23
 END = b"\n"  # cannot be a word
 SEED = 7
 
@@ -64,8 +65,27 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT_OF == 0
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def slices_of(column: pa.Array, at_once: int):
+    """Slices of the rows with about ``at_once`` bytes of text each."""
+    sizes = pc.binary_length(column).to_numpy().astype(np.int64)
+    firsts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // at_once, prepend=-1)).tolist()
+    for first, end in zip(firsts, [*firsts[1:], len(column)]):
+        yield slice(first, end)
+
+
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, one after the other, and where those of each text begin and end.
+
+    Splits at the six characters of ASCII white space, which are those that end a word.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    words, borders = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy().astype(np.int64)
+    # white space at either end leaves an empty word there
+    full = pc.greater(pc.binary_length(words), 0)
+    if pc.all(full).as_py() is False:
+        before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        words, borders = words.filter(full), before[borders]
+    return words, borders
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -73,16 +93,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def make():
         def work(batch):
-            learned = [
-                t for i, t in zip(batch.column("doc_id").to_pylist(), texts(batch)) if not held_out(i)
-            ]
-            for rows in groups_of(learned, COUNTED_AT_ONCE):
-                counts = Counter()
-                for text in learned[rows]:
-                    counts.update(words_of(text))
-                    counts[END] += 1
+            learned = pa.array([not held_out(i) for i in batch.column("doc_id").to_pylist()])
+            column = pc.fill_null(batch.column("text"), "").filter(learned)
+            for rows in slices_of(column, COUNTED_AT_ONCE):
+                counts = pc.value_counts(words_of(column[rows])[0])
+                ends = pa.array([rows.stop - rows.start], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())],
+                    [
+                        pa.concat_arrays([counts.field("values"), pa.array([END], pa.binary())]),
+                        pa.concat_arrays([counts.field("counts"), ends]),
+                    ],
                     ["word", "c"],
                 )
 
@@ -161,15 +181,41 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
     )
 
 
-class WordNumbers(dict):
-    """Rows of the tables of a lexicon: looked-up words have rows of their own, which are
-    remembered; other words the row of their ending."""
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = _crc_table()
+
+
+def ending_numbers(words: pa.Array) -> np.ndarray:
+    """crc32 of the last bytes of each word, as ``Lexicon.ending`` takes it, among ``ENDINGS``."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    _, borders, content = words.buffers()
+    borders = np.frombuffer(borders, np.int32)[words.offset : words.offset + len(words) + 1]
+    content, ends, lengths = np.frombuffer(content, np.uint8), borders[1:], np.diff(borders)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in range(ENDING_BYTES, 0, -1):
+        reach = np.flatnonzero(lengths >= back)
+        some = crc[reach]
+        crc[reach] = CRC[(some ^ content[ends[reach] - back]) & 0xFF] ^ some >> 8
+    return (~crc % ENDINGS).astype(np.int64)
+
+
+class WordNumbers:
+    """Rows of the tables of a lexicon: looked-up words have rows of their own; other words the
+    row of their ending."""
 
     def __init__(self, lexicon: Lexicon):
         own = lexicon.classes
         others = [w for w in lexicon.counts if w not in own]
         words = [*sorted(own, key=own.__getitem__), *others]
-        super().__init__(zip(words, range(len(words))))
+        self.words = pa.array(words, pa.binary())
+        self.end = words.index(END)
         # rows from here on are those of endings
         self.endings = len(words)
         classes = [*range(len(own)), *map(lexicon.ending, others)]
@@ -184,16 +230,14 @@ class WordNumbers(dict):
         self.inside[: len(own)] = 0
         self.inside[len(own) :] -= lexicon.spread[self.classes[len(own) :] - np.uint16(len(own))]
 
-    def __missing__(self, word: bytes) -> int:
-        return self.endings + zlib.crc32(word[-ENDING_BYTES:]) % ENDINGS
-
 
 def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Texts as classes (uint16) with what the bounded tables tell about their words.
 
     uid names the row from here on. known, base and spread: number of looked-up tokens,
     the sums of log10(c + 0.1) over them and of log10 p(word | class) as far as known.
-    rare: the words that are not in the tables, repeats included.
+    rare: the words that are not in the tables, repeats included; times: how often each occurs
+    in the text, at its first place, and zero at the others.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -204,47 +248,66 @@ def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             return pa.array(np.add.reduceat(values, starts))
 
         def work(batch):
-            all_texts, ids = texts(batch), batch.column("doc_id")
-            held = [held_out(i) for i in ids.to_pylist()]
-            for rows in groups_of(all_texts):
-                found, rare, borders = [], [], [0]
-                for text in all_texts[rows]:
-                    words = words_of(text)
-                    words.append(END)
-                    at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-                    rare += [words[i] for i in np.flatnonzero(at >= numbers.endings).tolist()]
-                    borders.append(len(rare))
-                    found.append(at)
-                lengths = np.array([len(f) for f in found], np.int64)
-                at, ends = np.concatenate(found), np.cumsum(lengths)
+            column, ids = pc.fill_null(batch.column("text"), ""), batch.column("doc_id")
+            held = pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_())
+            for rows in slices_of(column, LOOKED_UP_AT_ONCE):
+                words, borders = words_of(column[rows])
+                row_of = pc.index_in(words, value_set=numbers.words).fill_null(-1).to_numpy()
+                places = np.flatnonzero(row_of < 0)
+                rare = words.take(pa.array(places))
+                row_of = row_of.astype(np.int64)
+                row_of[places] = numbers.endings + ending_numbers(rare)
+                # an end mark behind the words of each text
+                lengths = np.diff(borders) + 1
+                ends = np.cumsum(lengths)
                 starts = ends - lengths
-                classes = numbers.classes[at].tobytes()
-                cuts = zip((2 * starts).tolist(), (2 * ends).tolist())
+                at = np.insert(row_of, borders[1:], numbers.end)
+                rare_borders = np.searchsorted(places, borders)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(rows.start, rows.stop - rows.start),
-                        pa.array(held[rows], pa.bool_()),
-                        pa.array([classes[a:b] for a, b in cuts], pa.binary()),
+                        ids[rows],
+                        held[rows],
+                        pa.Array.from_buffers(
+                            pa.binary(),
+                            len(lengths),
+                            [
+                                None,
+                                pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)),
+                                pa.py_buffer(numbers.classes[at]),
+                            ],
+                        ),
                         pa.array(lengths),
                         sums(numbers.known[at].astype(np.int64), starts),
                         sums(numbers.base[at], starts),
                         sums(numbers.inside[at], starts),
+                        pa.ListArray.from_arrays(pa.array(rare_borders, pa.int32()), rare),
                         pa.ListArray.from_arrays(
-                            pa.array(borders, pa.int32()), pa.array(rare, pa.binary())
+                            pa.array(rare_borders, pa.int32()), pa.array(times_of(rare, rare_borders))
                         ),
                     ],
-                    ["doc_id", "held_out", "classes", "n_tokens", "known", "base", "inside", "rare"],
+                    schema.fieldNames(),
                 )
 
         return work
 
-    schema = (
+    schema = T.StructType.fromDDL(
         "doc_id long, held_out boolean, classes binary, n_tokens long, known long, base double, "
-        "inside double, rare array<binary>"
+        "inside double, rare array<binary>, times array<long>"
     )
     return per_batch(docs, make, schema).withColumn("uid", F.monotonically_increasing_id())
 
 
+def times_of(words: pa.Array, borders: np.ndarray) -> np.ndarray:
+    """How often each word occurs between its borders: at its first place, zero at the others."""
+    distinct = words.dictionary_encode()
+    text = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+    keys = text * len(distinct.dictionary) + distinct.indices.to_numpy()
+    _, first, n = np.unique(keys, return_index=True, return_counts=True)
+    times = np.zeros(len(words), np.int64)
+    times[first] = n
+    return times
+
+
 @dataclass
 class Model:
     start: np.ndarray  # states
@@ -319,6 +382,8 @@ class Batch:
         # of the last token of each sequence; those of running ones are written over
         all_beta = np.repeat(1 / values[self.last].sum(axis=1, keepdims=True), STATES, axis=1)
         room = np.empty_like(all_beta)
+        # expected states of all tokens, state by state, which are added up in that order
+        found = np.empty((STATES, len(values)))
         for step in range(len(self.spans) - 1, -1, -1):
             begin, end = self.spans[step]
             alpha, beta, ahead = values[begin:end], all_beta[: end - begin], room[: end - begin]
@@ -329,13 +394,13 @@ class Batch:
                 ahead *= beta
                 last = self.spans[step - 1][0]
                 move += values[last : last + end - begin].T @ ahead
-            alpha *= beta
+            np.multiply(alpha.T, beta.T, out=found[:, begin:end])
             if step:
                 np.matmul(ahead, back, out=beta)
         emit = np.empty((STATES, n_classes))
         for state in range(STATES):
-            emit[state] = np.bincount(self.classes, values[:, state], n_classes)
-        return values[:n].sum(axis=0), move * model.move, emit.T
+            emit[state] = np.bincount(self.classes, found[state], n_classes)
+        return found[:, :n].sum(axis=1), move * model.move, emit.T
 
 
 def _batches(rows: list[bytes], at_once: int = AT_ONCE):
@@ -438,10 +503,10 @@ def sequence_scores(encoded: DataFrame, model: Model) -> DataFrame:
 
 def rare_sums(encoded: DataFrame, counts: DataFrame) -> DataFrame:
     """(uid, rare_known, rare_sum): what the rare words of a row add, by joining their counts."""
-    words = encoded.select("uid", F.explode("rare").alias("word"))
+    words = encoded.select("uid", F.inline(F.arrays_zip("rare", "times")).alias("word", "n"))
     # a word that is not in the tables has a bounded count, so no key is hot, except for
-    # words of held-out texts that were never learned
-    words = words.groupBy("uid", "word").agg(F.count("*").alias("n"))
+    # words of held-out texts that were never learned; each of them is one row per text
+    words = words.filter("n > 0")
     joined = words.join(counts, "word", "left")
     log_count = F.log10(F.coalesce("c", F.lit(0)) + SMOOTHING)
     return joined.groupBy("uid").agg(

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -630,6 +631,45 @@ def test_rows_of_words(spark, docs, monkeypatch):
         assert g[4] == pytest.approx(w[4])
 
 
+def test_words_of_many_texts_at_once():
+    """As the words of each text on its own, whatever white space there is at its ends."""
+    texts = [
+        "a b", " a\tB\n", "", " \x0b\x0c\r ", "a\x1cb\x85c\u2003d \xa0", "ÀÉ İ Ab", "x" * 300, "\r\nlast",
+    ]
+    for some in (texts, texts[2:4], texts[3:], texts[:1], []):
+        found, borders = hmm.words_of(pa.array(some, pa.string()))
+        got = [found[a:b].to_pylist() for a, b in zip(borders.tolist(), borders[1:].tolist())]
+        assert got == [t.encode().lower().split() for t in some]
+        want = [zlib.crc32(w[-hmm.ENDING_BYTES :]) % hmm.ENDINGS for t in got for w in t]
+        assert hmm.ending_numbers(found).tolist() == want
+        assert hmm.ending_numbers(found.slice(2)).tolist() == want[2:]
+        for at_once in (1, 5, 10**6):
+            rows = [i for r in hmm.slices_of(pa.array(some, pa.string()), at_once) for i in range(r.start, r.stop)]
+            assert rows == list(range(len(some)))
+
+
+def test_rare_words_are_one_row_per_text(spark, docs, monkeypatch):
+    """How often a rare word occurs in a text stands at its first place there."""
+    monkeypatch.setattr(hmm, "LOOKED_UP", 0)
+    some = [(1, "a b"), (10**6, "new old new A new"), (10**6, None), (10**6, "old new"), (2, "b c")]
+    df = spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+    counts = hmm.word_counts(df)
+    encoded = hmm.encode(df, hmm.lexicon_of(counts)).cache()
+    got = sorted([[bytes(w) for w in r.rare], r.times] for r in encoded.collect())
+    learned = {bytes(r.word): r.c for r in counts.collect()}
+    want = [
+        [t, [t.count(w) if w not in t[:i] else 0 for i, w in enumerate(t)]]
+        for t in ((text or "").encode().lower().split() for _, text in some)
+    ]
+    assert got == sorted(want)
+    sums = sorted(tuple(r)[1:] for r in hmm.rare_sums(encoded, counts).collect())
+    known = sorted(
+        (sum(w in learned for w in t), sum(log10(learned.get(w, 0) + 0.1) for w in t)) for t, _ in want if t
+    )
+    assert [k for k, _ in sums] == [k for k, _ in known]
+    assert [s for _, s in sums] == pytest.approx([s for _, s in known])
+
+
 def test_classes_form_a_distribution(docs):
     """p(word | class) of all learned words and one unseen word of a class add up to one."""
     counts = hmm.word_counts(docs.select("doc_id", "text"))
