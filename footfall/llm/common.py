@@ -6,7 +6,9 @@ import functools
 import os
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,14 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def slices_of(column: pa.Array, at_once: int) -> Iterator[slice]:
+    """Slices of the rows with about ``at_once`` bytes of text each."""
+    sizes = pc.binary_length(column).to_numpy().astype(np.int64)
+    firsts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // at_once, prepend=-1)).tolist()
+    for first, end in zip(firsts, [*firsts[1:], len(column)]):
+        yield slice(first, end)
+
+
 # A key with more than this share of the rows is hot; there are fewer hot keys than that.
 HOT_KEYS = 1000
 

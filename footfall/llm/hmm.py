@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footfall.llm.common import only, per_batch, stash
+from footfall.llm.common import only, per_batch, slices_of, stash
 
 STATES = 8
 # Frequent words that are classes of their own, and those whose counts go to the tasks.
@@ -65,14 +65,6 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT_OF == 0
 
 
-def slices_of(column: pa.Array, at_once: int):
-    """Slices of the rows with about ``at_once`` bytes of text each."""
-    sizes = pc.binary_length(column).to_numpy().astype(np.int64)
-    firsts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // at_once, prepend=-1)).tolist()
-    for first, end in zip(firsts, [*firsts[1:], len(column)]):
-        yield slice(first, end)
-
-
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts, one after the other, and where those of each text begin and end.
 

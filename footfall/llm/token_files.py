@@ -29,10 +29,10 @@ import string
 import uuid
 from array import array
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,18 +40,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from footfall.llm.bpe import VISIBLE, groups_of
-from footfall.llm.common import only, per_batch, stash, texts
+from footfall.llm.bpe import VISIBLE
+from footfall.llm.common import only, per_batch, slices_of, stash
 
 MAGIC = b"FFTOK\x00\x00\x01"
 IDS_PER_FILE = 4 << 20
 DECODED_AT_ONCE = 1 << 18  # control bytes
 COUNTED_AT_ONCE = 1 << 20
-# Words remembered per Python worker, those with marks among them, and characters of text worked
-# on at once.
+# Words remembered per Python worker, those with more than letters among them, and bytes of text
+# worked on at once.
 REMEMBERED = 1_000_000
 REMEMBERED_JOINED = 300_000
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 23
 # Pieces given to the library in one string, between special tokens.
 JOINED = 100
 
@@ -61,6 +61,8 @@ JOINED = 100
 CUT = re.compile(r" (?=\S)")
 # Letters, then ASCII marks: two pre-tokens, the second without a space of its own.
 LETTERS, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), string.punctuation
+# White space, other than spaces and line breaks, in a word, or no word at all.
+SPACED = "^$|[" + "".join(rf"\x{{{c:x}}}" for c in range(0x110000) if chr(c).isspace()) + "]"
 # Letters beyond ASCII as the model sees them, byte by byte. First the one whose sign stands for
 # the first byte of all.
 SHOWN = sorted(
@@ -89,8 +91,8 @@ class PieceIds:
         self.width = id_width(path)
         # after a space, and at the start of a line or text
         self.known: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        # pieces among them that are put together from others
-        self.joined: dict[str, list[str]] = {" ": [], "": []}
+        # pieces among them that are not of letters alone; there are many more of them
+        self.others: dict[str, list[str]] = {" ": [], "": []}
         self.line_break = self._plain("\n")
         # a special token that splits the raw text before anything else is done to it
         added = self.library.get_added_tokens_decoder()
@@ -145,71 +147,73 @@ class PieceIds:
         return encoded
 
     def _words(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of words that follow ``lead``. Those of letters alone go to the library's model
-        directly, which spares the search for special tokens and pre-tokens."""
+        """Ids of words of letters that follow ``lead``. They go to the library's model directly,
+        which spares the search for special tokens and pre-tokens."""
         if not self.model or not words:
             return self._encode([lead + w for w in words])
-        if not LETTERS.fullmatch("".join(words)):
-            rest = [w for w in words if not LETTERS.fullmatch(w)]
-            letters = list(set(words).difference(rest))
-            ids = dict(zip(rest, self._encode([lead + w for w in rest])))
-            ids.update(zip(letters, self._words(letters, lead)))
-            return [ids[w] for w in words]
-        shown = "\n".join(words)
+        lead = chr(VISIBLE[ord(lead)]) if lead else ""
+        shown = lead + ("\n" + lead).join(words)
         for letter, bytes_ in SHOWN:
             shown = shown.replace(letter, bytes_)
-        tokens, lead = self.model.tokenize, chr(VISIBLE[ord(lead)]) if lead else ""
+        tokens = self.model.tokenize
         kind = "H" if self.width == "<u2" else "I"
-        return [
-            array(kind, [t.id for t in tokens(lead + word)]).tobytes()
-            for word in shown.split("\n")
-        ]
-
-    def _resolve(self, wanted: set[str], lead: str) -> None:
-        """Make the ids of pieces that follow ``lead`` known.
+        return [array(kind, [t.id for t in tokens(word)]).tobytes() for word in shown.split("\n")]
 
-        Words with marks are put together from both; they are forgotten sooner, as there are many
-        more of them than of words.
-        """
-        known, passing = self.known[lead], self.joined[lead]
-        if len(passing) > REMEMBERED_JOINED:
-            for piece in passing:
+    def _known(self, pieces: pa.Array, of_letters: pa.Array, lead: str) -> pa.Array:
+        """Ids of distinct pieces that follow ``lead``."""
+        known, others = self.known[lead], self.others[lead]
+        if len(others) > REMEMBERED_JOINED:
+            for piece in others:
                 known.pop(piece, None)
-            passing.clear()
+            others.clear()
         if len(known) > REMEMBERED:
             known.clear()
-            passing.clear()
-        plain = self.known[""]
-        missing, marks, joined = [], set(), []
-        for piece in wanted.difference(known):
-            if piece.isalpha():
-                missing.append(piece)
-                continue
-            word = piece.rstrip(MARKS)
-            if len(word) < len(piece) and LETTERS.fullmatch(word):
-                joined.append((piece, word, piece[len(word) :]))
-            else:
-                missing.append(piece)
-        missing += {word for _, word, _ in joined}.difference(known, missing)
-        known.update(zip(missing, self._words(missing, lead)))
-        marks = list({m for _, _, m in joined}.difference(plain))
-        plain.update(zip(marks, self._encode(marks)))
-        known.update([(piece, known[word] + plain[m]) for piece, word, m in joined])
-        passing += [piece for piece, _, _ in joined]
-
-    def _ids(self, pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of each piece that follows ``lead``."""
-        known = self.known[lead]
-        found = list(map(known.get, pieces))
+            others.clear()
+        names = pieces.to_pylist()
+        found = list(map(known.get, names))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
-            self._resolve({pieces[i] for i in missing}, lead)
-            for i in missing:
-                found[i] = known[pieces[i]]
-        return found
+            plain = of_letters.take(pa.array(missing)).to_pylist()
+            words = [i for i, letters in zip(missing, plain) if letters]
+            rest = [i for i, letters in zip(missing, plain) if not letters]
+            texts = [names[i] for i in rest]
+            others += texts
+            ids = self._words([names[i] for i in words], lead) + self._encode([lead + t for t in texts])
+            for i, one in zip(words + rest, ids):
+                found[i] = known[names[i]] = one
+        return pa.array(found, pa.binary())
+
+    def _ids(self, pieces: pa.Array, lead: str) -> pa.Array:
+        """Ids of distinct pieces that follow ``lead``. Letters and the marks behind them are two
+        pre-tokens, so they are looked up apart and put together."""
+        words = pc.ascii_rtrim(pieces, MARKS)
+        of_letters = pc.match_substring_regex(words, f"^{LETTERS.pattern}$")
+        words = pc.if_else(of_letters, words, pieces).dictionary_encode()
+        # one of the rows of each word; all agree on whether it is of letters
+        row = np.empty(len(words.dictionary), np.int64)
+        row[words.indices.to_numpy()] = np.arange(len(pieces))
+        ids = self._known(words.dictionary, of_letters.take(pa.array(row)), lead).take(words.indices)
+        starts = pc.binary_length(words.dictionary).take(words.indices).to_numpy()
+        marked = np.flatnonzero(starts < pc.binary_length(pieces).to_numpy())
+        if not len(marked):
+            return ids
+        some = pieces.take(pa.array(marked)).cast(pa.binary()).to_pylist()
+        marks = [p[a:].decode() for p, a in zip(some, starts[marked].tolist())]
+        marks = pa.array(marks, pa.string()).dictionary_encode()
+        # the marks of each piece, the first entry where there are none
+        behind = np.zeros(len(pieces), np.int64)
+        behind[marked] = marks.indices.to_numpy() + 1
+        not_letters = pa.array([False] * len(marks.dictionary))
+        mark_ids = self._known(marks.dictionary, not_letters, "")
+        mark_ids = pa.concat_arrays([pa.array([b""], pa.binary()), mark_ids])
+        return pc.binary_join_element_wise(ids, mark_ids.take(pa.array(behind)), b"")
 
     def encode(self, group: list[str]) -> list[bytes]:
-        """Ids of each text as bytes.
+        """Ids of each text as bytes."""
+        return self.encode_column(pa.array(group, pa.string())).to_pylist()
+
+    def encode_column(self, column: pa.Array, end: bytes = b"") -> pa.Array:
+        """Ids of each text as bytes, ``end`` behind them.
 
         Nothing here is cyclic, and walking millions of pieces in search of cycles costs
         a tenth of the time.
@@ -217,40 +221,74 @@ class PieceIds:
         collecting = gc.isenabled()
         gc.disable()
         try:
-            return self._encode_group(group)
+            return self._encode_column(column, end)
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode_group(self, group: list[str]) -> list[bytes]:
-        lines = [self._lines(text) for text in group]
-        pieces = []
-        for text in lines:
-            for line in text:
-                pieces += islice(line, 1, None)
-        tails = self._ids(pieces, " ")
-        heads = iter(self._ids([line[0] for text in lines for line in text], ""))
-        encoded, end = [], 0
-        for text in lines:
-            parts = []
-            for line in text:
-                start, end = end, end + len(line) - 1
-                parts.append(next(heads) + b"".join(tails[start:end]))
-            encoded.append(self.line_break.join(parts))
-        return encoded
-
-    @staticmethod
-    def _lines(text: str) -> list[list[str]]:
-        """Pieces by line; one line where white space is not single spaces and breaks."""
-        words, lines, at = text.split(), [], 0
-        sizes = [line.count(" ") + 1 for line in text.split("\n")]
-        # as many spaces and breaks as white space in all, and as it takes between the words
-        if not len(text) - len("".join(words)) == sum(sizes) - 1 == len(words) - 1:
-            return [CUT.split(text)]
-        for size in sizes:
-            lines.append(words[at : at + size])
-            at += size
-        return lines
+    def _encode_column(self, column: pa.Array, end: bytes) -> pa.Array:
+        """Each distinct word is looked up once; a text is a sequence of rows of a pool of ids."""
+        if not len(column):
+            return pa.array([], pa.binary())
+        lines = pc.split_pattern(column, "\n")
+        words = pc.split_pattern(lines.flatten(), " ")
+        distinct = words.flatten().dictionary_encode()
+        code, pieces = distinct.indices.to_numpy(), distinct.dictionary
+        # where the words of each line, and of each text, begin and end
+        of_lines = words.offsets.to_numpy().astype(np.int64)
+        of_texts = of_lines[lines.offsets.to_numpy()]
+
+        # texts whose white space is not single spaces and breaks between words
+        spaced = pc.match_substring_regex(pieces, SPACED).to_numpy(zero_copy_only=False)
+        odd = np.zeros(len(column), bool)
+        if spaced.any():
+            at = np.flatnonzero(spaced[code])
+            odd[np.searchsorted(of_texts, at, side="right") - 1] = True
+        heads = np.zeros(len(code), bool)
+        heads[of_lines[:-1]] = True
+        kept = np.repeat(~odd, np.diff(of_texts))
+
+        pool, rows = [pa.array([self.line_break, end], pa.binary())], np.empty(len(code), np.int64)
+        size = 2
+        for lead, some in ((" ", kept & ~heads), ("", kept & heads)):
+            used = np.flatnonzero(np.bincount(code[some], minlength=len(pieces)))
+            row_of = np.empty(len(pieces), np.int64)
+            row_of[used] = size + np.arange(len(used))
+            rows[some] = row_of[code[some]]
+            pool.append(self._ids(pieces.take(pa.array(used)), lead))
+            size += len(used)
+        pool.append(self._odd(column.filter(pa.array(odd))))
+
+        # breaks lie between the lines of a text; behind each text its end, and before that an
+        # odd text as a whole
+        place = np.concatenate([[0], np.cumsum(kept)])
+        breaks = of_lines[:-1][kept[of_lines[:-1]] & ~np.isin(of_lines[:-1], of_texts)]
+        closing = np.repeat(place[of_texts[1:]], 1 + odd)
+        closing_rows = np.ones(len(closing), np.int64)
+        closing_rows[np.cumsum(1 + odd)[odd] - 2] = size + np.arange(odd.sum())
+        inserted = np.concatenate([place[breaks], closing])
+        what = np.concatenate([np.zeros(len(breaks), np.int64), closing_rows])
+        sequence = np.insert(rows[kept], inserted, what)
+        ends = place[of_texts[1:]] + np.searchsorted(place[breaks], place[of_texts[1:]])
+        ends += np.cumsum(1 + odd)
+
+        ids = pa.concat_arrays(pool).take(pa.array(sequence))
+        borders = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)
+        cuts = pa.py_buffer(borders[np.append(0, ends)])
+        return pa.Array.from_buffers(pa.binary(), len(column), [None, cuts, ids.buffers()[2]])
+
+    def _odd(self, column: pa.Array) -> pa.Array:
+        """Ids of texts cut before spaces that begin a pre-token."""
+        texts = [CUT.split(text) for text in column.to_pylist()]
+
+        def ids(pieces, lead):
+            distinct = pa.array(pieces, pa.string()).dictionary_encode()
+            return iter(self._ids(distinct.dictionary, lead).take(distinct.indices).to_pylist())
+
+        heads = ids([text[0] for text in texts], "")
+        tails = ids([piece for text in texts for piece in text[1:]], " ")
+        joined = [next(heads) + b"".join(next(tails) for _ in text[1:]) for text in texts]
+        return pa.array(joined, pa.binary())
 
 
 @lru_cache(maxsize=2)
@@ -275,17 +313,12 @@ def encode_ids(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_
         end = np.array([end_id], encoder.width).tobytes()
 
         def work(batch):
-            all_texts, doc_ids = texts(batch), batch.column("doc_id")
-            for rows in groups_of(all_texts, AT_ONCE):
-                found = [e + end for e in encoder.encode(all_texts[rows])]
-                counts = [len(e) // len(end) for e in found]
+            column, doc_ids = pc.fill_null(batch.column("text"), ""), batch.column("doc_id")
+            for rows in slices_of(column, AT_ONCE):
+                found = encoder.encode_column(column[rows], end)
+                counts = pc.divide(pc.binary_length(found), len(end)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        doc_ids.slice(rows.start, rows.stop - rows.start),
-                        pa.array(counts, pa.int64()),
-                        pa.array(found, pa.binary()),
-                    ],
-                    ENCODED.fieldNames(),
+                    [doc_ids[rows], counts, found], ENCODED.fieldNames()
                 )
 
         return work

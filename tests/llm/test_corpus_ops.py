@@ -343,6 +343,37 @@ def test_words_go_to_the_model(monkeypatch):
                 assert [got[t] for t in texts if t in got] == [w for t, w in zip(texts, want) if t in got]
 
 
+def test_texts_as_rows_of_a_pool(monkeypatch):
+    """Odd and plain texts side by side, cut anywhere, the end id behind each."""
+    library = Tokenizer.from_file(vocabulary(BYTE_BPE))
+    random_ = random.Random(4)
+    parts = [
+        "Ab", "ab", "ab,", "ab.)", "don't", "\u00e9t\u00e9", "\u00e9t\u00e9!", "12", "a1,", "...", "<|endoftext|>", "\u65e5\u672c.", "\xd7a",
+        "a\u2003b", "a\tb", "\x1c",
+    ]
+    gaps = [" ", " ", " ", " ", "\n", "\n", "  ", " \n"]
+    texts = ["", "\n", " ", "a\nb\n", "a\n\nb c", "ab, ab\nab,"]
+    for _ in range(300):
+        # half of them plain
+        words, between = random_.choice([(parts[:12], gaps[:6]), (parts, gaps)])
+        n = random_.randint(1, 12)
+        texts.append("".join(random_.choice(words) + random_.choice(between) for _ in range(n)) + "z")
+    random_.shuffle(texts)
+    pieces = token_files.PieceIds(vocabulary(BYTE_BPE))
+    end = np.array([2], pieces.width).tobytes()
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    column = pa.array(["not among them", *texts], pa.string())[1:]
+    for at_once in (1, 60, 10**6):
+        monkeypatch.setattr(token_files, "REMEMBERED", at_once)
+        got = []
+        for rows in token_files.slices_of(column, at_once):
+            found = pieces.encode_column(column[rows], end)
+            assert found.type == pa.binary() and len(found) == rows.stop - rows.start
+            got += [np.frombuffer(e, pieces.width).tolist() for e in found.to_pylist()]
+        assert got == want
+    assert pieces.encode_column(column[:0], end).to_pylist() == []
+
+
 @pytest.mark.parametrize("table", ["odd", "docs", "none"])
 def test_token_files(spark, table, request):
     df = request.getfixturevalue(table)
