@@ -13,7 +13,6 @@ word of any length is merged with a heap.
 
 from __future__ import annotations
 
-import gc
 import heapq
 import json
 import re
@@ -21,27 +20,32 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from footfall.llm.common import only, per_batch, texts
+from footfall.llm.common import only, per_batch, slices_of
 
-# Bytes remembered per Python worker, of which an entry takes so many beside its text, and
-# characters of text worked on at once.
-REMEMBERED_BYTES = 120 << 20
-ENTRY_BYTES = 400
+# Bytes remembered per Python worker, of which an entry takes so many beside its text and ids (they
+# include its place in the table that finds it), and bytes of text worked on at once.
+REMEMBERED_BYTES = 80 << 20
+ENTRY_BYTES = 56
+BYTES_AT_ONCE = 1 << 22
+# Characters in a slice of ``groups_of``.
 AT_ONCE = 1 << 20
 NEVER = np.iinfo(np.int64).max
+# Rank of a pair that no merge joins; twice as much is still a number.
+NOWHERE = NEVER // 4
 # Longer words are merged with a heap.
 SHORT = 48
 
 # Pieces that need no library call: Latin-1 letters, which normalization leaves alone but for
 # their case, then ASCII marks (no apostrophe, no "<"), which form one word.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
-# The same marks as bytes.
-MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'<")
+LETTERS = "".join(chr(c) for c in (*range(0x41, 0x7B), *range(0xC0, 0x100)) if chr(c).isalpha())
+MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "'<")
+OF_LETTERS, OF_MARKS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", r"^[!-&(-/:;=-@\[-`{-~]+$"
 
 
 def _visible_bytes() -> dict[int, int]:
@@ -67,7 +71,6 @@ class MergeTable:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = 1 + max([*self.ids.values(), *self.specials.values()])
         self.strings: list[str] = [""] * self.size
-        self.numbers = [str(i) for i in range(self.size)]
         for string, i in [*self.ids.items(), *self.specials.items()]:
             self.strings[i] = string
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -105,7 +108,7 @@ class MergeTable:
     def pair_ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         keys = x * self.size + y
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.key_ranks[at], NEVER // 4)
+        return np.where(self.keys[at] == keys, self.key_ranks[at], NOWHERE)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, before=None) -> np.ndarray:
         """For each pair of neighbours, whether no merge joins them across the border.
@@ -119,7 +122,7 @@ class MergeTable:
         n = len(a)
         good = np.ones(n, bool)
         place, x, y = np.arange(n), a.copy(), b.copy()
-        end = np.full(n, NEVER) if before is None else before.copy()
+        end = np.full(n, 2 * NOWHERE) if before is None else before.copy()
         while len(place):
             joined = 2 * self.pair_ranks(x, y) < end
             good[place[joined]] = False
@@ -138,9 +141,10 @@ class MergeTable:
         Symbols are the characters of the vocabulary from 1 on and 0 for the word end.
         """
         alphabet = sorted({c for t in self.ids for c in t.removesuffix(self.suffix)})
-        self.symbol = np.zeros(max(map(ord, alphabet)) + 1, np.int64)
+        self.symbol = np.zeros(1 + max(*map(ord, alphabet), *VISIBLE.values()), np.int64)
         for i, c in enumerate(alphabet):
             self.symbol[ord(c)] = i + 1
+        self.byte_symbol = self.symbol[[VISIBLE.get(b, b) for b in range(256)]]
         self.fan = len(alphabet) + 1
         edges: dict[tuple[int, int], int] = {}
         token_at = [-1]
@@ -199,12 +203,12 @@ class MergeTable:
         order = np.argsort(owners, kind="stable")
         return tokens[order], owners[order], stuck
 
-    def merge_many(self, parts: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
-        """Exact merging of short words at once; ``parts`` is padded with -1 on the right."""
+    def merge_many(self, parts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Exact merging of short words at once, in place; ``parts`` is padded with -1 on the
+        right. Returns how many parts each word has left."""
         n, width = parts.shape
-        nowhere = NEVER // 4
         columns = np.arange(width)
-        ranks = np.full((n, width), nowhere)
+        ranks = np.full((n, width), NOWHERE)
         pairs = (columns[:-1] + 1) < lengths[:, None]
         ranks[:, :-1][pairs] = self.pair_ranks(parts[:, :-1][pairs], parts[:, 1:][pairs])
         lengths = lengths.copy()
@@ -212,7 +216,7 @@ class MergeTable:
         while True:
             at = ranks[live].argmin(axis=1)
             rank = ranks[live, at]
-            some = rank < nowhere
+            some = rank < NOWHERE
             live, at, rank = live[some], at[some], rank[some]
             if not len(live):
                 break
@@ -226,8 +230,8 @@ class MergeTable:
                 here = (k >= 0) & (k + 1 < lengths[live])
                 rows, k0 = live[here], k[here]
                 ranks[rows, k0] = self.pair_ranks(parts[rows, k0], parts[rows, k0 + 1])
-            ranks[live, lengths[live] - 1] = nowhere
-        return [row[:n] for row, n in zip(parts.tolist(), lengths.tolist())]
+            ranks[live, lengths[live] - 1] = NOWHERE
+        return lengths
 
     def merge(self, word: str) -> list[int]:
         """Exact merging, lowest rank first and leftmost among equals."""
@@ -255,49 +259,80 @@ class MergeTable:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word (in the alphabet of the vocabulary, not empty)."""
-        found: list[list[int]] = [[]] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
-        for i in range(len(words)):
-            if len(words[i]) > SHORT or not self.ordered:
-                found[i] = self.merge(words[i])
-        if short and self.ordered:
-            for i, ids in zip(short, self._encode_short([words[i] for i in short])):
-                found[i] = ids
-        return found
-
-    def _encode_short(self, words: list[str]) -> list[list[int]]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        tokens, sizes = self._encode(self.symbol[codes], lengths, lambda i: words[i])
+        cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        listed = tokens.tolist()
+        return [listed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode_column(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of words that are not empty, in plain UTF-8: of all words one after another,
+        and how many each has."""
+        if not len(words):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        _, offsets, data = words.buffers()
+        cuts = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+        symbols = self.byte_symbol[np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]]]
+
+        def word(i):
+            return words[i].as_py().encode().decode("latin-1").translate(VISIBLE)
+
+        return self._encode(symbols, np.diff(cuts).astype(np.int64), word)
+
+    def _encode(self, symbols: np.ndarray, lengths: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_column``, for words given by their symbols; word(i) is the text of one."""
+        short = (lengths <= SHORT) & self.ordered
+        if short.all():
+            return self._encode_short(symbols, lengths)
+        some, counts = self._encode_short(symbols[np.repeat(short, lengths)], lengths[short])
+        merged = {i: self.merge(word(i)) for i in np.flatnonzero(~short).tolist()}
+        sizes = np.empty(len(lengths), np.int64)
+        sizes[short] = counts
+        sizes[~short] = [len(ids) for ids in merged.values()]
+        tokens = np.empty(sizes.sum(), np.int64)
+        of_short = np.repeat(short, sizes)
+        tokens[of_short] = some
+        tokens[~of_short] = [i for ids in merged.values() for i in ids]
+        return tokens, sizes
+
+    def _encode_short(self, letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(lengths):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         ends = int(bool(self.suffix))
         stop = np.cumsum(lengths + ends)
         first = stop - lengths - ends
         symbols = np.zeros(stop[-1], np.int64)
-        letters = np.ones(stop[-1], bool)
-        letters[stop - 1] = not ends
-        symbols[letters] = self.symbol[codes]
+        of_letters = np.ones(stop[-1], bool)
+        of_letters[stop - 1] = not ends
+        symbols[of_letters] = letters
 
         tokens, owners, failed = self.propose(symbols, first, stop)
         inside = owners[1:] == owners[:-1]
         good = self.compatible(tokens[:-1][inside], tokens[1:][inside])
         failed[owners[1:][inside][~good]] = True
-        cuts = np.searchsorted(owners, np.arange(len(words) + 1)).tolist()
-        listed = tokens.tolist()
-        found = [listed[a:b] for a, b in zip(cuts, cuts[1:])]
+        sizes = np.bincount(owners, minlength=len(lengths))
 
         wrong = np.flatnonzero(failed)
         wrong = wrong[np.argsort(lengths[wrong], kind="stable")]
+        repaired = []
         for some in np.array_split(wrong, max(1, len(wrong) // 4096)):
             if not len(some):
                 continue
-            width = int(lengths[some].max()) + 1
-            column = np.arange(width)
+            column = np.arange(int(lengths[some].max()) + 1)
             used = column < lengths[some][:, None]
             place = np.minimum(first[some][:, None] + column, len(symbols) - 1)
             last = (column == lengths[some][:, None] - 1).astype(np.int64) * ends
             parts = np.where(used, self.single[last, symbols[place]], -1)
-            for i, ids in zip(some.tolist(), self.merge_many(parts, lengths[some])):
-                found[i] = ids
-        return found
+            sizes[some] = self.merge_many(parts, lengths[some])
+            repaired.append((some, parts, column))
+        starts = np.cumsum(sizes) - sizes
+        found = np.empty(sizes.sum(), np.int64)
+        found[np.repeat(~failed, sizes)] = tokens[~failed[owners]]
+        for some, parts, column in repaired:
+            left = column < sizes[some][:, None]
+            found[(starts[some][:, None] + column)[left]] = parts[left]
+        return found, sizes
 
     def decode(self, ids: list[int]) -> str:
         """As a tokenizer without a decoder does: the tokens, joined by spaces."""
@@ -305,10 +340,11 @@ class MergeTable:
 
 
 class PieceEncoder:
-    """Ids and decoded form of pieces between white space, remembered per worker.
+    """Ids and decoded form of texts, put together from pieces between white space.
 
-    Memory has two generations, each bounded in bytes: a piece met again moves to the recent one,
-    and when that is full the older one is forgotten. Frequent pieces are never learnt again.
+    A piece of letters with marks behind them, or none, is looked up as two keys: the letters in
+    lower case and the marks. Any other piece is a key itself. Ids of keys are remembered per
+    worker, bounded in bytes: of too many the half used last stays.
     """
 
     def __init__(self, path: str):
@@ -317,19 +353,16 @@ class PieceEncoder:
         self.normalize = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
         self.special = re.compile("(" + "|".join(map(re.escape, self.table.specials)) + ")")
-        # piece -> ids joined by spaces, piece -> decoded text
-        self.ids: dict[bytes, str] = {}
-        self.decoded: dict[bytes, str] = {}
-        self.older: tuple[dict[bytes, str], dict[bytes, str]] = {}, {}
-        self.empty: set[bytes] = set()  # recent pieces without ids
-        self.size = 0
+        self.numbers = pa.array([str(i) for i in range(self.table.size)], pa.string())
+        self.strings = pa.array(self.table.strings, pa.string())
+        # keys, their ids one after another, how many each has, and when each was used last
+        self.keys = pa.array([], pa.string())
+        self.tokens = np.empty(0, np.int32)
+        self.sizes, self.used = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.turn = 0
 
     def _units(self, piece: str) -> list[str | int]:
         """Words and ids of special tokens of a piece."""
-        if plain := PLAIN.fullmatch(piece):
-            letters, marks = plain.groups()
-            word = letters.lower().encode().decode("latin-1").translate(VISIBLE)
-            return [word, marks] if marks else [word]
         units: list[str | int] = []
         for part in self.special.split(piece) if "<" in piece else [piece]:
             if part in self.table.specials:
@@ -338,95 +371,110 @@ class PieceEncoder:
                 units.extend(w for w, _ in self.split(self.normalize(part)))
         return units
 
-    def _keep(self, pieces: list[bytes], ids: list[str], decoded: list[str]) -> None:
-        self.ids.update(zip(pieces, ids))
-        self.decoded.update(zip(pieces, decoded))
-        self.size += ENTRY_BYTES * len(pieces)
-        self.size += sum(sum(map(len, column)) for column in (pieces, ids, decoded))
-        if not all(ids):
-            self.empty.update(p for p, i in zip(pieces, ids) if not i)
-
-    def learn(self, pieces: set[bytes]) -> None:
-        """Have all pieces in the recent generation."""
-        if self.size > REMEMBERED_BYTES // 2:
-            self.older, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
-            self.empty, self.size = set(), 0
-        old_ids, old_decoded = self.older
-        missing = pieces.difference(self.ids)
-        met = list(missing.intersection(old_ids))
-        self._keep(met, [*map(old_ids.__getitem__, met)], [*map(old_decoded.__getitem__, met)])
-        # a piece of ASCII letters is one word, with marks behind them two; others may hold
-        # several and special tokens
-        plain, marked, stems, marks, others, other_units = [], [], [], [], [], []
-        for piece in missing.difference(old_ids):
-            stem = piece.rstrip(MARKS)
-            if not stem.isalpha():
-                others.append(piece)
-                other_units.append(self._units(piece.decode()))
-            elif len(stem) == len(piece):
-                plain.append(piece)
-            else:
-                marked.append(piece)
-                stems.append(stem.lower().decode())
-                marks.append(piece[len(stem) :].decode())
-        plain_words = [piece.lower().decode() for piece in plain]
-        words = set(plain_words).union(stems, marks)
-        words.update(u for us in other_units for u in us if isinstance(u, str))
-        listed = list(words)
-        numbers, strings = self.table.numbers, self.table.strings
-        ids_of, decoded_of = {}, {}
-        for word, ids in zip(listed, self.table.encode_words(listed)):
-            ids_of[word] = " ".join([numbers[i] for i in ids])
-            decoded_of[word] = " ".join([strings[i] for i in ids])
-        for i in self.table.specials.values():
-            ids_of[i], decoded_of[i] = numbers[i], strings[i]
-        self._keep(
-            plain,
-            [*map(ids_of.__getitem__, plain_words)],
-            [*map(decoded_of.__getitem__, plain_words)],
+    def _forget(self) -> None:
+        """Keep the keys used last if they take too many bytes."""
+        sizes = ENTRY_BYTES + self.sizes * self.tokens.itemsize
+        sizes += pc.binary_length(self.keys).to_numpy()
+        if sizes.sum() <= REMEMBERED_BYTES:
+            return
+        order = np.argsort(-self.used, kind="stable")
+        kept = np.zeros(len(sizes), bool)
+        kept[order[np.cumsum(sizes[order]) <= REMEMBERED_BYTES // 2]] = True
+        self.keys = self.keys.filter(pa.array(kept))
+        self.tokens = self.tokens[np.repeat(kept, self.sizes)]
+        self.sizes, self.used = self.sizes[kept], self.used[kept]
+
+    def _learn(self, keys: pa.Array) -> None:
+        """Remember new keys, in this order."""
+        plain = pc.or_(
+            pc.match_substring_regex(keys, OF_LETTERS), pc.match_substring_regex(keys, OF_MARKS)
         )
-        if not all(ids_of.values()):
-            # words without ids leave no blank behind
-            others += marked
-            other_units += map(list, zip(stems, marks))
-            other_units = [[u for u in us if ids_of[u]] for us in other_units]
-            marked, stems, marks = [], [], []
-        self._keep(
-            marked,
-            [f"{ids_of[w]} {ids_of[m]}" for w, m in zip(stems, marks)],
-            [f"{decoded_of[w]} {decoded_of[m]}" for w, m in zip(stems, marks)],
+        some, counts = self.table.encode_column(keys.filter(plain))
+        plain = plain.to_numpy(zero_copy_only=False)
+        units = [self._units(key) for key in keys.filter(pa.array(~plain)).to_pylist()]
+        words = list({u for us in units for u in us if isinstance(u, str)})
+        ids_of = {i: [i] for i in self.table.specials.values()}
+        ids_of.update(zip(words, self.table.encode_words(words)))
+        others = [[i for u in us for i in ids_of[u]] for us in units]
+        sizes = np.empty(len(keys), np.int64)
+        sizes[plain] = counts
+        sizes[~plain] = [len(ids) for ids in others]
+        tokens = np.empty(sizes.sum(), np.int32)
+        of_plain = np.repeat(plain, sizes)
+        tokens[of_plain] = some
+        tokens[~of_plain] = [i for ids in others for i in ids]
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.tokens = np.concatenate([self.tokens, tokens])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.full(len(keys), self.turn)])
+
+    def _rows(self, keys: pa.Array) -> np.ndarray:
+        """Where distinct keys are remembered; until the next call."""
+        self._forget()
+        self.turn += 1
+        rows = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = keys.take(pa.array(missing))
+            # words that begin alike walk the same way through the table
+            order = pc.sort_indices(new)
+            rows[missing[order.to_numpy()]] = len(self.keys) + np.arange(len(missing))
+            self._learn(new.take(order))
+        self.used[rows] = self.turn
+        return rows
+
+    def _ids(self, keys: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(number of ids, ids joined by spaces, decoded text) of each key."""
+        rows = self._rows(keys)
+        sizes = self.sizes[rows]
+        starts = (np.cumsum(self.sizes) - self.sizes)[rows]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        tokens = pa.array(self.tokens[np.arange(cuts[-1]) + np.repeat(starts - cuts[:-1], sizes)])
+        return sizes, joined(cuts, self.numbers.take(tokens)), joined(cuts, self.strings.take(tokens))
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(number of ids, ids joined by spaces, decoded text) of each distinct piece."""
+        words = pc.ascii_rtrim(pieces, MARKS)
+        of_letters = pc.match_substring_regex(words, OF_LETTERS)
+        marks = pc.utf8_ltrim(pieces, LETTERS)
+        marked = pc.and_(of_letters, pc.greater(pc.binary_length(marks), 0))
+        words = pc.if_else(of_letters, pc.utf8_lower(words), pieces)
+        keys = pa.concat_arrays([words, pc.if_else(marked, marks, None)]).dictionary_encode()
+        n, ids, decoded = self._ids(keys.dictionary)
+        of_words, of_marks = keys.indices[: len(pieces)], keys.indices[len(pieces) :]
+        n_words = n[of_words.to_numpy()]
+        n_marks = np.where(marked, n[pc.fill_null(of_marks, 0).to_numpy()], 0)
+        blanks = pc.if_else(pa.array((n_words > 0) & (n_marks > 0)), " ", "")
+        ids, decoded = (
+            pc.binary_join_element_wise(
+                column.take(of_words), blanks, pc.fill_null(column.take(of_marks), ""), ""
+            )
+            for column in (ids, decoded)
         )
-        self._keep(
-            others,
-            [" ".join(map(ids_of.__getitem__, us)) for us in other_units],
-            [" ".join(map(decoded_of.__getitem__, us)) for us in other_units],
+        return n_words + n_marks, ids, decoded
+
+    def encode(self, column: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """(number of ids, ids joined by spaces, decoded text) of each text."""
+        pieces = pc.ascii_split_whitespace(column)
+        distinct = pieces.flatten().dictionary_encode()
+        n, ids, decoded = self._pieces(distinct.dictionary)
+        cuts, sequence = pieces.offsets.to_numpy().astype(np.int64), distinct.indices.to_numpy()
+        # pieces without ids leave no blank behind
+        kept = n[sequence] > 0
+        if not kept.all():
+            sequence, cuts = sequence[kept], np.concatenate([[0], np.cumsum(kept)])[cuts]
+        total = np.concatenate([[0], np.cumsum(n[sequence])])
+        rows = pa.array(sequence)
+        return (
+            pa.array(total[cuts[1:]] - total[cuts[:-1]], pa.int64()),
+            joined(cuts, ids.take(rows)),
+            joined(cuts, decoded.take(rows)),
         )
 
-    def encode(self, group: list[str]) -> list[tuple[int, str, str]]:
-        """(number of ids, ids joined by spaces, decoded text) of each text.
 
-        Nothing here is cyclic, and looking for cycles takes a tenth of the time.
-        """
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode(group)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, group: list[str]) -> list[tuple[int, str, str]]:
-        split = [t.encode().split() for t in group]
-        self.learn(set().union(*split))
-        ids_of, decoded_of = self.ids.__getitem__, self.decoded.__getitem__
-        results = []
-        for pieces in split:
-            if self.empty and not self.empty.isdisjoint(pieces):
-                pieces = [p for p in pieces if p not in self.empty]
-            ids = " ".join(map(ids_of, pieces))
-            n = ids.count(" ") + 1 if ids else 0
-            results.append((n, ids, " ".join(map(decoded_of, pieces))))
-        return results
+def joined(cuts: np.ndarray, parts: pa.Array) -> pa.Array:
+    """Runs of parts, one from each cut to the next, joined by spaces."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), parts), " ")
 
 
 @lru_cache(maxsize=2)
@@ -461,17 +509,10 @@ def encode_and_decode(
         encoder = piece_encoder(vocabulary)
 
         def work(batch):
-            all_texts, doc_ids = texts(batch), batch.column("doc_id")
-            for rows in groups_of(all_texts):
-                n, ids, decoded = zip(*encoder.encode(all_texts[rows]))
+            column, doc_ids = pc.fill_null(batch.column("text"), ""), batch.column("doc_id")
+            for rows in slices_of(column, BYTES_AT_ONCE):
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        doc_ids.slice(rows.start, rows.stop - rows.start),
-                        pa.array(n, pa.int64()),
-                        pa.array(ids, pa.string()),
-                        pa.array(decoded, pa.string()),
-                    ],
-                    schema.fieldNames(),
+                    [doc_ids[rows], *encoder.encode(column[rows])], schema.fieldNames()
                 )
 
         return work

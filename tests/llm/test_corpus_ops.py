@@ -322,6 +322,72 @@ def test_bpe_merges_of_many_words_at_once():
     assert table.encode_words(made) == [table.merge(w) for w in made]
 
 
+def test_right_proposals_stand(monkeypatch):
+    """Neighbours in an encoding are compatible, and only words with a wrong proposal are merged."""
+    table = bpe.MergeTable(vocabulary(WORD_BPE))
+    random_ = random.Random(5)
+    made = ["".join(random_.choice("abcdeintr") for _ in range(random_.randint(2, 40))) for _ in range(2000)]
+    exact = [table.merge(w) for w in made]
+    left, right = map(np.array, zip(*(pair for ids in exact for pair in zip(ids, ids[1:]))))
+    assert table.compatible(left, right).all()
+
+    proposals, repaired = [], []
+    propose, merge_many = table.propose, table.merge_many
+
+    def noted(*words):
+        tokens, owners, stuck = propose(*words)
+        proposals.extend(tokens[owners == i].tolist() for i in range(len(made)))
+        return tokens, owners, stuck
+
+    def counted(parts, lengths):
+        repaired.append(len(lengths))
+        return merge_many(parts, lengths)
+
+    monkeypatch.setattr(table, "propose", noted)
+    monkeypatch.setattr(table, "merge_many", counted)
+    assert table.encode_words(made) == exact
+    assert 0 < sum(repaired) == sum(p != e for p, e in zip(proposals, exact)) < len(made)
+
+
+def test_texts_as_pieces(monkeypatch):
+    """Odd white space, marks, special tokens and empty pieces, cut anywhere and soon forgotten."""
+    library = Tokenizer.from_file(vocabulary(WORD_BPE))
+    random_ = random.Random(6)
+    parts = [
+        "Ab", "ab", "AB,", "ab.)", "don't", "'s", "\u00e9t\u00e9", "\u00c9T\u00c9!", "e\u0301", "\u0301", "12", "a1,", "...", "<",
+        "a<,", "<|endoftext|>", "<|startoftext|>x", "\u65e5\u672c.", "\xd7a", "\u2003", "a\u2003b", "\x1c", "\x85", "\x00",
+        "\xdf", "\u0130", "\u0391\u03a3", "na\u00efve-ness", "x" * 47, "x" * 48, "\u00e9" * 25, "y" * 300, "#" * 60 + ",",
+    ]
+    gaps = [" ", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r\n"]
+    texts = ["", " ", "\n", "\u2003", " a", "a "]
+    for _ in range(400):
+        words = random_.choices(parts, k=random_.randint(0, 9))
+        texts.append("".join(w + random_.choice(["", *gaps]) for w in words))
+    want = []
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.append((len(ids), " ".join(map(str, ids)), decoded))
+    column = pa.array(["not among them", *texts], pa.string())[1:]
+    encoder = bpe.PieceEncoder(vocabulary(WORD_BPE))
+    for remembered in (0, 4000, 10**6):
+        monkeypatch.setattr(bpe, "REMEMBERED_BYTES", remembered)
+        for at_once in (40, 1000, 10**6):
+            got = []
+            for rows in bpe.slices_of(column, at_once):
+                got += zip(*(found.to_pylist() for found in encoder.encode(column[rows])))
+            assert got == want
+    assert [found.to_pylist() for found in encoder.encode(column[:0])] == [[], [], []]
+
+
+def test_known_words_with_other_marks_are_not_encoded_again(monkeypatch):
+    encoder = bpe.PieceEncoder(vocabulary(WORD_BPE))
+    encoder.encode(pa.array(["house, HOUSE tree été."]))
+    monkeypatch.setattr(encoder.table, "encode_column", lambda words: ([], []) if not len(words) else 1 / 0)
+    n, _, _ = encoder.encode(pa.array(["House. Tree, tree. ÉTÉ, été", "tree"]))
+    assert n.to_pylist()[1] == 1
+
+
 def test_words_go_to_the_model(monkeypatch):
     """Ids of whole texts, from the library and from its model, while all is forgotten and kept."""
     library = Tokenizer.from_file(vocabulary(BYTE_BPE))
