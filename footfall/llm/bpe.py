@@ -30,9 +30,9 @@ from footfall.llm.common import only, per_batch, slices_of
 
 # Bytes remembered per Python worker, of which an entry takes so many beside its text and ids (they
 # include its place in the table that finds it), and bytes of text worked on at once.
-REMEMBERED_BYTES = 80 << 20
+REMEMBERED_BYTES = 24 << 20
 ENTRY_BYTES = 56
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 20
 # Characters in a slice of ``groups_of``.
 AT_ONCE = 1 << 20
 NEVER = np.iinfo(np.int64).max
@@ -514,6 +514,8 @@ def encode_and_decode(
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids[rows], *encoder.encode(column[rows])], schema.fieldNames()
                 )
+            # workers outlive their task, and what they hold lacks elsewhere in the executor
+            pa.default_memory_pool().release_unused()
 
         return work
 
