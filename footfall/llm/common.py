@@ -27,6 +27,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """``table`` as one side of a join that broadcasts neither side.
+
+    For joins of tables that grow with the data. Spark sizes a table by its compressed files and
+    takes no account of the rows that an explode adds, so the driver may be given dozens of times
+    the threshold below which it broadcasts.
+    """
+    return table.hint("merge")
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import WORD, stash
+from footfall.llm.common import WORD, shuffled, stash
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3.0
@@ -148,7 +148,7 @@ def _with_source(rows: DataFrame, table: DataFrame, extra: list[str] = []) -> Da
     salted = rows.withColumn("salt", F.pmod(F.col("hashed"), F.lit(SALTS)).cast("int"))
     right = right.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on.append(F.col("salt") == F.col("salt_of"))
-    return salted.join(right, on, "left").drop("salt", "salt_of", *(f"{k}_of" for k in keys))
+    return salted.join(shuffled(right), on, "left").drop("salt", "salt_of", *(f"{k}_of" for k in keys))
 
 
 def _reaching(buckets: DataFrame, bucket: str) -> DataFrame:

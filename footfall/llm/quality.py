@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from footfall.llm.common import only, per_batch, stash, texts
+from footfall.llm.common import only, per_batch, shuffled, stash, texts
 
 LEVEL = 3
 CHUNK_BYTES = 4096
@@ -243,7 +243,7 @@ def fit_bands(
             T.StructField("ratio", T.DoubleType()),
         ]
     )
-    measured = per_batch(plain, make, schema).join(good, "doc_id", "left_semi")
+    measured = per_batch(plain, make, schema).join(shuffled(good), "doc_id", "left_semi")
     shares = SHARE_OUTSIDE, 0.5, 1 - SHARE_OUTSIDE
     limits = percentiles(measured.select(step.alias("step"), "ratio"), shares, LEAST_INPUTS)
     known = {}

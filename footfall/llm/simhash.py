@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footfall.llm.common import only, per_batch, stash, texts
+from footfall.llm.common import only, per_batch, shuffled, stash, texts
 from footfall.llm.components import component_roots
 
 SHINGLE = 3
@@ -123,19 +123,20 @@ def near_links(distinct_fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """
     placed = distinct_fps.select("fp", F.explode(_cells(_segment_counts(F.col("fp")))).alias("cell"))
     shared = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    placed = stash(placed.join(shared, "cell"), "cells")
+    placed = stash(placed.join(shuffled(shared), "cell"), "cells")
 
     ordinary = placed.filter(F.col("n") <= crowded)
     a = ordinary.select("cell", F.col("fp").alias("u"))
     b = ordinary.select("cell", F.col("fp").alias("v"))
     verified = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST_BITS
-    pairs = a.join(b, (a.cell == b.cell) & (a.u < b.v) & verified).select("u", "v").distinct()
+    near = (a.cell == b.cell) & (a.u < b.v) & verified
+    pairs = a.join(shuffled(b), near).select("u", "v").distinct()
 
     dense = placed.filter(F.col("n") > crowded).select("fp").distinct()
     reached = dense.select("fp", F.explode(_flips(F.col("fp"))).alias("value"))
     centers = reached.groupBy("value").agg(F.min("fp").alias("v"), F.max("fp").alias("last"))
     stars = (
-        reached.join(centers.filter("v <> last"), "value")
+        reached.join(shuffled(centers.filter("v <> last")), "value")
         .select(F.col("fp").alias("u"), "v")
         .filter("u <> v")
         .distinct()
@@ -149,7 +150,7 @@ def _rooted(fps: DataFrame, crowded: int) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")
     nodes = stash(fps.groupBy("fp").agg(F.min(row).alias("least_row")), "nodes")
     roots = stash(component_roots(near_links(nodes.select("fp"), crowded)), "roots")
-    return nodes.join(roots, nodes.fp == roots.node, "left").select(
+    return nodes.join(shuffled(roots), nodes.fp == roots.node, "left").select(
         "fp", "least_row", F.coalesce("root", "fp").alias("root")
     )
 

@@ -33,6 +33,22 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ke
 LONG = " ".join("ba na to ri".split()[i * i % 4] + str(i % 97) for i in range(60000))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def plans_of(module, monkeypatch):
+    """Plans of the tables that ``module`` goes on to write, by name, as sized before they run."""
+    plans, write = {}, module.stash
+
+    def record(df, name):
+        plans[name] = plan_of(df)
+        return write(df, name)
+
+    monkeypatch.setattr(module, "stash", record)
+    return plans
+
+
 def rows():
     """Nulls, empty and long texts, ties, repeats; kept and size clash with results."""
     plain = [
@@ -207,6 +223,15 @@ def test_chunks_cover_everything(n):
     assert sum(sizes) == n and all(s >= min(n, quality.LEAST_CHUNK) for s in sizes)
 
 
+def test_labels_are_not_broadcast(odd, spark, tmp_path, monkeypatch):
+    """The compressed ids of all labels are a small part of what the driver would hold."""
+    plans = plans_of(quality, monkeypatch)
+    labels = spark.createDataFrame([(7, 1), (7, 1), (9, 0), (None, 1)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels")
+    assert quality.fit_bands(odd, spark.read.parquet(f"{tmp_path}/labels")) == quality.BANDS
+    assert "SortMergeJoin" in plans["ratios"] and "Broadcast" not in plans["ratios"]
+
+
 # -- simhash -----------------------------------------------------------------
 
 
@@ -285,6 +310,19 @@ def test_simhash_chains_and_crowds(spark):
     assert got[0] == got[1] == want
 
 
+def test_simhash_broadcasts_no_cells(spark, odd, monkeypatch):
+    """Spark sizes the 33 cells of a fingerprint like one, 65 flipped values as well."""
+    plans = plans_of(simhash, monkeypatch)
+    fps = spark.createDataFrame([(i,) for i in range(50)], "fp long")
+    links = simhash.near_links(fps, crowded=20)
+    rooted = simhash._rooted(simhash.fingerprints(odd), crowded=20)
+    for text in plans["cells"], plan_of(links), plan_of(rooted):
+        assert "SortMergeJoin" in text and "Broadcast" not in text
+    # all numbers below 50 are linked, as 0 lies within two bits of most
+    roots = simhash.component_roots(links).collect()
+    assert {r.node: r.root for r in roots} == dict.fromkeys(range(50), 0)
+
+
 def test_keep_first(odd, none, docs):
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns
@@ -564,6 +602,17 @@ def test_inclusion_follows_size(spark):
     assert abs(part.taken.sum() - part.target.iloc[0]) <= 20
 
 
+def test_many_sources_are_not_broadcast(spark):
+    """Rows of many sources meet them 32 times repeated, which Spark sizes like once."""
+    n = pareto_mix.BROADCAST_SOURCES + 1
+    ids = spark.range(n).withColumn("source", F.when(F.col("id") > 0, F.col("id").cast("string")))
+    table = ids.select("source", F.col("id").alias("target"))
+    rows_ = ids.select("id", "source", F.xxhash64("id").alias("hashed"))
+    placed = pareto_mix._with_source(rows_, table)
+    assert "SortMergeJoin" in plan_of(placed) and "Broadcast" not in plan_of(placed)
+    assert placed.count() == placed.filter("target = id").count() == n
+
+
 # -- language model ----------------------------------------------------------
 
 
