@@ -169,7 +169,7 @@ def near_duplicates(
     rooted = _rooted(fps, crowded)
     least = rooted.groupBy("root").agg(F.min("least_row")["doc_id"].alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(
+    return fps.join(shuffled(named), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

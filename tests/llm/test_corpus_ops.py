@@ -323,6 +323,19 @@ def test_simhash_broadcasts_no_cells(spark, odd, monkeypatch):
     assert {r.node: r.root for r in roots} == dict.fromkeys(range(50), 0)
 
 
+def test_near_duplicates_broadcast_no_rows(spark, odd):
+    """Compressed, the rows of all documents seem small enough for the driver."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # room for the fingerprints of these rows, not for a product of tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        found = simhash.near_duplicates(odd)
+        assert "SortMergeJoin" in plan_of(found) and "Broadcast" not in plan_of(found)
+        assert as_multiset(found) == plain_components(odd.collect())[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_keep_first(odd, none, docs):
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns
